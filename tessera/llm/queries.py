@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, secret_scan, token_count
+from . import byte_bpe, embedding_dedup, secret_scan, token_count, toxicity, warc
 from .common import table
 
 
@@ -18,12 +19,27 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold=toxicity.training_fold)
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
+    return toxicity.score(docs, grammar).select("doc_id", held_out, "score", "predicted", "patterns")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_token_count, op8_secret_scan)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_token_count, op4_embedding_dedup, op6_toxicity, op8_secret_scan, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
