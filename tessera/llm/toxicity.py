@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 from .common import per_text, stored, sub_batches
 
 #: Labelled training rows of the fit, and stems that it may learn.
-FIT_ROWS, LEARNED_STEMS = 20_000, 2_000
+FIT_ROWS, LEARNED_STEMS = 8_000, 2_000
 #: Evidence for a learned insult: different (word before, word after) pairs and different texts in toxic rows, and the
 #: shares of toxic texts among the texts that hold it from which it is a weak or a full insult.
 LEAST_CONTEXTS, LEAST_TEXTS, WEAK_SHARE, FULL_SHARE = 6, 6, 0.55, 0.95
+#: Pieces of words, the most frequent in toxic texts, whose counts in clean texts are looked at.
+CANDIDATES = 200_000
 #: Letters of a learned stem; after it any ending may follow. A whole word is marked by a final $.
-STEM = range(3, 11)
+STEM = range(4, 11)
 CAP = 3
 
 # Words of each tag, by language.
@@ -168,9 +170,13 @@ class Grammar:
         out = np.zeros(len(PATTERNS))
         low = text.lower()
         words = set(WORD.findall(low))
-        for w in words - memory.keys():
-            memory[w] = self.tag(w)
-        if not any(memory[w] in TRIGGERS for w in words):
+        hit = False
+        for w in words:
+            tag = memory.get(w)
+            if tag is None:
+                tag = memory[w] = self.tag(w)
+            hit |= tag in TRIGGERS
+        if not hit:
             return out
         for clause in CLAUSE.split(low):
             tags = [t for t in (memory[w] for w in WORD.findall(clause)) if t]
@@ -212,16 +218,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns insults and weights from the labelled rows for which fold(id) is true (by default all)."""
     rows = stored(training_rows(docs, labels, id_col, text_col, label_col, fold or (lambda c: F.lit(True)), fit_rows).distinct(), "labelled")
 
-    def holders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in sub_batches(frames, "text"):
-            count: dict = {}
-            for text, toxic in zip(part["text"], part["toxic"], strict=True):
-                for p in {p for w in set(WORD.findall(text.lower())) for p in pieces_of(w)}:
-                    count.setdefault(p, [0, 0])[int(toxic == 1)] += 1
-            yield pd.DataFrame([(w, a, b) for w, (a, b) in count.items()], columns=["stem", "clean", "toxic"])
+    def counted(candidates: frozenset | None):
+        """Texts that hold each piece of a word, by class; only of the candidates, if there are any."""
 
-    counts = rows.mapInPandas(holders, "stem string, clean bigint, toxic bigint").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= WEAK_SHARE * (F.col("clean") + F.col("toxic"))))
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            count: dict = {}
+            for part in sub_batches(frames, "text"):
+                for text, toxic in zip(part["text"], part["toxic"], strict=True):
+                    pieces = {p for w in set(WORD.findall(text.lower())) for p in pieces_of(w)}
+                    for p in pieces if candidates is None else pieces & candidates:
+                        count.setdefault(p, [0, 0])[int(toxic == 1)] += 1
+                if len(count) > 1 << 20:
+                    yield _counts(count)
+                    count = {}
+            yield _counts(count)
+
+        return run
+
+    schema = "stem string, clean bigint, toxic bigint"
+    held = rows.where("toxic = 1").mapInPandas(counted(None), schema).groupBy("stem").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= LEAST_TEXTS)
+    candidates = frozenset(r["stem"] for r in held.orderBy(F.desc("toxic"), "stem").limit(CANDIDATES).collect())
+    counts = rows.mapInPandas(counted(candidates), schema).groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = counts.where(F.col("toxic") >= WEAK_SHARE * (F.col("clean") + F.col("toxic")))
     likely = {r["stem"]: r["toxic"] / (r["clean"] + r["toxic"]) for r in counts.orderBy(F.desc("toxic"), "stem").limit(8 * LEARNED_STEMS).collect()}
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,6 +274,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return grammar
 
 
+def _counts(count: dict) -> pd.DataFrame:
+    return pd.DataFrame([(w, a, b) for w, (a, b) in count.items()], columns=["stem", "clean", "toxic"])
+
+
 def hash_pair(a: str, b: str) -> int:
     """The same on every worker, unlike Python's hash of strings."""
     import xxhash
