@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, secret_scan, token_count, toxicity, warc
+from . import byte_bpe, decontaminate, embedding_dedup, secret_scan, token_count, toxicity, warc
 from .common import table
 
 
@@ -34,12 +34,18 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_token_count, op4_embedding_dedup, op6_toxicity, op8_secret_scan, op10_warc)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_token_count, op4_embedding_dedup, op6_toxicity, op8_secret_scan, op9_decontaminate, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
