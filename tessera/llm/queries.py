@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embedding_dedup, secret_scan, token_count, toxicity, warc
+from . import byte_bpe, decontaminate, embedding_dedup, minhash_dedup, secret_scan, token_count, toxicity, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, grammar).select("doc_id", held_out, "score", "predicted", "patterns")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_token_count, op4_embedding_dedup, op6_toxicity, op8_secret_scan, op9_decontaminate, op10_warc)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_token_count, op4_embedding_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
