@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embedding_dedup, minhash_dedup, secret_scan, token_count, toxicity, warc
+from . import byte_bpe, decontaminate, embedding_dedup, line_dedup, minhash_dedup, secret_scan, token_count, toxicity, warc
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_token_count, op4_embedding_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_token_count, op4_embedding_dedup, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
