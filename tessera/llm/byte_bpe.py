@@ -24,9 +24,11 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import pandas as pd
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import per_text, tokenizer_path
 
@@ -167,8 +169,6 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 def decode(coded: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", vocabulary: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None) -> DataFrame:
     """Per row: id, raw binary; null tokens decode to nothing."""
-    import pandas as pd
-    from pyspark.sql import functions as F
 
     def run(frames):
         codec = _codec(vocabulary, pattern)
@@ -179,19 +179,33 @@ def decode(coded: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
     return coded.select(F.col(id_col).alias("__id"), F.col(tokens_col).alias("__tokens")).mapInPandas(run, f"`{id_col}` {kind}, raw binary")
 
 
+def _digest_columns(texts: list[str], vocabulary: str, pattern: str | None) -> dict:
+    codec = _codec(vocabulary, pattern)
+    out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "exact": []}
+    for text in texts:
+        ids = codec.encode(text)
+        raw = codec.decode(ids)
+        found = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.encode("utf-8", "surrogatepass")
+        for name, value in zip(out, found, strict=True):
+            out[name].append(value)
+    return out
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean"
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None) -> DataFrame:
     """Encodes and decodes in one pass. Per row: id, n_tokens, ids_sha256, decoded_sha256, exact (decoded = text)."""
+    return per_text(docs, id_col, text_col, lambda texts: _digest_columns(texts, vocabulary, pattern), DIGESTS)
 
-    def work(texts: list[str]) -> dict:
-        codec = _codec(vocabulary, pattern)
-        n, ids_sha, raw_sha, exact = [], [], [], []
-        for text in texts:
-            ids = codec.encode(text)
-            raw = codec.decode(ids)
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-            raw_sha.append(hashlib.sha256(raw).hexdigest())
-            exact.append(raw == text.encode("utf-8", "surrogatepass"))
-        return {"n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": raw_sha, "exact": exact}
-
-    return per_text(docs, id_col, text_col, work, "n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+
+def with_digests(docs: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None) -> DataFrame:
+    """All columns of docs, with those of digests; a column of docs with such a name gives way."""
+
+    @F.pandas_udf(DIGESTS)
+    def coded(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(_digest_columns(texts.fillna("").tolist(), vocabulary, pattern))
+
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.withColumn("__coded", coded(F.col(text_col))).select(*others, "__coded.*")

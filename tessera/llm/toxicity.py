@@ -304,9 +304,9 @@ def training_fold(c):
 def kept(docs: DataFrame, grammar: Grammar, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows whose score is below `least`, with all their columns."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            p = grammar.score(np.array([grammar.features(t) for t in f[text_col].fillna("")]).reshape(-1, len(PATTERNS)))
-            yield f[p < least]
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        x = [grammar.features(t) for t in texts.fillna("")]
+        return pd.Series(grammar.score(np.array(x).reshape(-1, len(PATTERNS))))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.where(scored(F.col(text_col)) < least)
