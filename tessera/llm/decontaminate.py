@@ -107,9 +107,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = stored(items.withColumn("n", F.least(F.size("words"), F.lit(window))), "items")
     lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most `window` numbers
     classes = _classes(lengths, window, gram)
-    hold = docs.select(F.struct(*docs.columns).alias("doc")) if carry else docs.select(F.struct(F.col(id_col).alias("id")).alias("doc"), F.col(text_col).alias("text"))
-    if carry:
-        hold = hold.withColumn("text", F.col("doc")[text_col])
+    whole = F.struct(*docs.columns) if carry else F.struct(F.col(id_col).alias("id"))
+    hold = docs.select(whole.alias("doc"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("k"))
     if not classes:
         out = hold.select("doc", F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n_hit"))
         return _finish(out, id_col, carry)
@@ -119,11 +118,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     wins = stored(items.select("item", "n", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - F.col("n")), lambda s: F.array_join(F.slice("words", s + 1, F.col("n")), " "))).alias("w")).distinct(), "windows")
     near = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
 
-    key = F.xxhash64("text", F.length("text"))
-    found = docs.select(F.col(text_col).alias("text")).select(key.alias("k"), F.explode(bound(words_of(F.col("text")), lambda w: _tagged(w, classes))).alias("p"))
+    # the id is in the key, so that copies of a text are dealt over many tasks
+    found = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text")).select("k", F.explode(bound(words_of(F.col("text")), lambda w: _tagged(w, classes))).alias("p"))
     hits = found.select("k", "p.n", "p.h").join(near(prints), ["n", "h"]).groupBy("k").agg(F.collect_set(F.struct("n", "h")).alias("hits"))
     # the small side is hashed, so that the texts needn't be sorted
-    joined = hold.withColumn("k", key).join(hits.hint("shuffle_hash"), "k", "left")
+    joined = hold.join(hits.hint("shuffle_hash"), "k", "left")
     told = bound(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), F.when(F.col("hits").isNotNull(), _windows(w, F.col("hits"), classes)).alias("wins")))
     rows = stored(joined.select("doc", told.alias("t")).select("doc", "t.*", F.monotonically_increasing_id().alias("row")), "extended")
     spots = rows.where("wins is not null").select("row", F.explode("wins").alias("x")).select("row", "x.s", "x.n", "x.w").join(near(wins), ["n", "w"])
