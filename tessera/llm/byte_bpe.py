@@ -98,7 +98,7 @@ class Codec:
 
     def tokens(self, raw: bytes) -> list[int]:
         if len(raw) <= PIECE_LEAF:
-            return self._leaf(raw)
+            return self._leaf(raw) if raw else []
         half = len(raw) // 2
         return self.join_tokens(self.tokens(raw[:half]), self.tokens(raw[half:]))
 

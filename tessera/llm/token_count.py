@@ -106,7 +106,7 @@ class Merges:
         if new:
             known.update(zip(new, self.surviving([p.encode("utf-8", "surrogatepass") for p in new]).tolist(), strict=True))
         n = np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        total = np.r_[0, np.cumsum(n)][np.r_[0, ends]]
+        total = np.r_[0, np.cumsum(n)][np.array([0, *ends], dtype=np.int64)]
         return np.diff(total) + np.array(extra, dtype=np.int64)
 
 
