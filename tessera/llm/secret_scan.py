@@ -177,8 +177,10 @@ def candidates(query: list, lists: list[np.ndarray], n_texts: int) -> np.ndarray
 
 def scan_texts(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (start, number of the rule, end), sorted."""
+    if not texts:
+        return []
     regexes, queries, mark, n = _plan(tuple(rules))
-    lists = postings([t.encode("utf-8", "surrogatepass") for t in texts], mark, n) if n and texts else []
+    lists = postings([t.encode("utf-8", "surrogatepass") for t in texts], mark, n) if n else []
     spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for k, (rule, regex, query) in enumerate(zip(rules, regexes, queries, strict=True)):
         for i in candidates(query, lists, len(texts)) if query else range(len(texts)):
