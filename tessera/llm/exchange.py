@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,20 +111,39 @@ def shorten(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> np.uint64(64 - bits - FINGERPRINT)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones, and so on, compressed: leading bytes are nearly alike."""
+    return press(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(unpress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def pack(sorted_keys: np.ndarray) -> bytes:
     """Differences of a sorted list as 32-bit numbers; a larger one is preceded by escapes."""
     gaps = np.diff(np.r_[np.uint64(0), sorted_keys])
     over = gaps // np.uint64(ESCAPE)
     out = np.full(len(gaps) + int(over.sum()), ESCAPE, dtype=np.uint32)
     out[np.cumsum(over.astype(np.int64) + 1) - 1] = (gaps % np.uint64(ESCAPE)).astype(np.uint32)
-    return out.tobytes()
+    return _planes(out)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, dtype=np.uint32)
+    raw = _from_planes(data, np.uint32)
     return np.cumsum(raw, dtype=np.uint64)[raw != ESCAPE]
 
 
+def pack_whole(sorted_keys: np.ndarray) -> bytes:
+    """The same for numbers of 64 bits."""
+    return _planes(np.diff(np.r_[np.uint64(0), sorted_keys]))
+
+
+def unpack_whole(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data, np.uint64), dtype=np.uint64)
+
+
 def small(values: np.ndarray) -> bytes:
     """Whole numbers in the smallest width that holds them, which leads."""
     most = int(values.max(initial=0))
@@ -135,6 +155,15 @@ def large(data: bytes) -> np.ndarray:
     return np.frombuffer(data[1:], dtype=f"<u{data[0]}").astype(np.int64)
 
 
+def press(data: bytes) -> bytes:
+    """Compressed: counts and codes are mostly the same few values, which the shuffle's own codec packs less well."""
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpress(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def cut(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """The shards of sorted keys, with the slice of each."""
     shard = (keys >> np.uint64(FINGERPRINT)).astype(np.int64)

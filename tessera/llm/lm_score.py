@@ -235,13 +235,13 @@ def _send(frame: pd.DataFrame, bits: int) -> pd.DataFrame:
     shard = (g.uni >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(g.uni), np.int64)
     cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=True):
-        rows.append((1, int(shard[a]), block, g.uni[a:b].tobytes(), X.small(c1[a:b]), None, None, None))
+        rows.append((1, int(shard[a]), block, X.pack_whole(g.uni[a:b]), X.press(X.small(c1[a:b])), None, None, None))
     kinds = np.bincount((g.successors >> np.uint64(SUCCESSOR_BITS)).astype(np.int64), minlength=len(g.pairs))
     start = np.r_[0, np.cumsum(kinds)]
     relative = (g.successors & np.uint64((1 << SUCCESSOR_BITS) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
     for s, at in X.cut(g.pairs, bits):
         a, b = start[at.start], start[at.stop]
-        rows.append((2, s, block, X.pack(X.local_keys(g.pairs[at])), X.small(c2[at]), X.small(kinds[at]), relative[a:b].tobytes(), X.small(c3[a:b])))
+        rows.append((2, s, block, X.pack(X.local_keys(g.pairs[at])), X.press(X.small(c2[at])), X.press(X.small(kinds[at])), relative[a:b].tobytes(), X.press(X.small(c3[a:b]))))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in MESSAGE.split(", ")])
 
 
@@ -254,15 +254,15 @@ def _three_bytes(data: bytes) -> np.ndarray:
 def _shard_trie(frame: pd.DataFrame) -> tuple[bytes, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """The trie of all messages to a shard, and each message's pairs, the owner of each successor, and successors."""
     keys = [X.unpack(k) for k in frame["keys"]]
-    kinds = [X.large(k) for k in frame["sizes"]]
+    kinds = [X.large(X.unpress(k)) for k in frame["sizes"]]
     successors = [_three_bytes(s) for s in frame["successors"]]
     owners = [np.repeat(np.arange(len(k)), k) for k in kinds]
     every = np.concatenate(keys)
-    c2 = np.concatenate([X.large(n) for n in frame["n"]])
+    c2 = np.concatenate([X.large(X.unpress(n)) for n in frame["n"]])
     learned = np.unique(every[c2 > 0])
     at = np.searchsorted(learned, every[c2 > 0])
     counts = np.bincount(at, c2[c2 > 0], len(learned)).astype(np.int64)
-    c3 = np.concatenate([X.large(n) for n in frame["seen"]])
+    c3 = np.concatenate([X.large(X.unpress(n)) for n in frame["seen"]])
     owner_key = np.concatenate([k[o] for k, o in zip(keys, owners, strict=True)])
     hit = c3 > 0
     node = np.searchsorted(learned, owner_key[hit]).astype(np.uint64)
@@ -282,11 +282,11 @@ def _positions(level: np.ndarray, values: np.ndarray) -> np.ndarray:
 def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     shard, kind, blocks, rows = int(frame["shard"].iloc[0]), int(frame["kind"].iloc[0]), frame["block"].tolist(), []
     if kind == 1:
-        keys = [np.frombuffer(k, np.uint64) for k in frame["keys"]]
+        keys = [X.unpack_whole(k) for k in frame["keys"]]
         words, where = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(where, np.concatenate([X.large(n) for n in frame["n"]]), len(words)).astype(np.int64)
+        c = np.bincount(where, np.concatenate([X.large(X.unpress(n)) for n in frame["n"]]), len(words)).astype(np.int64)
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        rows = [(1, shard, b, X.small(part), None, None, None) for b, part in zip(blocks, np.split(c[where], cuts), strict=True)]
+        rows = [(1, shard, b, X.press(X.small(part)), None, None, None) for b, part in zip(blocks, np.split(c[where], cuts), strict=True)]
         known = c[c > 0]
         bucket = np.minimum(np.log2(np.maximum(known, 1)).astype(int), BUCKETS - 1)
         stats = [int(known.sum()), len(known), 0, *np.bincount(bucket, minlength=BUCKETS).tolist(), *np.bincount(bucket, known, BUCKETS).astype(np.int64).tolist()]
@@ -306,7 +306,8 @@ def _answer(frame: pd.DataFrame) -> pd.DataFrame:
                     at = _positions(level, np.maximum(mine, 0).astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | s)
                     at = np.where((mine >= 0) & (at >= starts[np.maximum(mine, 0)]), at, -1)
                     pick = lambda values, i: np.where(i >= 0, values[np.maximum(i, 0)] if len(values) else 0, 0)
-                    rows.append((2, shard, b, pick(trie.counts, node).astype(np.uint16).tobytes(), pick(trie.backs, node).astype(np.uint16).tobytes(), pick(trie.chances, at).astype(np.uint16).tobytes(), None))
+                    packed = [X.press(pick(v, i).astype(np.uint16).tobytes()) for v, i in ((trie.counts, node), (trie.backs, node), (trie.chances, at))]
+                    rows.append((2, shard, b, *packed, None))
                 n_pairs = trie.pairs.n
                 del trie
         stats = [0, 0, n_pairs] + [0] * (2 * BUCKETS)
@@ -361,8 +362,8 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         g = _Grams(frame["text"].tolist(), bits)
         got = got.sort_values(["kind", "shard"])
         words, pairs = got[got["kind"] == 1], got[got["kind"] == 2]
-        joined = lambda column: np.frombuffer(b"".join(column), np.uint16)
-        c1 = np.concatenate([X.large(a) for a in words["a"]])[g.uni_at].astype(np.float64)
+        joined = lambda column: np.frombuffer(b"".join(map(X.unpress, column)), np.uint16)
+        c1 = np.concatenate([X.large(X.unpress(a)) for a in words["a"]])[g.uni_at].astype(np.float64)
         p = base = (c1 + 1) / (n_train + n_words + 1)
         if len(g.second):
             before, c2 = c1[g.second - 1], count_of(joined(pairs["a"]))[g.pair_at[g.second]]
