@@ -90,6 +90,23 @@ def test_line_dedup(spark):
     assert by_shuffle == {i: x.text for i, x in got.items()}
 
 
+def test_line_dedup_finds_what_brute_force_finds(spark):
+    r = random.Random(11)
+    lines = []
+    for _ in range(50):
+        base = sentence(r, r.randint(8, 60))
+        lines += [base] + [changed(r, base, r.randint(1, max(1, len(base.split()) // 6))) for _ in range(2)]
+    lines += [changed(r, lines[0], 1) for _ in range(40)]
+    lines = sorted(set(lines))
+    table = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    a, b = table.toDF("a", "x"), table.toDF("b", "y")
+    near = [tuple(p) for p in a.join(b, F.col("a") < F.col("b")).where(line_dedup.edit_similar(F.col("x"), F.col("y"), 0.8)).select("a", "b").collect()]
+    removable = len(lines) - len(set(groups_of(len(lines), near)))
+    assert removable > 100
+    removed = sum(x.n_removed for x in line_dedup.dedup(docs(spark, list(enumerate(lines)))).collect())
+    assert 0.98 * removable <= removed <= removable
+
+
 def test_simhash(spark):
     r = random.Random(2)
     for n in (3, 31, 32, 127, 128, 3000):
