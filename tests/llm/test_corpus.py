@@ -153,6 +153,30 @@ def test_line_buckets_keep_all_links(spark):
     assert found.count() == 8 and found.select("component").distinct().count() == 1
 
 
+def test_line_buckets_when_the_largest_component_changes(spark):
+    """A line that was passed over in the largest component is compared when another one has outgrown it."""
+    r = random.Random(4)
+    p, q = (["".join(r.sample("abcdefghijklmnopqrstuvwxyz", 5)) for _ in range(20)] for _ in range(2))
+    line = lambda k, last: " ".join(q[:k] + p[k:19] + [last])
+    pool = [(k, line(k, "".join(r.choice("aeiou") for _ in range(5)))) for k in (0, 3, 7, 10) for _ in range(80)]
+    hashed = spark.createDataFrame(pool, "k int, line string").withColumn("node", F.xxhash64(F.split("line", " "))).dropDuplicates(["node"])
+    of = defaultdict(list)
+    for x in hashed.orderBy("node").collect():
+        of[x.k].append((x.node, x.line))
+    small, large, near_small, near_large = of[0][:22], of[10][-40:], of[3], of[7]
+    # the first hub is of the small group; its link to the large one lies before the next hubs, and the other end after
+    link = next(x for x in near_small if small[0][0] < x[0] < large[0][0])
+    end = next(x for x in reversed(near_large) if x[0] > large[16][0])
+    rows = [*small, *large, link, end]
+    table = docs(spark, list(enumerate(x for _, x in rows))).select(F.col("doc_id").alias("id"), "text")
+    similar = [(i, j) for i, (_, a) in enumerate(rows) for j, (_, b) in enumerate(rows[:i]) if distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
+    assert len(set(groups_of(len(rows), similar))) == 1
+    assert len(set(groups_of(len(rows), [x for x in similar if set(x) != {len(rows) - 1, len(rows) - 2}]))) == 2
+    lines = line_dedup._lines(table, 5).select(F.xxhash64("words").alias("node"), F.lit(7).cast("bigint").alias("sim"))
+    found = line_dedup._groups(table, lines, 5, 0.8, 100)
+    assert found.count() == len(rows) and found.select("component").distinct().count() == 1
+
+
 # embeddings
 
 
