@@ -140,6 +140,18 @@ def test_edit_similarity(spark):
         assert x.ok == (distance(x.a, x.b) <= int(0.2 * max(len(x.a), len(x.b)) + 1e-9))
 
 
+@pytest.mark.parametrize("n", [140, 160, 400])
+def test_edit_similarity_is_the_same_below_and_above_1000_characters(spark, n):
+    """One letter in every fourth word is far below a fifth of the letters, at any length; a third of them is above."""
+    r = random.Random(n)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    near = " ".join(w[:-1] + "z" if i % 4 == 0 else w for i, w in enumerate(words))
+    far = " ".join("xyxyxy" if i % 3 == 0 else w for i, w in enumerate(words))
+    rows = [(" ".join(words), near, True), (" ".join(words), far, False)]
+    got = spark.createDataFrame(rows, "a string, b string, want boolean").select(line_dedup.edit_similar(F.col("a"), F.col("b"), 0.8).alias("ok"), "want").collect()
+    assert all(x.ok == x.want for x in got)
+
+
 def test_line_buckets_keep_all_links(spark):
     """In a bucket whose hub is like no other line, the links between the others are found all the same."""
     base = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima"
