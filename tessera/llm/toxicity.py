@@ -3,8 +3,9 @@
 A text is cut into clauses. In a clause a lexicon transducer turns words into tags (insult, threat, target, negation,
 reported speech); other words are deleted. Three transducers are composed on the tags, each with its states and arcs
 listed below: scope (does a negation or a report govern what follows?), aim (does a target stand with the insult or the
-threat?) and pattern (which kind of clause was matched). A matched clause gives one pattern symbol; isolated words
-without a clause match give none. A text's features are its capped counts of pattern symbols; their weights come from
+threat?) and pattern (which kind of clause was matched). A clause gives a symbol for each
+pattern it matches. An insult or threat without a target is a pattern of its own, and a learned weak stem is one pattern
+whatever its target, negation or report; words outside the lexicon give none. A text's features are its capped counts of pattern symbols; their weights come from
 a logistic regression around prior weights, so that patterns which the labels never show keep a sensible weight.
 
 The insult lexicon is a list of fixed words and of stems learned from labelled rows, which match with any ending, as
