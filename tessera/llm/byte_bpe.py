@@ -24,13 +24,12 @@ import base64
 import hashlib
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import per_text, tokenizer_path
+from .common import column, per_text, tokenizer_path, with_columns
 
 #: Characters after a match's end that can have had a say in it: contractions read two letters, spaces one character.
 LOOK = 3
@@ -45,7 +44,6 @@ class Codec:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern)
-        self._leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.whole = ranks
         self.known: dict[str, tuple[int, ...]] = {}
@@ -102,6 +100,28 @@ class Codec:
         half = len(raw) // 2
         return self.join_tokens(self.tokens(raw[:half]), self.tokens(raw[half:]))
 
+    def _leaf(self, raw: bytes) -> list[int]:
+        """The tokens of a short byte string: the neighbours of the lowest rank are merged, the first ones first."""
+        rank = self.whole.get
+        found = rank(raw)
+        if found is not None:
+            return [found]
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        none = 1 << 60
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        while ranks:
+            low = min(ranks)
+            if low == none:
+                break
+            i = ranks.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], none)
+        return [self.whole[p] for p in parts]
+
     def _stable(self, a: int, b: int) -> bool:
         return self._leaf(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
 
@@ -170,13 +190,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 def decode(coded: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", vocabulary: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None) -> DataFrame:
     """Per row: id, raw binary; null tokens decode to nothing."""
 
-    def run(frames):
+    def run(batches):
         codec = _codec(vocabulary, pattern)
-        for f in frames:
-            yield pd.DataFrame({id_col: f["__id"].to_numpy(), "raw": [b"" if t is None else codec.decode(list(t)) for t in f["__tokens"]]})
+        for batch in batches:
+            raw = [b"" if t is None else codec.decode(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=[id_col, "raw"])
 
-    kind = coded.schema[id_col].dataType.simpleString()
-    return coded.select(F.col(id_col).alias("__id"), F.col(tokens_col).alias("__tokens")).mapInPandas(run, f"`{id_col}` {kind}, raw binary")
+    fields = [coded.schema[id_col], StructField("raw", BinaryType())]
+    return coded.select(column(id_col), column(tokens_col)).mapInArrow(run, StructType(fields))
 
 
 def _digest_columns(texts: list[str], vocabulary: str, pattern: str | None) -> dict:
@@ -202,10 +223,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
 def with_digests(docs: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None) -> DataFrame:
     """All columns of docs, with those of digests; a column of docs with such a name gives way."""
 
-    @F.pandas_udf(DIGESTS)
-    def coded(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_digest_columns(texts.fillna("").tolist(), vocabulary, pattern))
-
-    names = [c.split()[0] for c in DIGESTS.split(", ")]
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.withColumn("__coded", coded(F.col(text_col))).select(*others, "__coded.*")
+    return with_columns(docs, text_col, lambda texts: _digest_columns(texts, vocabulary, pattern), DIGESTS)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Characters of text that a Python worker turns into objects at a time.
 BATCH_CHARS = 1 << 20
@@ -19,13 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir.
 
-    Only where that setting is missing, as in tests on one machine, a local one is made and set.
+    Where that setting is missing, a local one is made and set in local mode, as in tests; a cluster must name one.
     """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -42,7 +55,23 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read again: later failures don't recompute it."""
     path = fresh_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver drop what no table refers to any more, above all the shuffle files of tables that are stored now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more; others are left alone."""
+    for t in tables:
+        path = t.__dict__.pop("stored_at", None)
+        if path:
+            remove(t.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -63,16 +92,40 @@ def sub_batches(frames: Iterable[pd.DataFrame], text: str, chars: int = BATCH_CH
             yield part
 
 
+def with_columns(docs: DataFrame, text_col: str, work: Callable, schema: str, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with the columns of work(texts) -> dict of columns; null texts arrive as ''.
+
+    The columns of docs pass as Arrow data, so that whole numbers beside nulls stay what they are, and texts become
+    Python objects BATCH_CHARS at a time. A column of docs whose name is in the schema gives way.
+    """
+    made = docs.sparkSession.createDataFrame([], schema).schema
+    kept = [f for f in docs.schema if (keep is None or f.name in keep) and f.name not in made.names]
+    arrow = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _pieces(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False), BATCH_CHARS):
+                part = batch.slice(a, b - a)
+                found = work(pc.fill_null(part.column(0), "").to_pylist())
+                columns = [pa.array(list(found[f.name]), type=f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=[*(f.name for f in kept), *arrow.names])
+
+    rows = docs.select(column(text_col).cast("string").alias("__text"), *[column(f.name) for f in kept])
+    return rows.mapInArrow(run, StructType([*kept, *made.fields]))
+
+
 def per_text(docs: DataFrame, id_col: str, text_col: str, work: Callable, schema: str) -> DataFrame:
-    """mapInPandas of work(list of ids, list of texts) -> dict of columns; null texts arrive as ''."""
+    """The id of every row, and the columns of work(texts)."""
+    return with_columns(docs, text_col, work, schema, [id_col])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in sub_batches(frames, "__text"):
-            out = work(part["__text"].fillna("").tolist())
-            yield pd.DataFrame({"__id": part["__id"].to_numpy(), **out}).rename(columns={"__id": id_col})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInPandas(run, f"`{id_col}` {kind}, {schema}")
+def _pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so many bytes; a larger row is a range of its own."""
+    if not len(sizes):
+        return
+    piece = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(sizes)]
+    yield from zip(cuts[:-1], cuts[1:], strict=True)
 
 
 def tokenizer_path(name: str) -> str:

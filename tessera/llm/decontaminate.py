@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import column, stored
 
 WINDOW, GRAM = 13, 5
 #: A row of the benchmark's tables is below 2 KB, so that a broadcast stays below 100 MB.
@@ -107,8 +107,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = stored(items.withColumn("n", F.least(F.size("words"), F.lit(window))), "items")
     lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most `window` numbers
     classes = _classes(lengths, window, gram)
-    whole = F.struct(*docs.columns) if carry else F.struct(F.col(id_col).alias("id"))
-    hold = docs.select(whole.alias("doc"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("k"))
+    whole = F.struct(*map(column, docs.columns)) if carry else F.struct(column(id_col).alias("id"))
+    hold = docs.select(whole.alias("doc"), column(text_col).alias("text"), F.xxhash64(column(id_col), column(text_col)).alias("k"))
     if not classes:
         out = hold.select("doc", F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n_hit"))
         return _finish(out, id_col, carry)
@@ -119,7 +119,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     near = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
 
     # the id is in the key, so that copies of a text are dealt over many tasks
-    found = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text")).select("k", F.explode(bound(words_of(F.col("text")), lambda w: _tagged(w, classes))).alias("p"))
+    found = docs.select(F.xxhash64(column(id_col), column(text_col)).alias("k"), column(text_col).alias("text")).select("k", F.explode(bound(words_of(F.col("text")), lambda w: _tagged(w, classes))).alias("p"))
     hits = found.select("k", "p.n", "p.h").join(near(prints), ["n", "h"]).groupBy("k").agg(F.collect_set(F.struct("n", "h")).alias("hits"))
     # the small side is hashed, so that the texts needn't be sorted
     joined = hold.join(hits.hint("shuffle_hash"), "k", "left")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import stored
+from .common import column, stored
 from .components import components
 from .embedding_dedup import _forest
 
@@ -238,7 +238,7 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     from pyspark.sql import Window
 
     found = stored(classes(docs, id_col, text_col), "members")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("bigint").alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("doc"), F.col(id_col).cast("bigint").alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
     gone = found.where("not kept or n > 1").hint("shuffle_hash")
     out = rows.join(gone, ["id", "th"], "left").where("kept is null or kept")
     if not found.where("kept and n > 1").isEmpty():  # rows that repeat an id and a text

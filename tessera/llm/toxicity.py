@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, stored, sub_batches
+from .common import column, per_text, stored, sub_batches, with_columns
 
 #: Labelled training rows of the fit, and stems that it may learn.
 FIT_ROWS, LEARNED_STEMS = 8_000, 2_000
@@ -305,9 +305,7 @@ def training_fold(c):
 def kept(docs: DataFrame, grammar: Grammar, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows whose score is below `least`, with all their columns."""
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        x = [grammar.features(t) for t in texts.fillna("")]
-        return pd.Series(grammar.score(np.array(x).reshape(-1, len(PATTERNS))))
+    def work(texts: list[str]) -> dict:
+        return {"__score": grammar.score(np.array([grammar.features(t) for t in texts]))}
 
-    return docs.where(scored(F.col(text_col)) < least)
+    return with_columns(docs, text_col, work, "__score double").where(F.col("__score") < least).drop("__score")
