@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are range-sorted by id, so that the same rows give the same files. A writer task rolls its files by compressed
-size. Every file is first written under a temporary name that holds the task's attempt, and is listed in a manifest;
+Records are range-sorted by id into parts of about TASK_BYTES of payload. The bounds of the parts come from exact sums
+of bytes over ranges of ids, halved until none is too large, so that the same rows give the same files, however they are
+dealt over tasks. Within a part files are rolled by compressed size. Every file is first written under a temporary name that holds the task's attempt, and is listed in a manifest;
 Spark commits the rows of one attempt per task, and only files in the committed manifest are renamed to their final,
 deterministic names. A lost executor so costs its task's files, and a repeated rename finds its work done. Headers
 (lengths, payload and block digests, record ids) are regenerated from the payloads. The reader checks every file
@@ -26,14 +27,18 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import fresh_path, remove, stored, sub_batches
+from .common import column, forget, fresh_path, remove, stored, sub_batches
+from .skew import heavy, skew_join
 
-#: Compressed bytes at which a file is rolled, and raw bytes of payload for one writer task.
-ROLL_BYTES, TASK_BYTES = 256 << 20, 64 << 20
+#: Compressed bytes at which a file is rolled, and raw bytes of payload for one part.
+ROLL_BYTES, TASK_BYTES = 8 << 20, 64 << 20
+#: Bits of the id by which a range that is too large is divided.
+DIVIDE_BITS = 6
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -106,35 +111,90 @@ class _Rolling:
             self.out, self.seq = None, self.seq + 1
 
 
+def _ordered(ids: Column) -> Column:
+    """Ids as bit patterns whose unsigned order is theirs; no id comes first."""
+    return F.coalesce(ids, F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def _prefix(pattern: Column, bits: int) -> Column:
+    return F.lit(0).cast("bigint") if bits == 0 else F.shiftrightunsigned(pattern, 64 - bits)
+
+
+def parts_of(rows: DataFrame, task_bytes: int) -> list[tuple[int, int, int]]:
+    """(bits, prefix, part): ranges of ids, as leading bits of their patterns, in order, and the part that each is in.
+
+    rows is (id, n bytes). A range of more than task_bytes is divided until it is one id, so that there are at most
+    2 ** DIVIDE_BITS ranges for each task_bytes. Only their sums are collected.
+    """
+    sized = rows.select(_ordered(F.col("id")).alias("u"), "n")
+    ends = sized.agg(F.min(F.col("u").bitwiseXOR(F.lit(-(1 << 63)))).alias("a"), F.max(F.col("u").bitwiseXOR(F.lit(-(1 << 63)))).alias("b"), F.sum("n").alias("n")).first()
+    if ends["a"] is None:
+        return []
+    low, high = ends["a"] + (1 << 63), ends["b"] + (1 << 63)
+    bits = 64 - (low ^ high).bit_length()
+    done, now = [], [(bits, low >> (64 - bits), ends["n"])]
+    while now:
+        done += [x for x in now if x[2] <= task_bytes or x[0] == 64]
+        large = [x[1] for x in now if x[2] > task_bytes and x[0] < 64]
+        if not large:
+            break
+        was, bits = bits, min(64, bits + DIVIDE_BITS)
+        wanted = rows.sparkSession.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in large], "p bigint")
+        inside = sized.withColumn("p", _prefix(F.col("u"), was)).join(F.broadcast(wanted), "p")
+        now = [(bits, r["p"] % (1 << 64), r["n"]) for r in inside.groupBy(_prefix(F.col("u"), bits).alias("p")).agg(F.sum("n").alias("n")).collect()]
+    out, part, held = [], 0, 0
+    for bits, prefix, n in sorted(done, key=lambda x: x[1] << (64 - x[0])):
+        if held and held + n > task_bytes:
+            part, held = part + 1, 0
+        held += n
+        out.append((bits, prefix, part))
+    return out
+
+
+def _dealt(rows: DataFrame, ranges: list[tuple[int, int, int]]) -> DataFrame:
+    """rows with their part, one part after the other in tasks of their own, sorted."""
+    spark, part = rows.sparkSession, F.lit(None).cast("int")
+    for i, bits in enumerate(sorted({b for b, _, _ in ranges})):
+        level = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, n) for b, p, n in ranges if b == bits], f"p{i} bigint, part{i} int")
+        rows = rows.join(F.broadcast(level), _prefix(_ordered(F.col("id")), bits) == F.col(f"p{i}"), "left")
+        part = F.coalesce(part, f"part{i}")
+    rows = rows.select("id", "url", "html", "n", "digest", "first", part.alias("part"))
+    return rows.repartitionById(max(1, ranges[-1][2] + 1 if ranges else 1), F.coalesce("part", F.lit(0))).sortWithinPartitions("part", "id", "digest", "url")
+
+
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, roll_bytes: int = ROLL_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Writes all rows to files in folder and commits them; returns the manifest."""
     spark = pages.sparkSession
-    text = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), text.alias("html")).withColumns({"n": F.octet_length("html").cast("bigint"), "digest": F.sha2("html", 256)})
+    text = F.coalesce(column(payload_col).cast("string"), F.lit(""))
+    rows = pages.select(column(id_col).cast("bigint").alias("id"), column(url_col).cast("string").alias("url"), text.alias("html")).withColumns({"n": F.octet_length("html").cast("bigint"), "digest": F.sha2("html", 256)})
     firsts = rows.where(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("many"))
-    firsts = stored(firsts.where("many > 1").select(F.col("digest"), "first"), "repeats")
+    firsts = stored(firsts.where("many > 1"), "repeats")
+    sized = stored(rows.select("id", "n"), "sizes")
+    hot = heavy(firsts, "digest", "many", sized.count())
     # on a repeated payload only rows that may become the response carry it on
-    rows = rows.join(firsts, "digest", "left").withColumn("other", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
+    rows = skew_join(rows, firsts.select("digest", "first"), "digest", hot, "left").withColumn("other", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
     rows = rows.withColumn("html", F.when(F.col("other"), F.lit("")).otherwise(F.col("html")))
-    size = pages.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    parts = max(1, -(-int(size) // task_bytes))
-    rows = rows.select("id", "url", "html", "n", "digest", "first").repartitionByRange(parts, "id").sortWithinPartitions("id", "digest", "url")
+    ranges = parts_of(sized, task_bytes)
+    # whole numbers with nulls travel as text, as pandas has only doubles for them
+    rows = _dealt(rows, ranges).withColumns({"id": F.col("id").cast("string"), "first": F.col("first").cast("string")})
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context = TaskContext.get()
-        out = _Rolling(folder, context.partitionId(), uuid.uuid4().hex[:12], roll_bytes)
-        made, last = [], None
+        attempt, out, made, last = uuid.uuid4().hex[:12], None, [], None
         for f in sub_batches(frames, "html"):
             for r in f.itertuples(index=False):
-                page = None if pd.isna(r.id) else int(r.id)
-                first = None if pd.isna(r.first) else int(r.first)
+                if out is None or out.part != r.part:
+                    made += out.close() if out else []
+                    out = _Rolling(folder, int(r.part), attempt, roll_bytes)
+                page, first = (None if x is None else int(x) for x in (r.id, r.first))
                 refers = first if first is not None and (page != first or last == (page, r.digest)) else None
                 last = (page, r.digest)
                 made += out.add(page_record(page, r.url, r.html.encode("utf-8", "surrogatepass"), r.digest, int(r.n), refers))
-        made += out.close()
+        made += out.close() if out else []
         yield pd.DataFrame(made, columns=[c.split()[0] for c in MANIFEST.split(", ")])
 
     manifest = stored(rows.mapInPandas(work, MANIFEST), "manifest")
+    parts = len({p for _, _, p in ranges})
+    forget(firsts, sized)
 
     def rename(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _open(folder)
@@ -200,14 +260,21 @@ class _Hashing(io.RawIOBase):
         return len(data)
 
 
+PAGE = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+
+
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """Per page record: page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to."""
-    schema = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    spark = manifest.sparkSession
+    arrow = to_arrow_schema(spark.createDataFrame([], PAGE).schema)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
-        for f in frames:
-            for name, sha in zip(f["name"], f["sha256"], strict=True):
+        for f in batches:
+            for name, sha in zip(f.column(0).to_pylist(), f.column(1).to_pylist(), strict=True):
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as raw:
                     hashing, rows, size = _Hashing(raw), [], 0
                     buffered = io.BufferedReader(hashing, 1 << 20)
@@ -224,21 +291,16 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         rows.append((number("X-Page-ID"), headers["WARC-Target-URI"], payload if kind == "response" else None, n, digest, kind, number("X-Refers-To-Page-ID")))
                         size += len(block)
                         if size >= 1 << 22:
-                            yield _frame(rows)
+                            yield batch(rows)
                             rows, size = [], 0
                     while buffered.read(1 << 20):
                         pass
                     if hashing.sha.hexdigest() != sha:
                         raise ValueError(f"{name} isn't the file that was committed")
-                    yield _frame(rows)
+                    yield batch(rows)
 
-    def _frame(rows: list) -> pd.DataFrame:
-        f = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-        return f.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
-
-    spark = manifest.sparkSession
     files = max(1, spark.sparkContext.defaultParallelism * 4)
-    return manifest.select("name", "sha256").repartition(files, "name").mapInPandas(work, schema)
+    return manifest.select("name", "sha256").repartition(files, "name").mapInArrow(work, PAGE)
 
 
 def round_trip(pages: DataFrame, **more) -> DataFrame:
