@@ -34,13 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import stored
+from .common import column, stored
 
 SUCCESSOR_BITS = 24
 END = X.mix(np.array([0xE0D], dtype=np.uint64))[0]
 STEPS = 5000  # of a probability's code for one unit of log10
 EXACT, RATIO = 4096, 1.0004  # counts that are kept exactly, and the ratio of the steps beyond them
 _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+#: For each byte, where its ones are: entry (byte, r) is the position of the one of rank r.
+_ONES = np.array([([j for j in range(8) if i >> j & 1] + [0] * 8)[:8] for i in range(256)], dtype=np.uint8)
 
 
 class EliasFano:
@@ -72,12 +74,25 @@ class EliasFano:
         return EliasFano(n, bits, low, np.packbits(flags, bitorder="little").view(np.uint64))
 
     def _select(self, before: np.ndarray, rank: np.ndarray, flip: bool) -> np.ndarray:
-        """Positions of the ones (or zeros) of the given ranks."""
-        word = np.searchsorted(before, rank, side="right") - 1
-        word = np.minimum(word, len(self.high) - 1)
-        raw = np.ascontiguousarray(~self.high[word] if flip else self.high[word])
-        seen = np.cumsum(np.unpackbits(raw.view(np.uint8), bitorder="little").reshape(-1, 64), axis=1, dtype=np.uint8)
-        return word * 64 + (seen <= (rank - before[word])[:, None].astype(np.uint8)).sum(axis=1)
+        """Positions of the ones (or zeros) of the given ranks: a word by the counts before it, in it a byte, in it a bit."""
+        word = np.minimum(np.searchsorted(before, rank, side="right") - 1, len(self.high) - 1)
+        raw = np.ascontiguousarray(~self.high[word] if flip else self.high[word]).view(np.uint8).reshape(-1, 8)
+        seen = np.cumsum(_POP[raw], axis=1, dtype=np.uint8)
+        left = (rank - before[word]).astype(np.uint8)
+        byte = np.minimum((seen <= left[:, None]).sum(axis=1), 7)
+        row = np.arange(len(word))
+        left -= np.where(byte > 0, seen[row, byte - 1], 0).astype(np.uint8)
+        return word * 64 + byte * 8 + _ONES[raw[row, byte], left]
+
+    def _run(self, at: np.ndarray, zero: np.ndarray) -> np.ndarray:
+        """How many ones follow each other from each position on; zero: the rank of the next zero."""
+        word, off = at >> 6, (at & 63).astype(np.uint64)
+        gap = ~(self.high[word] >> off)
+        lowest = gap & (~gap + np.uint64(1))
+        n = _POP[np.ascontiguousarray(lowest - np.uint64(1)).view(np.uint8).reshape(-1, 8)].sum(axis=1, dtype=np.int64)
+        over = np.flatnonzero(n >= 64 - off.astype(np.int64))  # on to the next zero, in a later word
+        n[over] = self._select(self.zeros, zero[over], True) - at[over]
+        return n
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -95,11 +110,6 @@ class EliasFano:
         high = (self._select(self.ones, at, False) - at).astype(np.uint64)
         return high << np.uint64(self.low_bits) | self._lows(at)
 
-    def decode(self) -> np.ndarray:
-        """All values: what a task that has very many lookups does once."""
-        ends = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
-        return (ends - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits) | self._lows(np.arange(self.n))
-
     def find(self, values: np.ndarray) -> np.ndarray:
         """The position of the first element that equals each value, or -1: the next greater or equal one is looked up."""
         values = np.asarray(values, dtype=np.uint64)
@@ -109,8 +119,10 @@ class EliasFano:
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
         ok = np.flatnonzero(high < self.zeros[-1])
         high, want = high[ok], values[ok] & np.uint64((1 << self.low_bits) - 1)
-        start = np.where(high > 0, self._select(self.zeros, np.maximum(high - 1, 0), True) - (high - 1), 0)
-        stop = self._select(self.zeros, high, True) - high
+        # the elements with these high bits are the ones between two zeros
+        place = np.where(high > 0, self._select(self.zeros, np.maximum(high - 1, 0), True) + 1, 0)
+        start = place - high
+        stop = start + self._run(place, high)
         live = np.flatnonzero(start < stop)
         while len(live):
             at = start[live]
@@ -162,13 +174,22 @@ class Trie:
             at += 2 * n
         return Trie(parts)
 
-    def lookup(self, pair: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of (pair) and of (pair, successor), -1 where they aren't: the search that single queries use."""
+    def lookup(self, pair: np.ndarray, owner: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of pairs, and of successors of the pairs that owner names; -1 where they aren't.
+
+        A pair's node is found among the pairs; its pointers bound its successors, among which the successor, relative
+        to the node, is searched.
+        """
         node = self.pairs.find(pair)
-        at = self.successors.find(np.where(node >= 0, node, 0).astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor)
-        begin, end = self.pointers.get(np.maximum(node, 0)), self.pointers.get(np.maximum(node, 0) + 1)
-        inside = (node >= 0) & (at >= begin.astype(np.int64)) & (at < end.astype(np.int64))
-        return node, np.where(inside, at, -1)
+        known = np.flatnonzero(node >= 0)
+        begin, end = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
+        begin[known], end[known] = self.pointers.get(node[known]), self.pointers.get(node[known] + 1)
+        out = np.full(len(successor), -1, dtype=np.int64)
+        ask = np.flatnonzero(end[owner] > begin[owner])
+        mine = owner[ask]
+        at = self.successors.find(node[mine].astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor[ask])
+        out[ask] = np.where((at >= begin[mine]) & (at < end[mine]), at, -1)
+        return node, out
 
 
 def count_code(c: np.ndarray) -> np.ndarray:
@@ -271,14 +292,6 @@ def _shard_trie(frame: pd.DataFrame) -> tuple[bytes, list[np.ndarray], list[np.n
     return Trie.build(learned, counts, (value >> np.uint64(SUCCESSOR_BITS)).astype(np.int64), value & np.uint64((1 << SUCCESSOR_BITS) - 1), seen), keys, owners, successors
 
 
-def _positions(level: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Successor search in a decoded level, for sorted values: positions, -1 where a value isn't there."""
-    if not len(level):
-        return np.full(len(values), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(level, values), len(level) - 1)
-    return np.where(level[at] == values, at, -1)
-
-
 def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     shard, kind, blocks, rows = int(frame["shard"].iloc[0]), int(frame["kind"].iloc[0]), frame["block"].tolist(), []
     if kind == 1:
@@ -298,13 +311,8 @@ def _answer(frame: pd.DataFrame) -> pd.DataFrame:
             del data
             with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
                 trie = Trie.open(mapped)
-                pairs, level = trie.pairs.decode(), trie.successors.decode()
-                starts = trie.pointers.decode().astype(np.int64)
                 for b, k, o, s in zip(blocks, keys, owners, successors, strict=True):
-                    node = _positions(pairs, k)
-                    mine = node[o]
-                    at = _positions(level, np.maximum(mine, 0).astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | s)
-                    at = np.where((mine >= 0) & (at >= starts[np.maximum(mine, 0)]), at, -1)
+                    node, at = trie.lookup(k, o, s)
                     pick = lambda values, i: np.where(i >= 0, values[np.maximum(i, 0)] if len(values) else 0, 0)
                     packed = [X.press(pick(v, i).astype(np.uint16).tobytes()) for v, i in ((trie.counts, node), (trie.backs, node), (trie.chances, at))]
                     rows.append((2, shard, b, *packed, None))
@@ -326,7 +334,9 @@ def _exponent(words: np.ndarray, tokens: np.ndarray, pairs: int) -> float:
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> tuple[DataFrame, int]:
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train")).withColumn("h", F.xxhash64("text"))
+    # a null id is 0 and marked: pandas has no whole numbers with nulls
+    number = column(id_col).cast("bigint")
+    rows = docs.select(F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("no_id"), F.coalesce(column(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train")).withColumn("h", F.xxhash64("text"))
     n_bytes = X.total_bytes(rows, "text")
     return rows.withColumn("block", X.block_of(n_bytes, F.col("id"), F.col("h"))), X.shard_bits(n_bytes)
 
@@ -353,7 +363,7 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         stats[r["i"]] = r["n"]
     n_train, n_words, n_pairs = int(stats[0]), int(stats[1]), int(stats[2])
     power = _exponent(stats[3 : 3 + BUCKETS], stats[3 + BUCKETS :], n_pairs)
-    columns = ["id", "train", "n_tokens", "n_known", "base_score", "score"]
+    columns = ["id", "no_id", "train", "n_tokens", "n_known", "base_score", "score"]
 
     def finish(frame: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
@@ -381,8 +391,8 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             p[g.third] = np.where(back > 0, chance + back * p[g.third], p[g.third])
         n = len(frame)
         total = lambda x: np.bincount(g.owner, x, n)
-        out = pd.DataFrame({"id": frame["id"].to_numpy(), "train": frame["train"].to_numpy(bool), "n_tokens": np.bincount(g.owner, minlength=n), "n_known": total(c1 > 0).astype(np.int64), "base_score": total(np.log10(base)), "score": total(np.log10(p))})
+        out = pd.DataFrame({"id": frame["id"].to_numpy(), "no_id": frame["no_id"].to_numpy(bool), "train": frame["train"].to_numpy(bool), "n_tokens": np.bincount(g.owner, minlength=n), "n_known": total(c1 > 0).astype(np.int64), "base_score": total(np.log10(base)), "score": total(np.log10(p))})
         return out[columns]
 
-    out = blocks.groupBy("block").cogroup(answers.where("kind > 0").groupBy("block")).applyInPandas(finish, "id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
+    out = blocks.groupBy("block").cogroup(answers.where("kind > 0").groupBy("block")).applyInPandas(finish, "id bigint, no_id boolean, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select(F.when(~F.col("no_id"), F.col("id")).alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
