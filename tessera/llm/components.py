@@ -10,22 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
+from .skew import heavy
 
 SALTS = 16
-#: Rows, of some 16 to 40 bytes, that one task takes: a round over so few needs no shuffle. More are dealt out.
-SMALL_ROWS = 200_000
 
 
-def gathered(df: DataFrame, n: int) -> DataFrame:
-    """df, in one partition if its counted n rows are few: what follows then plans no exchange."""
-    return df.coalesce(1) if n <= SMALL_ROWS else df
-
-
-def _with_min(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (u, v) with m of least (u, m); the rows of one u go to SALTS tasks."""
-    salted = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    spread = least.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+def _with_min(edges: DataFrame, least: DataFrame, hot: list) -> DataFrame:
+    """edges (u, v) with m of least (u, m); the rows of a hot u go to SALTS tasks."""
+    if not hot:
+        return edges.join(least, "u")
+    is_hot = F.col("u").isin(hot)
+    salted = edges.withColumn("s", F.when(is_hot, F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint")))
+    spread = least.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(is_hot, F.lit(SALTS - 1)).otherwise(F.lit(0)).cast("bigint"))))
     return salted.join(spread, ["u", "s"]).select("u", "v", "m")
 
 
@@ -45,13 +42,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         if not was[0]:
             break
-        now = gathered(now, was[0])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # a node's rows in the second star are at most its edges in the first, so that one list serves both
+        hot = heavy(both.groupBy("u").agg(F.count("*").alias("n")), "u", "n", 2 * was[0])
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _with_min(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _with_min(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        large = _with_min(both, least, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        below = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _with_min(large, below, hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, now = now, stored(small.unionByName(below.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(before)
         found = _signature(now)
         if found == was:
             break
