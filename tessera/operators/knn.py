@@ -26,8 +26,9 @@ def knn(queries: DataFrame, references: DataFrame, k: int = K, vector: Sequence[
     """(qid, ref_id, d2, fraud, rank): the k nearest references of every query by (d2, ref_id).
 
     references is (ref_id, vector columns, fraud). A pair of tiles gives at most k rows a query, so that what is
-    shuffled grows with the queries times the reference tiles, not with the pairs.
+    shuffled grows with the queries times the reference tiles, not with the pairs. k is 1 to 5.
     """
+    check_k(k)
     q = kernel.pack(queries.withColumn("__no", F.lit(0)), query_id, vector, "__no", QUERY_ROWS)
     q = q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     r = kernel.pack(references, "ref_id", vector, "fraud", REFERENCE_ROWS)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.constants import DIMS, SCALE, Q
+from tessera.functions.vectors import squared_distance
 from tessera.operators import cells, ivf
 from tessera.plans.storage import kept
 
@@ -42,10 +44,42 @@ def lloyd(references: DataFrame, centroids: DataFrame, rounds: int, vector: Sequ
     return centroids
 
 
+def spread_seeds(sample: DataFrame, clusters: int, vector: Sequence[str] = tuple(Q), seed: int = 7) -> DataFrame:
+    """(cluster_id, vector): k-means++ on a bounded sample. Each next seed is drawn with a chance that grows with its
+    squared distance from the ones before, so that no dense region takes them all."""
+    x = sample.orderBy("ref_id").select(*vector).toPandas().to_numpy(np.float64)  # at most train_sample's rows
+    rng, chosen = np.random.default_rng(seed), []
+    far = np.full(len(x), np.inf)
+    for _ in range(min(clusters, len(x))):
+        total = far.sum()
+        at = int(rng.integers(len(x))) if not np.isfinite(total) or total == 0 else int(np.searchsorted(np.cumsum(far), rng.random() * total, side="right"))
+        chosen.append(min(at, len(x) - 1))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    rows = [(i, *map(int, x[j])) for i, j in enumerate(chosen)]
+    return sample.sparkSession.createDataFrame(rows, ", ".join(["cluster_id bigint", *(f"{v} int" for v in vector)]))
+
+
+def reseeded(references: DataFrame, centroids: DataFrame, vector: Sequence[str] = tuple(Q)) -> DataFrame:
+    """centroids, with those of empty clusters moved to the references that are farthest from their own."""
+    sizes = ivf.cluster_sizes(ivf.assign(references, centroids, vector), centroids)
+    empty = [r["cluster_id"] for r in sizes.where("n = 0").orderBy("cluster_id").collect()]  # bounded by the number of clusters
+    if not empty:
+        return centroids
+    own = centroids.select("cluster_id", *[F.col(v).alias(f"c_{v}") for v in vector])
+    apart = ivf.assign(references, centroids, vector).join(F.broadcast(own), "cluster_id")
+    distance = squared_distance([F.col(v) for v in vector], [F.col(f"c_{v}") for v in vector])
+    far = apart.select(distance.alias("d"), *vector).groupBy(*vector).agg(F.max("d").alias("d")).orderBy(F.desc("d"), *vector).limit(len(empty)).collect()
+    moved = {c: r for c, r in zip(empty, far, strict=False) if r["d"] > 0}
+    rows = [(r["cluster_id"], *((moved.get(r["cluster_id"]) or r)[v] for v in vector)) for r in centroids.collect()]
+    return references.sparkSession.createDataFrame(rows, ", ".join(["cluster_id bigint", *(f"{v} int" for v in vector)]))
+
+
 def build_ivf(references: DataFrame, clusters: int = 2048, rounds: int = 10, vector: Sequence[str] = tuple(Q), train_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(centroids, references with cluster_id)."""
+    """(centroids, references with cluster_id): k-means++ seeds, rounds of means, empty clusters seeded anew."""
     sample = kept(train_sample(references, clusters, train_rows))
-    centroids = lloyd(sample, seeds(sample, clusters, vector), rounds, vector)
+    centroids = spread_seeds(sample, clusters, vector)
+    for _ in range(rounds):
+        centroids = reseeded(sample, lloyd(sample, centroids, 1, vector), vector)
     return centroids, ivf.assign(references, centroids, vector)
 
 

@@ -127,9 +127,26 @@ def _sweep() -> str:
         sql += f",\np{n} as (select * from pr where probe <= {n})" + _scan(f"s{n}", f"p{n}")
         sql += f",\nv{n} as (select qid, cast(sum(fraud) as double)/5 < 0.6e0 a from s{n} group by qid)"
         parts.append(_CONFUSION.format(setting=f"'nprobe={n}' setting,") + f" from v{n} join ex using (qid)")
+    for n in (1, 2, 4):
+        sql += f",\nw{n} as (select qid from s{n} group by qid having sum(fraud) between 2 and 4),\nt{n} as (select * from pr where probe <= {n} or qid in (select qid from w{n}))" + _scan(f"u{n}", f"t{n}")
+        sql += f",\nx{n} as (select qid, cast(sum(fraud) as double)/5 < 0.6e0 a from u{n} group by qid)"
+        parts.append(_CONFUSION.format(setting=f"'adaptive={n}-{MOST}' setting,") + f" from x{n} join ex using (qid)")
     return f"with {sql}\n" + "\nunion all\n".join(parts)
 
 
+def _generated() -> str:
+    """The same arithmetic as in the generator, and the features of it."""
+    names = ("cents", "instalments", "second", "usual", "today", "merchant", "friend", "code", "shop", "flags", "home", "gap", "away")
+    of = {x: f"(((n+1)*{7919 + 2 * i}+42)%2147483647*48271%2147483647*16807%2147483647)" for i, x in enumerate(names)}
+    d = lambda what, most: f"({of[what]}%{most})"
+    return f"""with g as (select * from range(cast((select count(*) from events) as bigint)) t(n)),
+a as (select n, 1767225600 + {d("second", 28 * 86400)} ep, {d("cents", 1200)} root, {d("merchant", 500)} shop from g),
+f as (select 'made-' || n ok, (root*root+50)/100.0e0 amount, 1+{d("instalments", 18)} inst, ep, {d("usual", 250000)}/100.0e0 cavg, {d("today", 30)} n24,
+  {d("friend", 3)} <> 0 unk, {d("code", 12)} mccx, {d("shop", 1500000)}/100.0e0 mavg, {d("home", 12000)}/8.0e0 kmh, {d("flags", 4)}%2=1 onl, {d("flags", 4)}>=2 cp,
+  case when {d("gap", 5)} <> 0 then ep - 60*(1+{d("gap", 3000)}) end lep, {d("away", 9000)}/8.0e0 kml from a)
+select ok id, """ + ", ".join(f"{e} {v}" for e, v in zip(_V, V, strict=True)) + " from f"
+
+
 def _report() -> str:
     return """with r(run, fp, fn, errors, n, p99) as (values (1,0,0,0,5000,1.0e0),(2,5,5,0,5000,3.0e0),(3,0,0,0,5000,100.0e0),(4,30,20,0,5000,10.0e0),
  (5,100,50,0,5000,300.0e0),(6,500,250,0,5000,200.0e0),(7,500,300,0,5000,10.0e0),(8,0,0,5000,5000,60000.0e0)),
@@ -176,6 +193,13 @@ ORACLE: dict[str, str] = {
     "latency_percentiles": "select count(value) n, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.9) p90, quantile_disc(value, 0.99) p99, quantile_disc(value, 0.999) p999, max(value) most from events",
     "load_report": _report(),
     "nprobe_sweep": _sweep(),
-    "corpus_scan": f"with {TX} select ok, (ok*7919+13)%100 >= 25 expected_approved from f where ok%10=0",
+    "corpus_scan": f"with {TX} select ok, (ok*7919+13)%100 >= 25 expected_approved from f",
+    "generated": _generated(),
+    "baselines": f"with {TX} select b baseline, 'tx-' || ok id, cast(0 as bigint) frauds, 0.0e0 fraud_score, true approved, 'OK' status from f cross join (values ('stub'), ('vectorize')) t(b)",
+    "score_repeats": f"with {KNN}, s as ({_VOTE}) select s.*, 'OK' status from s cross join range(2)".replace("s.*", "qid, frauds, fraud_score, approved"),
+    "fail_safe": f"with {TX} select 'tx-' || ok id, 0.6e0 fraud_score, false approved, 'FAIL_SAFE' status from f",
+    "references_read": f"with e as (select {', '.join(_quantize(f'cast(embedding[{i + 1}] as double)') + f' {q}' for i, q in enumerate(Q))}, case when label >= 5 then 1 else 0 end fraud from embeddings) select *, count(*) n from e group by all",
+    "fallback": f"with {KNN}, s as ({_VOTE}) select x found, qid, frauds, fraud_score, approved from s cross join (values ('cells'), ('flat')) t(x) union all select 'stub', qid, cast(0 as bigint), 0.0e0, true from s",
+    "ivf_build": f"with {KNN} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
 }
 assert len(_V) == DIMS

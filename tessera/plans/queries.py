@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,13 @@ from tessera.operators import cells, ivf, knn
 from tessera.operators.vote import respond, vote
 from tessera.plans import evaluate, fixtures, index
 from tessera.plans.oracle import BASE, CAP, CLUSTERS, MOST, ROUNDS
-from tessera.plans.scorers import Brute, Stub, VectorizeOnly
+from tessera.plans.scorers import Brute, Stub, VectorizeOnly, load
 from tessera.plans.storage import kept, shared_dir
 from tessera.sources import references as R
 from tessera.sources import requests as S
 
+#: Order numbers of one labelled corpus.
+CORPUS_ORDERS = 4_000
 _NEIGHBOURS = ("qid", "ref_id", "d2", "fraud", "rank")
 
 
@@ -180,8 +183,6 @@ def box_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     queries, references = _sides(spark, sf_dir)
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     index.save(path, index.build_cells(references, 64), "cells")
@@ -191,8 +192,6 @@ def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies in files, through a stream, to decisions."""
-    import uuid
-
     from tessera.streaming import score as stream
 
     _utc(spark)
@@ -225,31 +224,81 @@ def nprobe_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, n = kept(assigned), assigned.count()
     exact = kept(vote(knn.knn(queries, assigned), n).select("qid", F.col("approved").alias("expected_approved")))
     runs = [(f"nprobe={p}", lambda p=p: vote(ivf.search(queries, centroids, assigned, base=p, most=p), n)) for p in (1, 2, 4, MOST)]
+    runs += [(f"adaptive={p}-{MOST}", lambda p=p: vote(ivf.search(queries, centroids, assigned, base=p, most=MOST), n)) for p in (1, 2, 4)]
     return evaluate.sweep(runs, exact)
 
 
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A labelled corpus written as one JSON document and read back."""
-    import uuid
-
+    """All transactions, written as labelled corpora of at most CORPUS_ORDERS entries and read back."""
     _utc(spark)
-    tx = fixtures.transactions(spark, sf_dir).where("ok % 10 = 0")
-    bodies = S.to_body(tx, keep=("ok",)).select(F.struct(F.col("body").alias("request"), ((F.col("ok") * 7919 + 13) % 100 >= 25).alias("expected_approved")).alias("e"))
+    bodies = S.to_body(fixtures.transactions(spark, sf_dir), keep=("ok",))
+    entry = F.struct(F.col("body").alias("request"), ((F.col("ok") * 7919 + 13) % 100 >= 25).alias("expected_approved"))
+    corpora = bodies.groupBy(F.floor(F.col("ok") / CORPUS_ORDERS).alias("part")).agg(F.collect_list(entry).alias("entries"))
     path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    bodies.agg(F.to_json(F.struct(F.collect_list("e").alias("entries"))).alias("value")).write.text(path)
-    read = S.valid(S.parse(R.read_corpus(spark, path), keep=("expected_approved",)))
+    corpora.select(F.to_json(F.struct("entries")).alias("value")).write.text(path)
+    read = S.valid(S.parse(R.read_corpus(spark, path, lines=True), keep=("expected_approved",)))
     return read.select(F.substring_index("id", "-", -1).cast("bigint").alias("ok"), "expected_approved")
 
 
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic requests, through JSON, to vectors."""
+    """Synthetic requests, as many as there are events, through JSON to vectors."""
     _utc(spark)
-    return vectorize(S.valid(S.parse(S.to_body(S.generate(spark, 2000)))))
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    return vectorize(S.valid(S.parse(S.to_body(S.generate(spark, n))))).select("id", *V)
 
 
 def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = S.generate(spark, 1000)
-    return Stub().score(requests).unionByName(VectorizeOnly().score(requests))
+    """The two baselines over all transactions."""
+    _utc(spark)
+    requests = fixtures.transactions(spark, sf_dir)
+    runs = [(name, s.score(requests)) for name, s in (("stub", Stub()), ("vectorize", VectorizeOnly()))]
+    both = [r.select(F.lit(name).alias("baseline"), "id", "frauds", "fraud_score", "approved", "status") for name, r in runs]
+    return both[0].unionByName(both[1])
+
+
+def score_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query twice under one id: each row is scored by itself."""
+    _utc(spark)
+    _, references = _sides(spark, sf_dir)
+    asked = fixtures.transactions(spark, sf_dir).where("ok % 10 = 0")  # the fixture's queries
+    scored = Brute(references).score(asked.unionByName(asked))
+    return scored.select(F.substring_index("id", "-", -1).cast("bigint").alias("qid"), "frauds", "fraud_score", "approved", "status")
+
+
+def fail_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions against no reference at all: nobody is lost, and all are denied."""
+    _utc(spark)
+    _, references = _sides(spark, sf_dir)
+    scored = Brute(references.where("false")).score(fixtures.transactions(spark, sf_dir))
+    return scored.select("id", "fraud_score", "approved", "status")
+
+
+def references_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of 14 leading dimensions as labelled references, written as gzipped JSON lines and read back."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    path = f"{shared_dir(spark)}/references-{uuid.uuid4().hex}"
+    vector = F.transform(F.slice("embedding", 1, len(Q)), lambda x: x.cast("double"))
+    told = table.select(vector.alias("vector"), F.when(F.col("label") >= 5, "fraud").otherwise("legit").alias("label"))
+    told.write.option("compression", "gzip").json(path)
+    return R.references(R.read_json(spark, path, lines=True)).groupBy(*Q, "fraud").agg(F.count("*").alias("n"))
+
+
+def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorers that are found as indexes go missing, and their decisions on the fixture's queries."""
+    queries, references = _sides(spark, sf_dir)
+    root = f"{shared_dir(spark)}/fallback-{uuid.uuid4().hex}"
+    index.save(f"{root}/cells", index.build_cells(references, 64), "cells")
+    index.save(f"{root}/flat", references)
+    runs = [("cells", load(spark, f"{root}/cells", f"{root}/flat")), ("flat", load(spark, f"{root}/none", f"{root}/flat")), ("stub", load(spark, f"{root}/none", f"{root}/no", f"{root}/no"))]
+    out = [s.score_vectors(queries).select(F.lit(name).alias("found"), "qid", "frauds", "fraud_score", "approved") for name, s in runs]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def ivf_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built index, probed in full: every reference is in one cluster, and the result is exact."""
+    queries, references = _sides(spark, sf_dir)
+    centroids, assigned = index.build_ivf(references, clusters=64, rounds=3)
+    return ivf.search(queries, centroids, kept(assigned), base=64, most=64).select(*_NEIGHBOURS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -261,7 +310,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ivf_full_probe": _ivf(CLUSTERS, CLUSTERS), "cells_knn": cells_knn, "cells_bbox": cells_bbox, "box_distance": box_bounds,
     "cells_visits": cells_visits, "cells_budget": cells_budget, "index_roundtrip": index_roundtrip, "stream_score": stream_score,
     "confusion": confusion, "latency_percentiles": latency_percentiles, "load_report": load_report, "nprobe_sweep": nprobe_sweep,
+    "score_repeats": score_repeats, "fail_safe": fail_safe, "references_read": references_read, "fallback": fallback, "ivf_build": ivf_build,
     "corpus_scan": corpus_scan, "generated": generated, "baselines": baselines,
 }
 
-assert len(fixtures.CODES) == len(MCC_RISK) + 2
+assert len(fixtures.CODES) == len(S.GENERATED_MCCS) == len(MCC_RISK) + 2

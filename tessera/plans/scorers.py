@@ -14,11 +14,12 @@ from tessera.functions.vectors import quantized
 from tessera.operators import cells, ivf, knn
 from tessera.operators.vote import vote
 from tessera.plans import index
+from tessera.plans.storage import kept
 from tessera.sources import references as R
 
 
 class Scorer(Protocol):
-    """score: parsed requests -> (id, frauds, fraud_score, approved); score_vectors: (qid, q0..) -> the same by qid."""
+    """score: parsed requests -> (id, frauds, fraud_score, approved, status); score_vectors: (qid, q0..) -> the same by qid, without status."""
 
     def score(self, requests: DataFrame) -> DataFrame: ...
 
@@ -27,10 +28,11 @@ class Scorer(Protocol):
 
 class _Vectorizing:
     def score(self, requests: DataFrame) -> DataFrame:
-        numbered = vectorize(requests.withColumn("qid", F.xxhash64("id")), keep=("id", "qid"))
-        vectors = quantized(numbered, keep=("id", "qid"))
+        """Every row by itself, also where an id repeats; a row for which nothing was found gets the fail-safe."""
+        # the rows are numbered once and written, as the number names them in both sides of the join
+        vectors = kept(quantized(vectorize(requests.withColumn("qid", F.monotonically_increasing_id()), keep=("id", "qid")), keep=("id", "qid")))
         scored = self.score_vectors(vectors.drop("id"))
-        return vectors.select("id", "qid").join(scored, "qid").drop("qid")
+        return fail_safe(vectors.select("id", "qid").join(scored, "qid", "left")).drop("qid")
 
 
 @dataclass
@@ -70,10 +72,10 @@ class Stub:
     """Approves all, without a look."""
 
     def score(self, requests: DataFrame) -> DataFrame:
-        return requests.select("id", F.lit(0).cast("bigint").alias("frauds"), F.lit(0.0).alias("fraud_score"), F.lit(True).alias("approved"))
+        return requests.select("id", F.lit(0).cast("bigint").alias("frauds"), F.lit(0.0).alias("fraud_score"), F.lit(True).alias("approved"), F.lit("OK").alias("status"))
 
     def score_vectors(self, queries: DataFrame) -> DataFrame:
-        return self.score(queries.withColumnRenamed("qid", "id")).withColumnRenamed("id", "qid")
+        return self.score(queries.withColumnRenamed("qid", "id")).withColumnRenamed("id", "qid").drop("status")
 
 
 class VectorizeOnly(Stub):

@@ -37,8 +37,9 @@ def references(raw: DataFrame, dims: int = DIMS, id_col: str | None = None) -> D
     return checked.select(ref_id.alias("ref_id"), *[quantize(F.get("vector", F.lit(i))).alias(q) for i, q in enumerate(names)], (F.col("label") == "fraud").cast("int").alias("fraud"))
 
 
-def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(entry, body, expected_approved) of a labelled corpus; limit keeps the first entries."""
-    rows = spark.read.schema(CORPUS).option("multiLine", True).json(path)
+def read_corpus(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """(entry, body, expected_approved) of labelled corpora, one a file or, with lines, one a line; limit keeps the first
+    entries of each."""
+    rows = spark.read.schema(CORPUS).option("multiLine", not lines).json(path)
     out = rows.select(F.posexplode("entries").alias("entry", "e")).select("entry", F.col("e.request").alias("body"), F.col("e.expected_approved").alias("expected_approved"))
     return out if limit is None else out.where(F.col("entry") < limit)

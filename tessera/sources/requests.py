@@ -10,8 +10,10 @@ from tessera.schema import RAW_REQUEST
 
 MAX_BODY_BYTES = 8192
 
-# The merchant codes of generated requests, three of which have no risk of their own.
-GENERATED_MCCS = ("5912", "5411", "5812", "5999", "4111", "6011", "5732", "7995")
+#: Merchant codes of generated requests: those with a risk of their own, and two without.
+GENERATED_MCCS = (*MCC_RISK, "1520", "8299")
+#: Draws of a generated request, in the order of their numbers.
+DRAWS = ("cents", "instalments", "second", "usual", "today", "merchant", "friend", "code", "shop", "flags", "home", "gap", "away")
 
 
 def parse(raw: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -88,20 +90,33 @@ def route(method: Column, path: Column, body_bytes: Column) -> Column:
     return F.when(~known, 404).when(method != wanted, 405).when(body_bytes > MAX_BODY_BYTES, 413).otherwise(200)
 
 
+def draw(what: str, most: int, seed: int = 42) -> Column:
+    """A whole number from 0 to most - 1 for row n: two steps of a multiplicative generator modulo 2 ** 31 - 1."""
+    start = (F.col("n") + 1) * (7919 + 2 * DRAWS.index(what)) + seed
+    return (start % 2147483647 * 48271 % 2147483647 * 16807 % 2147483647) % most
+
+
 def generate(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """n synthetic requests, each a function of its number alone; one in eight has no history."""
-    draw = lambda what, most: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), F.col("n")), F.lit(most)).cast("bigint")
-    money = lambda what, most: (draw(what, most) + draw(what + "c", 100) / 100.0).cast("double")
-    merchant = lambda what: F.concat(F.lit("MERC-"), F.lpad(draw(what, 20).cast("string"), 3, "0"))
-    stamp = lambda s: F.lit(s).cast("timestamp")
-    codes = F.array(*[F.lit(c) for c in GENERATED_MCCS])
+    """n synthetic requests, each plain arithmetic on its number.
+
+    Requests are spread over four weeks; amounts are squares, so that small ones are common; a customer's first merchant
+    is the one at hand in a third of the requests, and one in five has no transaction before.
+    """
+    d = lambda what, most: draw(what, most, seed)
+    at = F.lit(1_767_225_600) + d("second", 28 * 86_400)
+    shop = lambda number: F.concat(F.lit("shop-"), number.cast("string"))
+    friend = F.when(d("friend", 3) == 0, d("merchant", 500)).otherwise(500 + d("friend", 500))
+    euros = lambda c: (c / F.lit(100.0)).cast("double")
+    root = d("cents", 1_200)
+    flags = d("flags", 4)
+    last = F.struct(F.timestamp_seconds(at - 60 * (1 + d("gap", 3_000))).alias("timestamp"), (d("away", 9_000) / F.lit(8.0)).alias("km_from_current"))
     return spark.range(n).withColumnRenamed("id", "n").select(
-        F.concat(F.lit("tx-"), F.col("n").cast("string")).alias("id"),
-        F.struct(money("amount", 10_000).alias("amount"), (1 + draw("inst", 12)).cast("int").alias("installments"), stamp("2026-03-11 20:23:35").alias("requested_at")).alias("transaction"),
-        F.struct(money("avg", 5_000).alias("avg_amount"), draw("count", 40).cast("int").alias("tx_count_24h"), F.array(merchant("k1"), merchant("k2")).alias("known_merchants")).alias("customer"),
-        F.struct(merchant("m").alias("id"), F.element_at(codes, (draw("mcc", len(GENERATED_MCCS)) + 1).cast("int")).alias("mcc"), money("mavg", 3_000).alias("avg_amount")).alias("merchant"),
-        F.struct((draw("online", 2) == 1).alias("is_online"), (draw("card", 2) == 1).alias("card_present"), money("home", 5_000).alias("km_from_home")).alias("terminal"),
-        F.when(draw("history", 8) != 0, F.struct(stamp("2026-03-11 14:58:35").alias("timestamp"), money("last", 2_000).alias("km_from_current"))).alias("last_transaction"),
+        F.concat(F.lit("made-"), F.col("n").cast("string")).alias("id"),
+        F.struct(euros(root * root + 50).alias("amount"), (1 + d("instalments", 18)).cast("int").alias("installments"), F.timestamp_seconds(at).alias("requested_at")).alias("transaction"),
+        F.struct(euros(d("usual", 250_000)).alias("avg_amount"), d("today", 30).cast("int").alias("tx_count_24h"), F.array(shop(friend)).alias("known_merchants")).alias("customer"),
+        F.struct(shop(d("merchant", 500)).alias("id"), F.element_at(F.array(*map(F.lit, GENERATED_MCCS)), (1 + d("code", len(GENERATED_MCCS))).cast("int")).alias("mcc"), euros(d("shop", 1_500_000)).alias("avg_amount")).alias("merchant"),
+        F.struct((flags % 2 == 1).alias("is_online"), (flags >= 2).alias("card_present"), (d("home", 12_000) / F.lit(8.0)).alias("km_from_home")).alias("terminal"),
+        F.when(d("gap", 5) != 0, last).alias("last_transaction"),
     )
 
 
