@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -35,15 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where that setting is missing, a local one is made and set in local mode, as in tests; a cluster must name one.
     """
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        # the setting can't be changed in a running session, so the context keeps it
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return spark.conf.get("spark.checkpoint.dir", None) or found
+        context.setCheckpointDir(found)
+    return found
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -63,6 +64,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Has the driver drop what no table refers to any more, above all the shuffle files of tables that are stored now."""
     gc.collect()
+    time.sleep(0.5)  # until the JVM has heard what Python has dropped
     spark.sparkContext._jvm.System.gc()
 
 

@@ -23,8 +23,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import stored
+from .common import column, stored
 from .components import components
 
 TILE = 2048
@@ -109,7 +110,10 @@ def link(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_co
     """One row per vector: id, n_links, component_id, kept (id = component_id)."""
     spark = vectors.sparkSession
     finite = F.forall(F.col("__v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("__id"), F.col(vec_col).cast("array<double>").alias("__v"), F.col(label_col).alias("label"))
+    # vectors travel in the precision that they have
+    single = isinstance(getattr(vectors.schema[vec_col].dataType, "elementType", None), FloatType)
+    kind = np.float32 if single else np.float64
+    rows = vectors.select(column(id_col).cast("bigint").alias("__id"), column(vec_col).cast(f"array<{'float' if single else 'double'}>").alias("__v"), column(label_col).alias("label"))
     good = F.coalesce(F.col("__id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("__v", lambda x: x != 0), F.lit(False))
     rows = rows.select("__id", "label", F.when(good, F.col("__v")).alias("v"))
     rows = rows.withColumns({"h1": F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")), "h2": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit("second"), "v", "label"))})
@@ -137,7 +141,7 @@ def link(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_co
         held: list[pd.DataFrame] = []
 
         def cut(f: pd.DataFrame) -> pd.DataFrame:
-            raw = np.stack(f["v"].to_numpy()).astype(np.float64)
+            raw = np.stack(f["v"].to_numpy()).astype(kind)
             return pd.DataFrame({"label": [str(f["label"].iloc[0])], "d": [int(f["d"].iloc[0])], "n": [len(f)], "lo": [f["x"].iloc[0]], "hi": [f["x"].iloc[-1]], "rep": [f["rep"].to_numpy(np.int64).tobytes()], "h1": [f["h1"].to_numpy(np.int64).tobytes()], "many": [f["n"].to_numpy(np.int64).tobytes()], "raw": [raw.tobytes()]})
 
         def ready(last: bool) -> Iterator[pd.DataFrame]:
@@ -172,9 +176,9 @@ def link(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_co
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples(index=False):
-                unpack = lambda x, kind=np.int64: np.frombuffer(x, dtype=kind)
+                unpack = lambda x, to=np.int64: np.frombuffer(x, dtype=to)
                 same = r.tile == r.tile_b
-                raw_a, raw_b = (_unit(unpack(x, np.float64).reshape(-1, r.d)) for x in (r.raw, r.raw_b))
+                raw_a, raw_b = (_unit(unpack(x, kind).reshape(-1, r.d).astype(np.float64)) for x in (r.raw, r.raw_b))
                 n_a, n_b = len(raw_a), len(raw_b)
                 links, edges_i, edges_j = np.zeros(n_a + n_b, np.int64), [], []
                 shift = 0 if same else n_a

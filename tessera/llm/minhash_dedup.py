@@ -8,8 +8,8 @@ IDF of what it shares, from hiding its own members.
 Document frequencies come from an exchange between blocks and shards (exchange.py). A text can reach the threshold with
 another one only if shingles that other documents have too make up so much of its weight; the rest of the texts are
 alone. The others get BANDS x ROWS consistent weighted samples; equal texts are merged; texts that share a band are
-joined into candidate clusters; and in a cluster all pairs are compared by weighted Jaccard similarity, in tiles whose
-size doesn't depend on the cluster's. A tile gives back a forest of links, so that its output is bounded by its rows.
+joined into candidate clusters; and in a cluster texts are compared by weighted Jaccard similarity, in tiles whose size
+doesn't depend on the cluster's, until no two of different groups are left uncompared.
 
 Defined cases: null and empty texts, and texts without words, are alone; equal texts are one class; of rows that repeat
 an id and a text one is kept; a null id stands for no document, and such rows are kept; other columns are ignored, or
@@ -26,15 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import column, stored
+from .common import column, forget, stored
 from .components import components
 from .embedding_dedup import _forest
+from .skew import heavy, skew_join
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 IDF_FLOOR = 0.75
-#: Texts of a candidate cluster that one task compares with as many others.
-TILE = 256
+#: Texts of a candidate cluster that are compared with as many others at a time.
+TILE = 48
 SLACK = 1e-6
 
 # Codes of document frequencies: 1 to 128 exactly, beyond in equal ratios up to 2 ** 40.
@@ -188,41 +189,86 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, th, class_id) of every document that may have a partner; others are classes of their own."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = _candidates(rows.withColumn("th", F.md5("text")))
-    reps = found.groupBy("th").agg(F.min("id").alias("rep"))
+    reps = found.groupBy("th").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     reps = stored(reps, "texts")
-    texts = found.join(reps.withColumnRenamed("rep", "id"), ["th", "id"]).dropDuplicates(["th"])
+    texts = found.join(reps.select("th", F.col("rep").alias("id")), ["th", "id"]).dropDuplicates(["th"])
     texts = stored(texts.select(F.col("id").alias("rep"), "th", "bands", "keys", "weights"), "representatives")
-    # a node is a text; its number is the smallest id that has it, made distinct by the text where an id repeats
+    # a node is a text; its number is a hash of it
     spread = texts.select(F.xxhash64("th").alias("node"), F.explode("bands").alias("band"))
-    shared = stored(spread.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low"), "bands")
-    clusters = components(spread.join(shared, "band").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    shared = stored(spread.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1"), "bands")
+    total = shared.agg(F.sum("n").alias("n")).first()["n"] or 0
+    edges = skew_join(spread, shared.select("band", "low"), "band", heavy(shared, "band", "n", total))
+    clusters = components(edges.select(F.col("node").alias("a"), F.col("low").alias("b")))
     clusters = stored(clusters.withColumnRenamed("id", "node").withColumnRenamed("component", "cluster"), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size")).select("cluster", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    members = texts.withColumn("node", F.xxhash64("th")).join(clusters, "node").join(stored(sizes, "sizes"), "cluster")
-    members = members.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    members = members.select("cluster", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "node", "keys", "weights")
+    links = _links(texts.withColumn("node", F.xxhash64("th")).select("node", "keys", "weights"), clusters)
+    groups = components(links).withColumnRenamed("id", "node")
+    named = texts.select(F.xxhash64("th").alias("node"), "th", "rep").join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
+    named = stored(named.select("th", "rep", "grp"), "named")
+    lowest = stored(named.groupBy("grp").agg(F.min(F.struct("rep", "th")).alias("low"), F.count("*").alias("n")), "lowest")
+    per_text = skew_join(named.select("th", "grp"), lowest.select("grp", "low"), "grp", heavy(lowest, "grp", "n", named.count()))
+    per_text = stored(per_text.select("th", F.col("low.rep").alias("class_id"), F.col("low.th").alias("kept_th")), "classes")
+    forget(shared, clusters, links, named, lowest, texts)
+    first = (F.col("id") == F.col("class_id")) & (F.col("th") == F.col("kept_th"))
+    each = found.groupBy("id", "th").agg(F.count("*").alias("n"))
+    return skew_join(each, per_text, "th", heavy(reps, "th", "n", found.count())).select("id", "th", "n", "class_id", first.alias("kept"))
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between the two sides of each group (cluster, a, b), or within a group of one side.
+
+    rows is (cluster, a, b, side, node, keys, weights). A group gives back a forest of links, bounded by its rows.
+    """
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in X.groups(frames, ["cluster", "a", "b"]):
             if len(g) < 2:
                 continue
             s = similar([np.frombuffer(k, np.uint64) for k in g["keys"]], [np.frombuffer(w, np.float32) for w in g["weights"]])
-            if g["a"].iloc[0] != g["b"].iloc[0]:
-                tile = g["tile"].to_numpy()
-                s = np.where(tile[:, None] != tile[None, :], s, 0)
+            node, side = g["node"].to_numpy(), g["side"].to_numpy()
+            if side.any():
+                s = np.where((side[:, None] != side[None, :]) & (node[:, None] != node[None, :]), s, 0)
             i, j = np.nonzero(np.triu(s >= THRESHOLD - SLACK, 1))
             if len(i):
                 member, root = _forest(i, j, len(g))
-                node = g["node"].to_numpy()
                 yield pd.DataFrame({"a": node[member], "b": node[root]})
 
-    links = stored(members.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInPandas(compare, "a bigint, b bigint"), "links")
-    groups = components(links).withColumnRenamed("id", "node")
-    named = texts.select(F.xxhash64("th").alias("node"), "th", "rep").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    lowest = named.groupBy("group").agg(F.min(F.struct("rep", "th")).alias("low"))
-    per_text = stored(named.join(lowest, "group").select("th", F.col("low.rep").alias("class_id"), F.col("low.th").alias("kept_th")), "classes")
-    first = (F.col("id") == F.col("class_id")) & (F.col("th") == F.col("kept_th"))
-    return found.groupBy("id", "th").agg(F.count("*").alias("n")).join(per_text, "th").select("id", "th", "n", "class_id", first.alias("kept"))
+    dealt = rows.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
+    return stored(dealt.mapInPandas(compare, "a bigint, b bigint"), "links")
+
+
+def _links(texts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Links that connect the texts (node, keys, weights) of each cluster (node, cluster) as all links between them would.
+
+    A cluster is cut into tiles. First its first tile is compared within itself and with every other one, which joins
+    most of a group of near copies. Only members outside the largest component that results need more: they are
+    compared with all members, tile by tile, so that every pair of different components is compared.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    sizes = stored(sizes.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")), "sizes")
+    total = sizes.agg(F.sum("n").alias("n"), F.max("tiles").alias("most")).first()
+    hot = heavy(sizes, "cluster", "n", total["n"] or 0)
+    placed = skew_join(clusters, sizes.select("cluster", "tiles"), "cluster", hot).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    members = stored(texts.join(placed, "node"), "clustered")
+    columns = ("cluster", "a", "b", "side", "node", "keys", "weights")
+    others = members.select("cluster", F.lit(0).alias("a"), F.col("tile").alias("b"), (F.col("tile") > 0).cast("int").alias("side"), "node", "keys", "weights")
+    firsts = members.where("tile = 0 and tiles > 1").withColumn("b", F.explode(F.sequence(F.lit(1), F.col("tiles") - 1)))
+    links = _compared(others.unionByName(firsts.select("cluster", F.lit(0).alias("a"), "b", F.lit(0).alias("side"), "node", "keys", "weights")))
+    if (total["most"] or 0) > 1:
+        wide = members.where("tiles > 1")
+        now = wide.select("cluster", "node").join(components(links).withColumnRenamed("id", "node"), "node", "left")
+        now = stored(now.select("cluster", "node", F.coalesce("component", "node").alias("component")), "now")
+        parts = now.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+        tops = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("top"), (F.sum("n") - F.max("n")).alias("waiting"))
+        tops = stored(tops.where("waiting > 0").select("cluster", "top", F.ceil(F.col("waiting") / TILE).cast("int").alias("w_tiles")), "tops")
+        if not tops.isEmpty():
+            waiting = skew_join(now, tops, "cluster", hot).where("component <> top").select("node", F.pmod(F.xxhash64("node"), F.col("w_tiles")).cast("int").alias("a"))
+            ahead = wide.join(waiting, "node").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(0))
+            behind = skew_join(wide, tops.select("cluster", "w_tiles"), "cluster", hot).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("w_tiles") - 1)))
+            behind = behind.withColumn("b", F.col("tile")).withColumn("side", F.lit(1))
+            links = links.unionByName(_compared(ahead.select(*columns).unionByName(behind.select(*columns))))
+        forget(now, tops)
+    forget(sizes, members)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, embedding_dedup, line_dedup, lm_score, minhash_dedup, secret_scan, token_count, toxicity, warc
 from .common import table
+from .oracle import ORACLE
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -4,8 +4,8 @@ A text is cut into clauses. In a clause a lexicon transducer turns words into ta
 reported speech); other words are deleted. Three transducers are composed on the tags, each with its states and arcs
 listed below: scope (does a negation or a report govern what follows?), aim (does a target stand with the insult or the
 threat?) and pattern (which kind of clause was matched). A clause gives a symbol for each
-pattern it matches. An insult or threat without a target is a pattern of its own, and a learned weak stem is one pattern
-whatever its target, negation or report; words outside the lexicon give none. A text's features are its capped counts of pattern symbols; their weights come from
+pattern it matches. An insult, a threat or a learned weak insult without a target is a pattern of its own, apart from the
+aimed, negated and reported ones; words outside the lexicon give none. A text's features are its capped counts of pattern symbols; their weights come from
 a logistic regression around prior weights, so that patterns which the labels never show keep a sensible weight.
 
 The insult lexicon is a list of fixed words and of stems learned from labelled rows, which match with any ending, as
@@ -76,8 +76,8 @@ dit disait appelé selon écrit
 dijo dice llamó según escribió
 """.split()
 
-PATTERNS = ("insult", "insult_aimed", "threat", "threat_aimed", "insult_negated", "insult_reported", "threat_negated", "threat_reported", "weak_insult")
-PRIOR = np.array([1.5, 2.5, 0.3, 2.0, 0.3, 0.3, 0.0, 0.0, 0.5])
+PATTERNS = ("insult", "insult_aimed", "threat", "threat_aimed", "insult_negated", "insult_reported", "threat_negated", "threat_reported", "weak_insult", "weak_insult_aimed", "weak_insult_negated", "weak_insult_reported")
+PRIOR = np.array([1.5, 2.5, 0.3, 2.0, 0.3, 0.3, 0.0, 0.0, 0.5, 0.8, 0.1, 0.1])
 PRIOR_BIAS, PRIOR_PRECISION = -2.0, 0.5
 
 CLAUSE = re.compile(r"[.!?;:\n\r]+|\s[-–—]\s")
@@ -109,7 +109,7 @@ _TAGS = [f"{x}/{s}" for x in "IXW" for s in ("free", "negated", "reported")]
 # A target before or after makes what is said aimed. Run over the tags and then over what is left in reverse.
 AIM = Transducer({("open", "T"): ("aimed", "T")} | {("aimed", x): ("aimed", f"{x}/aimed") for x in _TAGS}, "open")
 _WORTH = {"I/free/aimed": 1, "I/free": 0, "X/free/aimed": 3, "X/free": 2, "I/negated": 4, "I/reported": 5, "X/negated": 6, "X/reported": 7}
-_WORTH |= {x: 8 for x in ("W/free", "W/free/aimed", "W/negated", "W/reported")}
+_WORTH |= {"W/free": 8, "W/free/aimed": 9, "W/negated": 10, "W/reported": 11}
 
 
 def pattern_of(tags: list[str]) -> set[int]:
