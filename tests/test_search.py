@@ -140,6 +140,30 @@ def test_scorers_agree(spark, blobs):
     assert scorers.VectorizeOnly().score(requests).where("approved and fraud_score = 0").count() == 60
 
 
+def test_requests_are_scored_apart(spark, blobs):
+    """Two requests with one id don't share their neighbours, and without references nobody is lost."""
+    _, _, _, references = blobs
+    requests = kept(S.generate(spark, 30))
+    centroids, assigned = index.build_ivf(references, clusters=6, rounds=1)
+    for s in (scorers.Brute(references), scorers.Ivf(centroids, assigned, 6, 6), scorers.Cells(index.build_cells(references, 16))):
+        once = sorted(map(tuple, s.score(requests).collect()))
+        twice = sorted(map(tuple, s.score(requests.unionByName(requests)).collect()))
+        assert twice == sorted(once + once) and len(once) == 30
+    got = scorers.Brute(references.where("false")).score(requests).collect()
+    assert [(r.fraud_score, r.approved, r.status) for r in got] == [(0.6, False, "FAIL_SAFE")] * 30
+    with pytest.raises(ValueError):
+        knn.knn(references, references, k=7)
+
+
+def test_seeds_spread_and_empty_clusters_move(spark, blobs):
+    _, r, _, references = blobs
+    seeds = index.spread_seeds(references, 12)
+    assert seeds.count() == 12 and index.spread_seeds(references, 2000).count() == 900
+    far = spark.createDataFrame([(0, *[0] * 14), (1, *[10000] * 14), (2, *[10000] * 14)], ", ".join(["cluster_id bigint", *(f"{q} int" for q in Q)]))
+    moved = index.reseeded(references, far)
+    assert ivf.cluster_sizes(ivf.assign(references, moved), moved).where("n = 0").count() == 0
+
+
 def test_fail_safe(spark):
     got = scorers.fail_safe(spark.createDataFrame([(None, None), (0.2, True)], "fraud_score double, approved boolean")).collect()
     assert [tuple(r) for r in got] == [(0.6, False, "FAIL_SAFE"), (0.2, True, "OK")]
