@@ -194,10 +194,10 @@ def decode(coded: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
         codec = _codec(vocabulary, pattern)
         for batch in batches:
             raw = [b"" if t is None else codec.decode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=[id_col, "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "raw"])
 
-    fields = [coded.schema[id_col], StructField("raw", BinaryType())]
-    return coded.select(column(id_col), column(tokens_col)).mapInArrow(run, StructType(fields))
+    fields = [StructField("id", coded.schema[id_col].dataType), StructField("raw", BinaryType())]
+    return coded.select(column(id_col).alias("id"), column(tokens_col).alias("tokens")).mapInArrow(run, StructType(fields)).toDF(id_col, "raw")
 
 
 def _digest_columns(texts: list[str], vocabulary: str, pattern: str | None) -> dict:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Characters of text that a Python worker turns into objects at a time.
 BATCH_CHARS = 1 << 20
@@ -110,10 +110,13 @@ def with_columns(docs: DataFrame, text_col: str, work: Callable, schema: str, ke
                 part = batch.slice(a, b - a)
                 found = work(pc.fill_null(part.column(0), "").to_pylist())
                 columns = [pa.array(list(found[f.name]), type=f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=[*(f.name for f in kept), *arrow.names])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=names)
 
-    rows = docs.select(column(text_col).cast("string").alias("__text"), *[column(f.name) for f in kept])
-    return rows.mapInArrow(run, StructType([*kept, *made.fields]))
+    # columns are numbered on the way, since a name with dots or quotes can't be passed to a function
+    names = [f"c{i}" for i in range(len(kept) + len(arrow))]
+    rows = docs.select(column(text_col).cast("string").alias("t"), *[column(f.name).alias(n) for f, n in zip(kept, names, strict=False)])
+    out = rows.mapInArrow(run, StructType([StructField(n, f.dataType) for f, n in zip([*kept, *made.fields], names, strict=True)]))
+    return out.toDF(*[f.name for f in kept], *made.names)
 
 
 def per_text(docs: DataFrame, id_col: str, text_col: str, work: Callable, schema: str) -> DataFrame:

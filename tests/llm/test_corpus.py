@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.llm import components, decontaminate, embedding_dedup, exchange, line_dedup, lm_score, minhash_dedup, skew, toxicity, warc
+from tessera.llm import byte_bpe, components, decontaminate, embedding_dedup, exchange, line_dedup, lm_score, minhash_dedup, secret_scan, skew, token_count, toxicity, warc
 
 from ..conftest import SF
 from .helpers import EDGE, docs, labels
@@ -506,6 +506,31 @@ def test_held_out_accuracy(spark):
     assert row.right > max(0.9, row.clean)
 
 
+# ids and names
+
+
+def test_large_ids_and_odd_names(spark, tmp_path):
+    """An id beyond 2 ** 53 beside a null one, and columns whose names hold dots and quotes, come through unchanged."""
+    large, text = (1 << 60) + 1, "some words that make up a short line of text"
+    rows = [(large, text, "x"), (None, text + " more", "y"), (3, None, "z"), (4, "one two three four five six seven", "w")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b ``c` string")
+    ids = lambda df, name="doc_id": {x[name] for x in df.collect()}
+    want = {large, None, 3, 4}
+    grammar = toxicity.Grammar.of()
+    outs = [byte_bpe.digests(table), byte_bpe.with_digests(table), byte_bpe.decode(byte_bpe.encode(table)), token_count.token_counts(table), secret_scan.scan(table), toxicity.score(table, grammar), toxicity.kept(table, grammar)]
+    outs += [lm_score.scores(table, F.lit(True)), line_dedup.dedup(table), line_dedup.clean(table), minhash_dedup.near_duplicates(table), minhash_dedup.kept(table)]
+    items = spark.createDataFrame([(1, "nothing of the kind")], "item_id bigint, text string")
+    outs += [decontaminate.contamination(table, items), decontaminate.clean(table, items)]
+    for out in outs:
+        assert ids(out) == want
+    for out in (byte_bpe.with_digests(table), toxicity.kept(table, grammar), line_dedup.clean(table), minhash_dedup.kept(table), decontaminate.clean(table, items)):
+        assert {x["a.b `c"] for x in out.collect()} == {"x", "y", "z", "w"}
+    pages = table.toDF("page_id", "html", "a.b `c").withColumn("url", F.lit("u"))
+    assert ids(warc.round_trip(pages), "page_id") == want
+    vectors = spark.createDataFrame([(large, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (5, [1.0, 0.01], 1)], "vec_id bigint, embedding array<float>, label int")
+    assert {(x.vec_id, x.n_links) for x in embedding_dedup.link(vectors).collect()} == {(large, 1), (None, 0), (5, 1)}
+
+
 # WARC
 
 
@@ -539,6 +564,10 @@ def test_archives_are_deterministic_and_checked(spark, tmp_path):
     again = warc.write(pages.repartition(3), f"file://{tmp_path}/b", roll_bytes=2000).collect()
     assert {(x.name, x.sha256, x.records) for x in first} == {(x.name, x.sha256, x.records) for x in again} and len(first) > 1
     assert not list((tmp_path / "a").glob(".tmp-*"))
+    many = spark.createDataFrame([(i * i * 10**9 if i % 7 else i, f"http://h/{i}", f"<p>{i % 50}</p>" * (10 + i % 90)) for i in range(400)], "page_id bigint, url string, html string")
+    one, other = (warc.write(x, f"file://{tmp_path}/{n}", roll_bytes=3000, task_bytes=30_000).collect() for n, x in (("c", many), ("d", many.repartition(5))))
+    assert {(x.name, x.sha256) for x in one} == {(x.name, x.sha256) for x in other}
+    assert len({x.part for x in one}) > 5 and max(x.seq for x in one) > 0 and sum(x.records for x in one) == 400
     back = warc.read(spark.read.parquet(f"file://{tmp_path}/a/_manifest"), f"file://{tmp_path}/a")
     assert sorted((x.page_id, bytes(x.payload).decode()) for x in back.collect()) == [(i, f"<p>{i}</p>" * 50) for i in range(40)]
     name = tmp_path / "a" / first[0].name
