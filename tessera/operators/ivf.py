@@ -18,6 +18,8 @@ from tessera.constants import K, Q
 from tessera.operators import kernel
 
 MOST_CLUSTERS = 65_536
+#: References of a packed tile, and bytes of a matrix of distances to centroids that a task holds at a time.
+TILE_ROWS, STRIP_BYTES = 8192, 32 << 20
 
 
 def centroid_matrix(centroids: DataFrame, vector: Sequence[str] = tuple(Q)) -> tuple[np.ndarray, np.ndarray]:
@@ -40,24 +42,38 @@ def assign(rows: DataFrame, centroids: DataFrame, vector: Sequence[str] = tuple(
     def of(*columns: pd.Series) -> pd.Series:
         x = np.stack([s.to_numpy(np.float64) for s in columns], axis=1)
         out = np.empty(len(x), np.int64)
-        for s in range(0, len(x), 4096):
-            out[s : s + 4096] = ids[_distances(x[s : s + 4096], c).argmin(axis=1)]
+        step = max(1, STRIP_BYTES // (8 * len(c)))
+        for s in range(0, len(x), step):
+            out[s : s + step] = ids[_distances(x[s : s + step], c).argmin(axis=1)]
         return pd.Series(out)
 
     return rows.withColumn("cluster_id", of(*vector))
 
 
+def _nearest_few(d: np.ndarray, n: int) -> np.ndarray:
+    """For each row the columns of its n smallest values, ordered by value and column."""
+    if n >= d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")
+    bound = np.partition(d, n - 1, axis=1)[:, n - 1]
+    i, j = np.nonzero(d <= bound[:, None])
+    sort = np.lexsort((j, d[i, j], i))
+    i, j = i[sort], j[sort]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    return j[rank < n].reshape(-1, n)
+
+
 def shortlist(queries: DataFrame, centroids: DataFrame, probes: int, vector: Sequence[str] = tuple(Q), query_id: str = "qid") -> DataFrame:
     """(qid, probe, cluster_id, cd2): the nearest `probes` centroids of every query, probe 1 being the nearest."""
     ids, c = centroid_matrix(centroids, vector)
     n = min(probes, len(ids))
+    step = max(1, STRIP_BYTES // (8 * len(ids)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for s in range(0, len(f), 2048):
-                part = f.iloc[s : s + 2048]
+            for s in range(0, len(f), step):
+                part = f.iloc[s : s + step]
                 d = _distances(part[list(vector)].to_numpy(np.float64), c)
-                order = np.argsort(d, axis=1, kind="stable")[:, :n]
+                order = _nearest_few(d, n)
                 i = np.repeat(np.arange(len(part)), order.shape[1])
                 j = order.ravel()
                 yield pd.DataFrame({"qid": part["qid"].to_numpy(np.int64)[i], "probe": np.tile(np.arange(1, order.shape[1] + 1), len(part)), "cluster_id": ids[j], "cd2": d[i, j].astype(np.int64)})
@@ -66,8 +82,9 @@ def shortlist(queries: DataFrame, centroids: DataFrame, probes: int, vector: Seq
 
 
 def cluster_sizes(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(cluster_id, n) of every cluster, empty ones included."""
-    counts = assigned.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    """(cluster_id, n) of every cluster, empty ones included; assigned is references with cluster_id, or their tiles."""
+    packed = "grp" in assigned.columns
+    counts = assigned.groupBy(F.col("grp").alias("cluster_id")).agg(F.sum("n").alias("n")) if packed else assigned.groupBy("cluster_id").agg(F.count("*").alias("n"))
     return centroids.select("cluster_id").join(counts, "cluster_id", "left").select("cluster_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
@@ -78,10 +95,16 @@ def cluster_stats(sizes: DataFrame) -> DataFrame:
     return listed.select(F.col("clusters").cast("bigint").alias("clusters"), at(0.5).alias("p50"), at(0.99).alias("p99"), F.get("s", F.col("clusters") - 1).alias("most"), "empty")
 
 
-def scan(queries: DataFrame, probes: DataFrame, assigned: DataFrame, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", rows: int = 8192) -> DataFrame:
+def tiles(assigned: DataFrame, vector: Sequence[str] = tuple(Q), rows: int = TILE_ROWS) -> DataFrame:
+    """The references of each cluster in packed tiles: an index that is searched often keeps them stored."""
+    return kernel.pack(assigned, "ref_id", vector, "fraud", rows, group="cluster_id")
+
+
+def scan(queries: DataFrame, probes: DataFrame, assigned: DataFrame, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", rows: int = TILE_ROWS) -> DataFrame:
     """FOUND: the k nearest per query and tile among the clusters that probes (qid, cluster_id, optional take) names.
 
-    take is how many references of the cluster, in the order of ids, a query may still scan.
+    take is how many references of the cluster, in the order of ids, a query may still scan. assigned is the references
+    with cluster_id, or their tiles.
     """
     has_take = "take" in probes.columns
     take = F.col("take").cast("bigint") if has_take else F.lit(1 << 60).cast("bigint")
@@ -94,7 +117,7 @@ def scan(queries: DataFrame, probes: DataFrame, assigned: DataFrame, k: int = K,
 
     wanted = wanted.repartition("grp").sortWithinPartitions("grp")
     q = wanted.mapInPandas(blocks, "grp bigint, q_ids binary, q_data binary, q_take binary")
-    r = kernel.pack(assigned, "ref_id", vector, "fraud", rows, group="cluster_id")
+    r = assigned if "grp" in assigned.columns else tiles(assigned, vector, rows)
     pairs = q.join(r, "grp").withColumn("skip", (F.col("tile") * rows).cast("bigint"))
     return kernel.search(pairs, len(vector), k)
 

@@ -54,9 +54,14 @@ class Ivf(_Vectorizing):
     cap: int | None = 120_000
     k: int = K
 
+    def __post_init__(self) -> None:
+        # packed and counted once, for all searches
+        self.count = self.assigned.count()
+        self.tiles = kept(ivf.tiles(self.assigned))
+
     def score_vectors(self, queries: DataFrame) -> DataFrame:
-        found = ivf.search(queries, self.centroids, self.assigned, self.base, self.most, self.refine, self.cap, self.k)
-        return vote(found, self.assigned.count(), self.k)
+        found = ivf.search(queries, self.centroids, self.tiles, self.base, self.most, self.refine, self.cap, self.k)
+        return vote(found, self.count, self.k)
 
 
 @dataclass
