@@ -9,7 +9,7 @@ benchmark's windows.
 
 Texts are lower-cased in A-Z; words are runs of digits, a-z and characters outside ASCII.
 
-The benchmark's side of a join is broadcast only if its counted rows are at most BROADCAST_ROWS; else it is shuffled.
+The benchmark's side of a join is broadcast only if its counted bytes are at most BROADCAST_BYTES; else it is shuffled.
 
 Defined cases: null and empty texts have no words and are not contaminated; null and wordless items match nothing; null
 item ids are ignored; each row of a repeated id is judged by its own text; other columns are ignored.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import column, stored
 
 WINDOW, GRAM = 13, 5
-#: A row of the benchmark's tables is below 2 KB, so that a broadcast stays below 100 MB.
-BROADCAST_ROWS = 50_000
+#: Counted bytes up to which a table of the benchmark is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -98,7 +98,7 @@ def _windows(words: Column, hits: Column, classes: list[tuple[int, int, int]]) -
     return F.concat(*[F.coalesce(of(n, k), empty) for n, k, _ in classes])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS, carry: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES, carry: bool = False) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items (sorted item ids as strings), contaminated.
 
     With carry, the rows have all columns of docs, and only those that are not contaminated are returned.
@@ -116,7 +116,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     prints = items.select(F.explode(F.concat(*[F.when(F.col("n") == n, _tagged(F.col("words"), [(n, k, span)])).otherwise(F.array().cast("array<struct<n:int,h:bigint>>")) for n, k, span in classes])).alias("p")).select("p.n", "p.h").distinct()
     prints = stored(prints, "prints")
     wins = stored(items.select("item", "n", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - F.col("n")), lambda s: F.array_join(F.slice("words", s + 1, F.col("n")), " "))).alias("w")).distinct(), "windows")
-    near = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+
+    def near(df: DataFrame) -> DataFrame:
+        texts = [F.octet_length(f.name) for f in df.schema if f.dataType.simpleString() == "string"]
+        size = df.agg(F.sum(sum(texts, F.lit(64))).alias("n")).first()["n"] or 0
+        return F.broadcast(df) if size <= broadcast_bytes else df
+
 
     # the id is in the key, so that copies of a text are dealt over many tasks
     found = docs.select(F.xxhash64(column(id_col), column(text_col)).alias("k"), column(text_col).alias("text")).select("k", F.explode(bound(words_of(F.col("text")), lambda w: _tagged(w, classes))).alias("p"))

@@ -442,7 +442,7 @@ def test_contamination(spark):
     bench = spark.createDataFrame([(i, t, 1, "n") for i, t in items], "item_id bigint, text string, n int, w string")
     table = docs(spark, rows)
     for limit in (50_000, 0):
-        got = [(x.doc_id, x.n_words, x.n_hit, tuple(x["items"]), x.contaminated) for x in decontaminate.contamination(table, bench, broadcast_rows=limit).collect()]
+        got = [(x.doc_id, x.n_words, x.n_hit, tuple(x["items"]), x.contaminated) for x in decontaminate.contamination(table, bench, broadcast_bytes=limit).collect()]
         assert sorted(got, key=str) == plain_hits(rows, items)
     clean = decontaminate.clean(table, bench)
     assert clean.columns == table.columns
