@@ -11,10 +11,12 @@ Probabilities, with c for counts in training texts:
 
     P1(w)     = (c(w) + 1) / (N + V + 1)
     P2(w|v)   = (1 - m) c(vw) / c(v) + m P1(w),  m = c(v)^b / (c(v) + c(v)^b)
-    P3(w|uv)  = c(uvw) / (c(uv) + t) + t / (c(uv) + t) P2(w|v),  t: the different successors of uv
+    P3(w|uv)  = (c(uvw) - D) / c(uv) + D t / c(uv) P2(w|v),  t: the different successors of uv; the first term only for
+                a known successor; D = DISCOUNT
 
 b is such that the sum of c(v)^b over all words is the number of different pairs: c^b stands for the different
-successors of a word, which no shard knows. An unseen context leaves the shorter one's probability. The values add to 1
+successors of a word, which no shard knows. The discount D keeps a passage that was learned once well below one that was
+learned several times, which shares of counts alone (1 of 1, 2 of 2) would not. An unseen context leaves the shorter one's probability. The values add to 1
 over the words and one unknown word, up to the quantisation (a ten-thousandth of log10).
 
 Nothing of the model is broadcast or collected but the sums of N, V, pairs and a histogram of counts in 64 steps.
@@ -37,6 +39,8 @@ from . import exchange as X
 from .common import column, stored
 
 SUCCESSOR_BITS = 24
+#: What is taken from every count of three words in a row, and given to the words that weren't seen after the two.
+DISCOUNT = 0.75
 END = X.mix(np.array([0xE0D], dtype=np.uint64))[0]
 STEPS = 5000  # of a probability's code for one unit of log10
 EXACT, RATIO = 4096, 1.0004  # counts that are kept exactly, and the ratio of the steps beyond them
@@ -149,8 +153,8 @@ class Trie:
         kinds = np.bincount(owner, minlength=n)
         value = owner.astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successor
         levels = [EliasFano.build(pairs, 1 << X.FINGERPRINT), EliasFano.build(np.r_[0, np.cumsum(kinds)].astype(np.uint64), max(1, len(owner))), EliasFano.build(value, max(1, n << SUCCESSOR_BITS))]
-        total = np.maximum(counts + kinds, 1)
-        arrays = [count_code(counts), chance_code(np.maximum(kinds, 1e-12) / total), chance_code(seen / total[owner] if len(owner) else np.zeros(0))]
+        total = np.maximum(counts, 1)
+        arrays = [count_code(counts), chance_code(DISCOUNT * kinds / total), chance_code((seen - DISCOUNT) / total[owner] if len(owner) else np.zeros(0))]
         head, body = [], []
         for e in levels:
             head += [e.n, e.low_bits, len(e.low), len(e.high)]

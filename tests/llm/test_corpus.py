@@ -271,8 +271,7 @@ def test_trie_lookups():
     known = set(value.tolist())
     assert (at[: len(value)] == np.arange(len(value))).all() and (at[len(value) : len(value) + 5] < 0).all()
     assert all((x ^ 1 in known) == (y >= 0) for x, y in zip(value.tolist(), at[len(value) + 5 :].tolist(), strict=True))
-    kinds = np.bincount(owner, minlength=len(pairs))
-    assert lm_score.chance_of(trie.chances) == pytest.approx(seen / (counts + kinds)[owner], rel=1e-3)
+    assert lm_score.chance_of(trie.chances) == pytest.approx((seen - 0.75) / counts[owner], rel=1e-3)
     assert lm_score.count_of(lm_score.count_code(np.array([0, 1, 4096, 10**6]))) == pytest.approx([0, 1, 4096, 10**6], rel=1e-3)
 
 
@@ -299,7 +298,7 @@ def plain_lm(rows, train):
                 p = (1 - m) * c2[w[k - 1], x] / c[w[k - 1]] + m * p
             if k > 1 and c2[w[k - 2], w[k - 1]]:
                 t, s = len(follow[w[k - 2], w[k - 1]]), c2[w[k - 2], w[k - 1]]
-                p = c3[w[k - 2], w[k - 1], x] / (s + t) + t / (s + t) * p
+                p = max(c3[w[k - 2], w[k - 1], x] - 0.75, 0) / s + 0.75 * t / s * p if t else p
             score += math.log10(p)
         out[i] = (len(w), sum(c[x] > 0 for x in w), n, sum(base), score)
     return out
@@ -336,6 +335,18 @@ def shingles(t):
     return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
 
+def test_language_model_tells_what_it_has_read_twice(spark):
+    """By the score of a token, texts that occur twice stand above all that occur once."""
+    r = random.Random(17)
+    rows = [(i, sentence(r, r.randint(60, 200))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(30)]
+    got = lm_score.scores(docs(spark, rows), F.lit(True)).collect()
+    each = {x.doc_id: x.score / x.n_tokens for x in got}
+    twice = [v for i, v in each.items() if i < 30 or i >= 1000]
+    once = sorted(v for i, v in each.items() if 30 <= i < 1000)
+    assert sum(v > once[int(0.98 * len(once))] for v in twice) >= 0.95 * len(twice)
+
+
 def test_packing():
     rng = np.random.default_rng(2)
     for most in (1 << 10, 1 << 40, 1 << 44):
