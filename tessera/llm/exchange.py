@@ -4,7 +4,7 @@ Documents are dealt into blocks by a hash. A block sends, for each shard of the
 keys in sorted order with their counts in the block. A shard adds up the counts of all messages and answers each of
 them in the same order. A block then gets its answers and its documents together. A key that is in every document is
 sent once per block, so that a hot key costs what others do; nothing that grows with the corpus is held in one place:
-a block has about BLOCK_BYTES of text, a shard the keys of about SHARD_BYTES.
+a block has about BLOCK_BYTES of text, a shard the keys of about SHARD_BYTES, more where tasks have more memory.
 
 Keys are the leading bits of 64-bit hashes: the shard's number and FINGERPRINT further bits. With some 2 million keys in
 a shard, a key that isn't there is taken for one that is in 1 of 500,000 lookups.
@@ -12,15 +12,17 @@ a shard, a key that isn't there is taken for one that is in 1 of 500,000 lookups
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
+#: Text of a block and of a shard for each TASK_MB of memory that a core has.
+BLOCK_BYTES, SHARD_BYTES, TASK_MB = 4 << 20, 8 << 20, 1024
 FINGERPRINT = 40
 ESCAPE = (1 << 32) - 1
 
@@ -99,12 +101,23 @@ def total_bytes(docs: DataFrame, text_col: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0)
 
 
-def block_of(n_bytes: int, *cols: Column) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(max(1, -(-n_bytes // BLOCK_BYTES))).cast("bigint"))
+def task_scale(spark: SparkSession) -> float:
+    """How many times TASK_MB a core of an executor has: blocks and shards grow with it.
 
+    A block sends a message to each shard, so that their number grows with the square of the input over the product of
+    the two sizes; larger tasks keep messages large on a large input.
+    """
+    told = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get("spark.executor.memory", "1g").strip().lower())
+    mb = int(told[1]) * {"k": 2**-10, "m": 1, "g": 2**10, "t": 2**20, "": 2**-20}[told[2]] if told else 0
+    return min(64.0, max(1.0, mb / int(spark.conf.get("spark.executor.cores", "1") or 1) / TASK_MB))
 
-def shard_bits(n_bytes: int) -> int:
-    return max(1, -(-n_bytes // SHARD_BYTES) - 1).bit_length()
+
+def block_of(n_bytes: int, scale: float, *cols: Column) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(max(1, -int(-n_bytes // (scale * BLOCK_BYTES)))).cast("bigint"))
+
+
+def shard_bits(n_bytes: int, scale: float = 1.0) -> int:
+    return max(1, -int(-n_bytes // (scale * SHARD_BYTES)) - 1).bit_length()
 
 
 def shorten(hashes: np.ndarray, bits: int) -> np.ndarray:

@@ -342,7 +342,8 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> tuple
     number = column(id_col).cast("bigint")
     rows = docs.select(F.coalesce(number, F.lit(0)).alias("id"), number.isNull().alias("no_id"), F.coalesce(column(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train")).withColumn("h", F.xxhash64("text"))
     n_bytes = X.total_bytes(rows, "text")
-    return rows.withColumn("block", X.block_of(n_bytes, F.col("id"), F.col("h"))), X.shard_bits(n_bytes)
+    scale = X.task_scale(docs.sparkSession)
+    return rows.withColumn("block", X.block_of(n_bytes, scale, F.col("id"), F.col("h"))), X.shard_bits(n_bytes, scale)
 
 
 def model(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

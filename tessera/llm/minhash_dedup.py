@@ -99,8 +99,9 @@ def bands(sample: np.ndarray) -> np.ndarray:
 def _candidates(docs: DataFrame) -> DataFrame:
     """From (id, th, text): (id, th, bands, keys, weights) of the texts that can have a partner."""
     n_bytes = X.total_bytes(docs, "text")
-    n_docs, bits = docs.count(), X.shard_bits(n_bytes)
-    blocks = docs.withColumn("block", X.block_of(n_bytes, F.col("id"), F.col("th")))
+    scale = X.task_scale(docs.sparkSession)
+    n_docs, bits = docs.count(), X.shard_bits(n_bytes, scale)
+    blocks = docs.withColumn("block", X.block_of(n_bytes, scale, F.col("id"), F.col("th")))
 
     def send(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["id", "th"], kind="stable")
