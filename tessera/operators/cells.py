@@ -85,15 +85,17 @@ def _bounds(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return total
 
 
-def _probes(queries: DataFrame, table: pd.DataFrame, k: int, vector: Sequence[str], query_id: str, bound: bool, budget: int | None = None) -> DataFrame:
-    """(qid, cluster_id, probe): the cells that hold the first k references, or with bound those not farther than tau."""
+def _probes(queries: DataFrame, table: pd.DataFrame, k: int, vector: Sequence[str], query_id: str, bound: bool, budget: int | None = None, visits: int | None = None) -> DataFrame:
+    """(qid, cluster_id, probe): the nearest cells that hold the first k references, or with bound those not farther than
+    tau; with budget the nearest so many cells, with visits those that hold the first so many references."""
     ids, sizes = table["cell_id"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
     low, high = (table[[f"{p}_{v}" for v in vector]].to_numpy(np.float64) for p in ("lo", "hi"))
+    step = max(1, ivf.STRIP_BYTES // (8 * len(ids)))  # rows of a matrix of bounds
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for s in range(0, len(f), 1024):
-                part = f.iloc[s : s + 1024]
+            for s in range(0, len(f), step):
+                part = f.iloc[s : s + step]
                 d = _bounds(part[list(vector)].to_numpy(np.float64), low, high)
                 order = np.argsort(d, axis=1, kind="stable")
                 rank = np.empty_like(order)
@@ -103,7 +105,7 @@ def _probes(queries: DataFrame, table: pd.DataFrame, k: int, vector: Sequence[st
                 else:
                     seen = np.cumsum(sizes[order], axis=1) - sizes[order]
                     first = np.zeros(d.shape, bool)
-                    np.put_along_axis(first, order, seen < k, axis=1)
+                    np.put_along_axis(first, order, seen < (k if visits is None else visits), axis=1)
                     chosen = ~first & (d <= part["tau"].to_numpy(np.float64)[:, None]) if bound else first
                 i, j = np.nonzero(chosen)
                 yield pd.DataFrame({"qid": part["qid"].to_numpy(np.int64)[i], "cluster_id": ids[j], "probe": rank[i, j] + 1})
@@ -119,14 +121,17 @@ def _table(assigned: DataFrame, vector: Sequence[str]) -> pd.DataFrame:
     return out
 
 
-def search(queries: DataFrame, assigned: DataFrame, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", visits: bool = False) -> DataFrame:
-    """(qid, ref_id, d2, fraud, rank), equal to the brute-force result; with visits also (qid, cells, candidates)."""
+def search(queries: DataFrame, assigned: DataFrame, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", visits: bool = False, relax: float = 1.0) -> DataFrame:
+    """(qid, ref_id, d2, fraud, rank), equal to the brute-force result; with visits instead (qid, cells, candidates).
+
+    relax below 1 shrinks the bound beyond which cells are passed over: less work, and neighbours may be missed.
+    """
     table = _table(assigned, vector)
     cells = assigned.withColumnRenamed("cell_id", "cluster_id")
     seed = _probes(queries, table, k, vector, query_id, bound=False)
     first = kept(kernel.best(ivf.scan(queries, seed, cells, k, vector, query_id), k))
     full = F.when(F.count("*") >= k, F.max("d2")).otherwise(F.lit(float("inf")))
-    tau = first.groupBy("qid").agg(full.cast("double").alias("tau"))
+    tau = first.groupBy("qid").agg((full.cast("double") * relax).alias("tau"))
     bounded = queries.withColumn("qid", F.col(query_id).cast("bigint")).join(tau, "qid")
     rest = kept(_probes(bounded, table, k, vector, "qid", bound=True))
     found = kernel.best(first.drop("rank").unionByName(ivf.scan(queries, rest, cells, k, vector, query_id)), k)
@@ -136,7 +141,18 @@ def search(queries: DataFrame, assigned: DataFrame, k: int = K, vector: Sequence
     return seed.unionByName(rest).join(F.broadcast(sizes), "cluster_id").groupBy("qid").agg(F.count("*").alias("cells"), F.sum("n").alias("candidates"))
 
 
-def search_budget(queries: DataFrame, assigned: DataFrame, budget: int, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid") -> DataFrame:
-    """The k nearest within the `budget` nearest cells: best-first search that stops early."""
-    probes = _probes(queries, _table(assigned, vector), k, vector, query_id, bound=False, budget=budget)
+def search_budget(queries: DataFrame, assigned: DataFrame, budget: int | None = None, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", visits: int | None = None) -> DataFrame:
+    """The k nearest within the `budget` nearest cells, or within those that hold the first `visits` references:
+    best-first search that stops early."""
+    if (budget is None) == (visits is None):
+        raise ValueError("either a budget of cells or one of visits is wanted")
+    probes = _probes(queries, _table(assigned, vector), k, vector, query_id, bound=False, budget=budget, visits=visits)
     return kernel.best(ivf.scan(queries, probes, assigned.withColumnRenamed("cell_id", "cluster_id"), k, vector, query_id), k)
+
+
+def search_refined(queries: DataFrame, assigned: DataFrame, visits: int, refine: tuple[int, int] = (2, 3), k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid") -> DataFrame:
+    """search_budget, and the exact search for the queries whose fraud count lies in refine, next to the decision's border."""
+    early = kept(search_budget(queries, assigned, None, k, vector, query_id, visits))
+    border = kept(early.groupBy("qid").agg(F.sum("fraud").alias("f")).where(F.col("f").between(*refine)).select("qid"))
+    again = search(queries.join(border.withColumnRenamed("qid", query_id), query_id, "left_semi"), assigned, k, vector, query_id)
+    return early.join(border, "qid", "left_anti").unionByName(again)

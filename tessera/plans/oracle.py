@@ -184,6 +184,7 @@ ORACLE: dict[str, str] = {
     "ivf_scancap": f"with {IVF}{_short(BASE)}{_scan_cap()} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
     "ivf_full_probe": f"with {KNN} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
     "cells_knn": f"with {KNN} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
+    "cells_refined": f"with {KNN} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
     "cells_bbox": f"with {IVF} select cluster_id cell_id, count(*) n, " + ", ".join(f"min({x}) lo_{x}, max({x}) hi_{x}" for x in Q) + " from cl group by cluster_id",
     "box_distance": f"with {IVF}, bx as (select cluster_id, " + ", ".join(f"min({x}) lo_{x}, max({x}) hi_{x}" for x in Q) + " from cl group by cluster_id) select a.ok qid, cluster_id, "
     + " + ".join(f"cast(power(greatest(lo_{x}-{x}, {x}-hi_{x}, 0), 2) as bigint)" for x in Q) + " bound from q a cross join bx where a.ok%10=0",

@@ -98,6 +98,15 @@ def test_cells(spark, blobs):
     seen = cells.search(queries, assigned, visits=True)
     assert seen.agg(F.min("candidates")).first()[0] >= 5 and seen.agg(F.avg("candidates")).first()[0] < 900
     assert told(cells.search_budget(queries, assigned, 10**6), len(q)) == brute(q, r, 5)
+    assert told(cells.search_budget(queries, assigned, visits=900), len(q)) == brute(q, r, 5)
+    assert told(cells.search_refined(queries, assigned, 50, (0, 5)), len(q)) == brute(q, r, 5)
+    one = told(cells.search_budget(queries, assigned, visits=5), len(q))
+    assert told(cells.search_refined(queries, assigned, 5, (9, 9)), len(q)) == one
+    assert told(cells.search(queries, assigned, relax=1e9), len(q)) == brute(q, r, 5)
+    less = told(cells.search(queries, assigned, relax=0.0), len(q))
+    assert all(x[1] >= y[1] for a, b in zip(less, brute(q, r, 5), strict=True) for x, y in zip(a, b, strict=True))
+    with pytest.raises(ValueError):
+        cells.search_budget(queries, assigned)
     few = kept(index.build_cells(table(spark, r[:3], "ref_id"), 8))
     assert told(cells.search(queries, few), len(q)) == brute(q, r[:3], 5)
 
