@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.constants import DIMS, MCC_RISK, Q, V
 
 CLUSTERS, ROUNDS, BASE, MOST, CAP = 12, 2, 3, 6, 2500
+BUDGETS = (1, 4, CLUSTERS)
 
 _RISK = " ".join(f"when {i} then {r}e0" for i, r in enumerate(MCC_RISK.values()))
 
@@ -147,6 +148,33 @@ f as (select 'made-' || n ok, (root*root+50)/100.0e0 amount, 1+{d("instalments",
 select ok id, """ + ", ".join(f"{e} {v}" for e, v in zip(_V, V, strict=True)) + " from f"
 
 
+def _boxes() -> str:
+    """Clusters as cells: their boxes, and for each query the bounds, their order and the references in the cells before."""
+    edges = ", ".join(f"min({x}) lo_{x}, max({x}) hi_{x}" for x in Q)
+    bound = " + ".join(f"cast(power(greatest(lo_{x}-{x}, {x}-hi_{x}, 0), 2) as bigint)" for x in Q)
+    return f""",
+bx as (select cluster_id, count(*) n, {edges} from cl group by cluster_id),
+bd as (select a.ok qid, cluster_id, n, {bound} bound from q a cross join bx where a.ok%10=0),
+rk as (select *, row_number() over w probe, cast(coalesce(sum(n) over (w rows between unbounded preceding and 1 preceding), 0) as bigint) before from bd window w as (partition by qid order by bound, cluster_id))"""
+
+
+def _visits() -> str:
+    return f"""with {IVF}{_boxes()},
+f1 as (select qid, cluster_id from rk where before < 5){_scan("n1", "f1")},
+t as (select qid, case when count(*) >= 5 then max(d2) else 1000000000000000 end tau from n1 group by qid),
+vi as (select rk.qid, cast(sum(n) as bigint) candidates from rk join t using (qid) where before < 5 or bound <= tau group by rk.qid)
+select count(*) n, quantile_disc(candidates, 0.5) p50, quantile_disc(candidates, 0.95) p95, quantile_disc(candidates, 0.99) p99, max(candidates) most from vi"""
+
+
+def _budgets() -> str:
+    sql, parts = KNN + IVF.removeprefix(QUANT) + _boxes() + ",\nex as (" + _VOTE.replace("< 0.6e0 approved", "< 0.6e0 e") + ")", []
+    for b in BUDGETS:
+        sql += f",\np{b} as (select qid, cluster_id from rk where probe <= {b})" + _scan(f"s{b}", f"p{b}")
+        sql += f",\nv{b} as (select qid, cast(sum(fraud) as double)/5 < 0.6e0 a from s{b} group by qid)"
+        parts.append(_CONFUSION.format(setting=f"'cells={b}' setting,") + f" from v{b} join ex using (qid)")
+    return f"with {sql}\n" + "\nunion all\n".join(parts)
+
+
 def _report() -> str:
     return """with r(run, fp, fn, errors, n, p99) as (values (1,0,0,0,5000,1.0e0),(2,5,5,0,5000,3.0e0),(3,0,0,0,5000,100.0e0),(4,30,20,0,5000,10.0e0),
  (5,100,50,0,5000,300.0e0),(6,500,250,0,5000,200.0e0),(7,500,300,0,5000,10.0e0),(8,0,0,5000,5000,60000.0e0)),
@@ -184,6 +212,8 @@ ORACLE: dict[str, str] = {
     "ivf_scancap": f"with {IVF}{_short(BASE)}{_scan_cap()} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
     "ivf_full_probe": f"with {KNN} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
     "cells_knn": f"with {KNN} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
+    "cells_visits": _visits(),
+    "cells_budget": _budgets(),
     "cells_refined": f"with {KNN} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
     "cells_bbox": f"with {IVF} select cluster_id cell_id, count(*) n, " + ", ".join(f"min({x}) lo_{x}, max({x}) hi_{x}" for x in Q) + " from cl group by cluster_id",
     "box_distance": f"with {IVF}, bx as (select cluster_id, " + ", ".join(f"min({x}) lo_{x}, max({x}) hi_{x}" for x in Q) + " from cl group by cluster_id) select a.ok qid, cluster_id, "

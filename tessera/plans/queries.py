@@ -14,7 +14,7 @@ from tessera.functions.vectors import box_distance, dequantize, squared_distance
 from tessera.operators import cells, ivf, knn
 from tessera.operators.vote import respond, vote
 from tessera.plans import evaluate, fixtures, index
-from tessera.plans.oracle import BASE, CAP, CLUSTERS, MOST, ROUNDS
+from tessera.plans.oracle import BASE, BUDGETS, CAP, CLUSTERS, MOST, ROUNDS
 from tessera.plans.scorers import Brute, Stub, VectorizeOnly, load
 from tessera.plans.storage import kept, shared_dir
 from tessera.sources import references as R
@@ -155,18 +155,24 @@ def cells_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.search(queries, kept(index.build_cells(references, 256))).select(*_NEIGHBOURS)
 
 
+def _as_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries, and the references with their clusters as cells."""
+    queries, _, assigned = _built(spark, sf_dir)
+    return queries, kept(assigned.withColumnRenamed("cluster_id", "cell_id"))
+
+
 def cells_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, references = _sides(spark, sf_dir)
-    seen = cells.search(queries, kept(index.build_cells(references, 256)), visits=True)
+    """Percentiles of how many references a query meets in the exact search."""
+    seen = cells.search(*_as_cells(spark, sf_dir), visits=True)
     return evaluate.percentiles(seen, "candidates", (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
 
 
 def cells_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of a search that stops after some cells with the exact one."""
-    queries, references = _sides(spark, sf_dir)
-    assigned, n = kept(index.build_cells(references, 256)), references.count()
-    exact = kept(vote(knn.knn(queries, references), n).select("qid", F.col("approved").alias("expected_approved")))
-    runs = [(f"cells={b}", lambda b=b: vote(cells.search_budget(queries, assigned, b), n)) for b in (1, 4, 16)]
+    queries, assigned = _as_cells(spark, sf_dir)
+    n = assigned.count()
+    exact = kept(vote(knn.knn(queries, assigned), n).select("qid", F.col("approved").alias("expected_approved")))
+    runs = [(f"cells={b}", lambda b=b: vote(cells.search_budget(queries, assigned, b), n)) for b in BUDGETS]
     return evaluate.sweep(runs, exact)
 
 
