@@ -12,11 +12,11 @@ from tessera.functions import vectors as X
 from tessera.functions.features import clamp, mcc_risk, ratio, vectorize
 from tessera.sources import requests as S
 
+# Two requests and their vectors.
 LEGIT = """{"id":"a","transaction":{"amount":41.12,"installments":2,"requested_at":"2026-03-11T18:45:53Z"},"customer":{"avg_amount":82.24,"tx_count_24h":3,"known_merchants":["MERC-003","MERC-016"]},
 "merchant":{"id":"MERC-016","mcc":"5411","avg_amount":60.25},"terminal":{"is_online":false,"card_present":true,"km_from_home":29.23},"last_transaction":null}"""
 FRAUD = """{"id":"b","transaction":{"amount":9505.97,"installments":10,"requested_at":"2026-03-14T05:15:12Z"},"customer":{"avg_amount":81.28,"tx_count_24h":20,"known_merchants":["MERC-008","MERC-007","MERC-005"]},
 "merchant":{"id":"MERC-068","mcc":"7802","avg_amount":54.86},"terminal":{"is_online":false,"card_present":true,"km_from_home":952.27},"last_transaction":null}"""
-# The vectors of the two requests.
 LEGIT_V = [0.0041, 0.1667, 0.05, 0.7826, 0.3333, -1, -1, 0.0292, 0.15, 0, 1, 0, 0.15, 0.006]
 FRAUD_V = [0.9506, 0.8333, 1.0, 0.2174, 0.8333, -1, -1, 0.9523, 1.0, 0, 1, 1, 0.75, 0.0055]
 
@@ -31,6 +31,12 @@ def test_worked_examples(spark, body, want):
     assert vector(spark, body) == pytest.approx(want, abs=1e-4)
 
 
+def test_own_example(spark):
+    body = """{"id":"own","transaction":{"amount":1234.5,"installments":6,"requested_at":"2026-07-05T23:10:00Z"},"customer":{"avg_amount":500,"tx_count_24h":5,"known_merchants":["shop-1"]},
+"merchant":{"id":"shop-1","mcc":"0000","avg_amount":2500},"terminal":{"is_online":true,"card_present":false,"km_from_home":10},"last_transaction":{"timestamp":"2026-07-05T20:10:30Z","km_from_current":250}}"""
+    assert vector(spark, body) == pytest.approx([0.12345, 0.5, 0.2469, 1, 1, 179 / 1440, 0.25, 0.01, 0.25, 1, 0, 0, 0.5, 0.25])
+
+
 def test_history(spark):
     body = LEGIT.replace('"last_transaction":null', '"last_transaction":{"timestamp":"2026-03-11T17:45:53Z","km_from_current":500}')
     assert vector(spark, body)[5:7] == pytest.approx([60 / 1440, 0.5])
