@@ -127,14 +127,18 @@ class EliasFano:
         place = np.where(high > 0, self._select(self.zeros, np.maximum(high - 1, 0), True) + 1, 0)
         start = place - high
         stop = start + self._run(place, high)
-        live = np.flatnonzero(start < stop)
+        # of these the first whose low bits are not less than the wanted ones
+        low, high = start, stop.copy()
+        live = np.flatnonzero(low < high)
         while len(live):
-            at = start[live]
-            low = self._lows(at)
-            hit = low == want[live]
-            out[ok[live[hit]]] = at[hit]
-            start[live] += 1
-            live = live[(low < want[live]) & (start[live] < stop[live])]
+            middle = (low[live] + high[live]) >> 1
+            less = self._lows(middle) < want[live]
+            low[live] = np.where(less, middle + 1, low[live])
+            high[live] = np.where(less, high[live], middle)
+            live = live[low[live] < high[live]]
+        hit = np.flatnonzero(low < stop)
+        hit = hit[self._lows(low[hit]) == want[hit]]
+        out[ok[hit]] = low[hit]
         return out
 
 
