@@ -36,7 +36,7 @@ LOOK = 3
 #: Characters of a leaf of the tree over a text, and bytes of a leaf of the tree over one piece.
 TEXT_LEAF, PIECE_LEAF = 2048, 64
 WINDOW = 64
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 class Codec:
