@@ -62,9 +62,19 @@ select page_id, payload_bytes, payload_digest, case when response <> page_id the
  case when response <> page_id then response end refers_to from d left join f using (payload_digest)
 """
 
+_URLS = """
+with r(h, p, action) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u as (select row_number() over () rid, page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
+d as (select rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u),
+m as (select rid, h || p rule, action, row_number() over (partition by rid order by len(h || p) desc, len(h) desc, action desc) n
+  from d join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select page_id, host, path, rule, coalesce(action, 'allow') verdict from d left join m on m.rid = d.rid and n = 1
+"""
+
 ORACLE: dict[str, str] = {
     "op4_embedding_dedup": _EMBEDDINGS,
     "op8_secret_scan": _secrets(),
     "op9_decontaminate": _CONTAMINATION,
     "op10_warc": _ARCHIVE,
+    "op11_url_filter": _URLS,
 }

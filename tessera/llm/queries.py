@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embedding_dedup, line_dedup, lm_score, minhash_dedup, secret_scan, token_count, toxicity, warc
+from . import byte_bpe, decontaminate, embedding_dedup, line_dedup, lm_score, minhash_dedup, secret_scan, token_count, toxicity, url_filter, warc
 from .common import table
 from .oracle import ORACLE
 
@@ -57,8 +57,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+#: The rules of op11_url_filter: host, path, action.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.rules(spark, URL_RULES)).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_token_count, op4_embedding_dedup, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_token_count, op4_embedding_dedup, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_warc, op11_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
