@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embedding_dedup, line_dedup, lm_score, minhash_dedup, secret_scan, token_count, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, embedding_dedup, line_dedup, lm_score, merkle, minhash_dedup, secret_scan, token_count, toxicity, url_filter, warc
 from .common import table
 from .oracle import ORACLE
 
@@ -66,8 +66,16 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.rules(spark, URL_RULES)).drop("url")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = [(F.col(f) + 1) if f == "n_chars" else F.col(f) for f in fields]
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf_of(tampered))
+    made = merkle.manifest(docs, fields, "lang", "doc_id", claimed=claimed)
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_token_count, op4_embedding_dedup, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_warc, op11_url_filter)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_token_count, op4_embedding_dedup, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_warc, op11_url_filter, op12_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
