@@ -71,10 +71,45 @@ m as (select rid, h || p rule, action, row_number() over (partition by rid order
 select page_id, host, path, rule, coalesce(action, 'allow') verdict from d left join m on m.rid = d.rid and n = 1
 """
 
+_CRC32 = """xor(4294967295, list_reduce(list_transform(str_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint)),
+  lambda r, b: xor(r >> 8, list_reduce([xor(r, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)), cast(4294967295 as bigint)))"""
+
+
+def _merkle(levels: int = 20, over: int = 8) -> str:
+    """Level by level: the nodes n of all languages' trees, m of the one over them, and the walk w of every row upwards."""
+    leaf = lambda n: "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("cast(doc_id as varchar)", "source", "lang", f"cast({n} as varchar)", "text")) + ")"
+    sql = f"""with d as (select row_number() over () rid, doc_id, coalesce('=' || lang, '') g, {leaf("n_chars")} leaf, case when {_CRC32} % 7 = 0 then {leaf("n_chars + 1")} end claimed from documents),
+p as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 i, count(*) over (partition by g) c from d),
+n0 as materialized (select g, i, c, leaf h from p),
+w0 as materialized (select rid, g, i, c, '' proof, coalesce(claimed, leaf) now from p)"""
+
+    def above(name: str, k: int) -> str:
+        return f""",
+{name}{k + 1} as materialized (select g, i // 2 i, (max(c) + 1) // 2 c, case when max(c) > 1 then sha256(string_agg(h, '' order by i)) else max(h) end h from {name}{k} group by g, i // 2)"""
+
+    def walk(k: int, nodes: str) -> str:
+        side = "case when w.i % 2 = 0 then now || coalesce(h, '') else h || now end"
+        return f""",
+w{k + 1} as materialized (select rid, w.g, w.i // 2 i, (w.c + 1) // 2 c, proof || coalesce(h, '') proof, case when w.c > 1 then sha256({side}) else now end now
+  from w{k} w left join {nodes} s on s.g = w.g and s.i = xor(w.i, 1) and w.c > 1)"""
+
+    for k in range(levels):
+        sql += above("n", k) + walk(k, f"n{k}")
+    sql += f""",
+t as (select g, row_number() over (order by g) - 1 i, count(*) over () c, h from n{levels}),
+m0 as materialized (select '' g, i, c, h from t),
+w{levels + 1} as materialized (select rid, '' g, t.i, t.c, proof, now from w{levels} join t using (g))"""
+    for k in range(over):
+        sql += above("m", k) + walk(levels + 1 + k, f"m{k}")
+    return sql + f"""
+select doc_id, leaf, t.h subroot, r.h root, sha256(proof) proof_sha256, now folded_root, now = r.h verified from p join t using (g) join w{levels + 1 + over} w using (rid) cross join m{over} r"""
+
+
 ORACLE: dict[str, str] = {
     "op4_embedding_dedup": _EMBEDDINGS,
     "op8_secret_scan": _secrets(),
     "op9_decontaminate": _CONTAMINATION,
     "op10_warc": _ARCHIVE,
     "op11_url_filter": _URLS,
+    "op12_merkle": _merkle(),
 }

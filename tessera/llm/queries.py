@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embedding_dedup, line_dedup, lm_score, merkle, minhash_dedup, secret_scan, token_count, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, embedding_dedup, line_dedup, lm_score, merkle, minhash_dedup, secret_scan, token_count, toxicity, url_filter, warc, whitening
 from .common import table
 from .oracle import ORACLE
 
@@ -74,8 +74,15 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(whitening.usable(F.col("embedding")))
+    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * 64) + 1_000_000)
+    rows = rows.select("vec_id", x.alias("x"))
+    return whitening.transform(rows, whitening.fit(rows, "x"), "vec_id", "x")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_token_count, op4_embedding_dedup, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_warc, op11_url_filter, op12_merkle)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_token_count, op4_embedding_dedup, op5_lm_score, op6_toxicity, op7_minhash_dedup, op8_secret_scan, op9_decontaminate, op10_warc, op11_url_filter, op12_merkle, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
