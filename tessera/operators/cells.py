@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tessera.constants import K, Q
 from tessera.operators import ivf, kernel
+from tessera.operators.knn import check_k
+from tessera.operators.tiles import Tiles, as_tiles, of_probes, scan
 from tessera.plans.storage import kept
 
 SAMPLE_ROWS = 20_000

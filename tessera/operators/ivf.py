@@ -7,19 +7,22 @@ clusters that it probes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.constants import K, Q
 from tessera.operators import kernel
+from tessera.operators.knn import check_k
+from tessera.operators.tiles import Tiles, as_tiles, blocks, scan
+from tessera.plans.storage import kept
 
 MOST_CLUSTERS = 65_536
-#: References of a packed tile, and bytes of a matrix of distances to centroids that a task holds at a time.
-TILE_ROWS, STRIP_BYTES = 8192, 32 << 20
+#: Bytes of a matrix of distances to centroids that a task holds at a time.
+STRIP_BYTES = 32 << 20
 
 
 def centroid_matrix(centroids: DataFrame, vector: Sequence[str] = tuple(Q)) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +84,11 @@ def shortlist(queries: DataFrame, centroids: DataFrame, probes: int, vector: Seq
     return queries.select(F.col(query_id).cast("bigint").alias("qid"), *vector).mapInPandas(run, "qid bigint, probe int, cluster_id bigint, cd2 bigint")
 
 
-def cluster_sizes(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
+def cluster_sizes(assigned: DataFrame | Tiles, centroids: DataFrame) -> DataFrame:
     """(cluster_id, n) of every cluster, empty ones included; assigned is references with cluster_id, or their tiles."""
-    packed = "grp" in assigned.columns
-    counts = assigned.groupBy(F.col("grp").alias("cluster_id")).agg(F.sum("n").alias("n")) if packed else assigned.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    frame = assigned.frame if isinstance(assigned, Tiles) else assigned
+    packed = "grp" in frame.columns
+    counts = frame.groupBy(F.col("grp").alias("cluster_id")).agg(F.sum("n").alias("n")) if packed else frame.groupBy("cluster_id").agg(F.count("*").alias("n"))
     return centroids.select("cluster_id").join(counts, "cluster_id", "left").select("cluster_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
@@ -95,56 +99,70 @@ def cluster_stats(sizes: DataFrame) -> DataFrame:
     return listed.select(F.col("clusters").cast("bigint").alias("clusters"), at(0.5).alias("p50"), at(0.99).alias("p99"), F.get("s", F.col("clusters") - 1).alias("most"), "empty")
 
 
-def tiles(assigned: DataFrame, vector: Sequence[str] = tuple(Q), rows: int = TILE_ROWS) -> DataFrame:
-    """The references of each cluster in packed tiles: an index that is searched often keeps them stored."""
-    return kernel.pack(assigned, "ref_id", vector, "fraud", rows, group="cluster_id")
-
-
-def scan(queries: DataFrame, probes: DataFrame, assigned: DataFrame, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", rows: int = TILE_ROWS) -> DataFrame:
-    """FOUND: the k nearest per query and tile among the clusters that probes (qid, cluster_id, optional take) names.
+def _few(centroids: DataFrame, first: int, last: int, sizes: dict[int, int] | None, cap: int | None, vector: Sequence[str]) -> Callable:
+    """What tiles.blocks asks: for each query its centroids from the first-th to the last-th nearest. With cap, a query may
+    scan so many references over all its clusters, in the order of distance and id."""
+    ids, c = centroid_matrix(centroids, vector)
+    n = np.array([(sizes or {}).get(int(i), 0) for i in ids], np.int64)
+    strip = max(1, STRIP_BYTES // (8 * max(1, len(ids))))
+    last = min(last, len(ids))
+
+    def choose(x: np.ndarray, _) -> tuple:
+        if first > last:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), None, None
+        near = np.concatenate([_nearest_few(_distances(x[s : s + strip].astype(np.float64), c), last) for s in range(0, max(1, len(x)), strip)])
+        rows, takes = np.repeat(np.arange(len(x)), last - first + 1), None
+        if cap is not None:
+            inside = n[near]
+            takes = np.minimum(inside, cap - (np.cumsum(inside, axis=1) - inside))[:, first - 1 :].ravel()
+        groups = ids[near[:, first - 1 :]].ravel()
+        if takes is None:
+            return rows, groups, None, None
+        open_ = takes > 0
+        return rows[open_], groups[open_], takes[open_], None
+
+    return choose
+
+
+def search(queries: DataFrame, centroids: DataFrame, assigned: DataFrame | Tiles, base: int = 6, most: int = 16, refine: tuple[int, int] = (2, 4), cap: int | None = None, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid") -> DataFrame:
+    """(qid, ref_id, d2, fraud, rank) by scanning the `base` nearest clusters.
 
-    take is how many references of the cluster, in the order of ids, a query may still scan. assigned is the references
-    with cluster_id, or their tiles.
+    Queries whose fraud count lies in `refine` go on to `most` clusters. cap bounds the references scanned by a query
+    over both passes. With base = most = clusters and no cap the result is exact. k is 1 to 5.
     """
-    has_take = "take" in probes.columns
-    take = F.col("take").cast("bigint") if has_take else F.lit(1 << 60).cast("bigint")
-    wanted = probes.select("qid", F.col("cluster_id").alias("grp"), take.alias("take")).join(queries.select(F.col(query_id).cast("bigint").alias("qid"), *vector), "qid")
+    check_k(k)
+    index = as_tiles(assigned, "cluster_id", vector)
+    sizes = None if cap is None else index.sizes
 
-    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for g, part in f.groupby("grp", sort=False):
-                yield pd.DataFrame({"grp": [int(g)], "q_ids": [part["qid"].to_numpy(np.int64).tobytes()], "q_data": [part[list(vector)].to_numpy(np.int32).tobytes()], "q_take": [part["take"].to_numpy(np.int64).tobytes()]})
+    def scanned(asking: DataFrame, first: int, last: int) -> DataFrame:
+        asked = blocks(asking, _few(centroids, first, last, sizes, cap, vector), vector, query_id)
+        return scan(index, asked, len(vector), k, capped=cap is not None)
 
-    wanted = wanted.repartition("grp").sortWithinPartitions("grp")
-    q = wanted.mapInPandas(blocks, "grp bigint, q_ids binary, q_data binary, q_take binary")
-    r = assigned if "grp" in assigned.columns else tiles(assigned, vector, rows)
-    pairs = q.join(r, "grp").withColumn("skip", (F.col("tile") * rows).cast("bigint"))
-    return kernel.search(pairs, len(vector), k)
+    if most <= base:
+        return kernel.best(scanned(queries, 1, base), k)
+    first = kept(kernel.best(scanned(queries, 1, base), k))
+    undecided = first.groupBy("qid").agg(F.sum("fraud").alias("f")).where(F.col("f").between(*refine)).select(F.col("qid").alias(query_id))
+    more = scanned(queries.join(undecided, query_id, "left_semi"), base + 1, most)
+    return kernel.best(first.drop("rank").unionByName(more), k)
 
 
-def with_cap(probes: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
-    """probes with take: what of a cluster is within the first `cap` references, in the order of probes."""
-    before = Window.partitionBy("qid").orderBy("probe").rowsBetween(Window.unboundedPreceding, -1)
-    sized = probes.join(sizes, "cluster_id").withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return sized.withColumn("take", F.least("n", cap - F.col("before"))).where("take > 0").drop("n", "before")
+def sweep(queries: DataFrame, centroids: DataFrame, assigned: DataFrame | Tiles, settings: Sequence[int], k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid") -> DataFrame:
+    """(setting, qid, ref_id, d2, fraud, rank) for each number of probes of settings, all from one scan: what is found in a
+    cluster counts for every setting that probes it."""
+    check_k(k)
+    index, steps = as_tiles(assigned, "cluster_id", vector), sorted(set(settings))
+    near = _few(centroids, 1, steps[-1], None, None, vector)
 
+    def choose(x: np.ndarray, more) -> tuple:
+        rows, groups, takes, _ = near(x, more)
+        width = len(rows) // max(1, len(x))
+        return rows, groups, takes, np.tile(np.searchsorted(steps, np.arange(1, width + 1)), len(x))
 
-def search(queries: DataFrame, centroids: DataFrame, assigned: DataFrame, base: int = 6, most: int = 16, refine: tuple[int, int] = (2, 4), cap: int | None = None, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid") -> DataFrame:
-    """(qid, ref_id, d2, fraud, rank) by scanning the `base` nearest clusters.
+    found = scan(index, blocks(queries, choose, vector, query_id), len(vector), k, with_step=True)
+    return of_steps(found, steps, k)
 
-    Queries whose fraud count lies in `refine` go on to `most` clusters. cap bounds the references scanned by a query
-    over both passes. With base = most = clusters and no cap the result is exact.
-    """
-    from tessera.plans.storage import kept
 
-    probes = shortlist(queries, centroids, max(base, most), vector, query_id)
-    if cap is not None:
-        probes = with_cap(probes, cluster_sizes(assigned, centroids), cap)
-    if most <= base:
-        return kernel.best(scan(queries, probes.where(F.col("probe") <= base), assigned, k, vector, query_id), k)
-    probes = kept(probes)
-    first = kept(kernel.best(scan(queries, probes.where(F.col("probe") <= base), assigned, k, vector, query_id), k))
-    undecided = first.groupBy("qid").agg(F.sum("fraud").alias("f")).where(F.col("f").between(*refine)).select("qid")
-    further = probes.where(F.col("probe") > base).join(undecided, "qid", "left_semi")
-    more = scan(queries, further, assigned, k, vector, query_id)
-    return kernel.best(first.drop("rank").unionByName(more), k)
+def of_steps(found: DataFrame, steps: Sequence[int], k: int) -> DataFrame:
+    """FOUND_STEP to (setting, qid, ...): a row of step s is one of setting steps[s] and of all later ones."""
+    each = found.withColumn("s", F.explode(F.sequence("step", F.lit(len(steps) - 1)))).drop("step")
+    return kernel.best(each.withColumn("setting", F.element_at(F.array(*map(F.lit, steps)), F.col("s") + 1)).drop("s"), k, "setting")

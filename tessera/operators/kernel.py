@@ -7,59 +7,46 @@ exact. Ties go to the smaller reference id.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = "tile bigint, n int, ids binary, data binary, extra binary"
-FOUND = "qid bigint, ref_id bigint, d2 bigint, fraud int"
+from tessera.operators.topk import FOUND, TopK
+
+TILE = "n int, ids binary, data binary, extra binary"
 STRIP = 1024
 
 
-def pack(df: DataFrame, id_col: str, vector: Sequence[str], extra: str, rows: int, group: str | None = None) -> DataFrame:
-    """Tiles of (id, vector columns, extra); with group, tiles of one group, in the order of ids, with the group's column.
-
-    Without group a tile is what a task reads, cut at `rows`.
-    """
-    columns = [F.col(id_col).cast("bigint").alias("id"), *[F.col(v).cast("int").alias(v) for v in vector], F.col(extra).cast("int").alias("extra")]
-    chosen = df.select(*columns, *([F.col(group).cast("bigint").alias("grp")] if group else []))
-    if group:
-        chosen = chosen.repartition("grp").sortWithinPartitions("grp", "id")
-
-    def tile(f: pd.DataFrame, number: int) -> pd.DataFrame:
-        out = {"tile": [number], "n": [len(f)], "ids": [f["id"].to_numpy(np.int64).tobytes()], "data": [f[list(vector)].to_numpy(np.int32).tobytes()], "extra": [f["extra"].to_numpy(np.int32).tobytes()]}
-        return pd.DataFrame(out | ({"grp": [int(f["grp"].iloc[0])]} if group else {}))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, number, key = [], 0, None
-        size = 0
-
-        def flush() -> Iterator[pd.DataFrame]:
-            nonlocal held, size, number
-            if held:
-                yield tile(pd.concat(held, ignore_index=True), number)
-                held, size, number = [], 0, number + 1
-
-        for f in frames:
-            for g, part in f.groupby("grp", sort=False) if group else [(None, f)]:
-                if g != key:
-                    yield from flush()
-                    key, number = g, 0
-                for s in range(0, len(part), rows):
-                    piece = part.iloc[s : s + rows]
-                    while len(piece):
-                        take = piece.iloc[: rows - size]
-                        held.append(take)
-                        size += len(take)
-                        piece = piece.iloc[len(take) :]
-                        if size == rows:
-                            yield from flush()
-        yield from flush()
-
-    return chosen.mapInPandas(run, TILE + (", grp bigint" if group else ""))
+def pack(df: DataFrame, id_col: str, vector: Sequence[str], extra: str, rows: int) -> DataFrame:
+    """Tiles of (id, vector columns, extra): what a task reads, cut at `rows`."""
+    columns = [F.col(id_col).cast("bigint").alias("id"), F.col(extra).cast("int").alias("extra"), *[F.col(v).cast("int").alias(v) for v in vector]]
+    names = list(vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            ids, more, data = (np.concatenate(c) for c in zip(*held, strict=True))
+            return pa.RecordBatch.from_pydict({"n": pa.array([len(ids)], "int32"), "ids": [ids.tobytes()], "data": [data.tobytes()], "extra": [more.tobytes()]})
+
+        for batch in batches:
+            data = np.stack([batch[v].to_numpy() for v in names], axis=1)
+            whole = batch["id"].to_numpy(), batch["extra"].to_numpy(), data
+            at = 0
+            while at < batch.num_rows:
+                upto = min(batch.num_rows, at + rows - size)
+                held.append(tuple(np.ascontiguousarray(c[at:upto]) for c in whole))
+                size, at = size + upto - at, upto
+                if size == rows:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return df.select(*columns).mapInArrow(run, TILE)
 
 
 def nearest(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, take: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -90,30 +77,25 @@ def nearest(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, take: np.ndar
 
 
 def search(pairs: DataFrame, dims: int, k: int) -> DataFrame:
-    """FOUND of rows with a tile of queries (q_ids, q_data, optional q_take) and one of references (ids, data, extra)."""
-    with_take = "q_take" in pairs.columns
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.itertuples(index=False):
-                q_ids, ids = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.ids, np.int64)
-                q, r = (np.frombuffer(x, np.int32).reshape(-1, dims) for x in (row.q_data, row.data))
-                fraud = np.frombuffer(row.extra, np.int32)
-                take = None
-                if with_take:
-                    take = np.clip(np.frombuffer(row.q_take, np.int64) - row.skip, 0, len(ids))
-                for i, j, d in nearest(q, r, ids, k, take):
-                    yield pd.DataFrame({"qid": q_ids[i], "ref_id": ids[j], "d2": d, "fraud": fraud[j]})
-
-    return pairs.mapInPandas(run, FOUND)
-
-
-def best(found: DataFrame, k: int) -> DataFrame:
-    """FOUND with rank, of the k nearest of each query; each tile has already cut its own to k."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "ref_id"))
+    """FOUND of rows with a tile of queries (q_ids, q_data) and one of references (ids, data, extra): the k nearest of each
+    query over all pairs of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = TopK(k)
+        for batch in batches:
+            for s in range(batch.num_rows):
+                row = batch.slice(s, 1).to_pylist()[0]
+                q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
+                q, r = (np.frombuffer(row[x], np.int32).reshape(-1, dims) for x in ("q_data", "data"))
+                fraud = np.frombuffer(row["extra"], np.int32)
+                for i, j, d in nearest(q, r, ids, k):
+                    yield from held.add(q_ids[i], ids[j], d, fraud[j])
+        yield from held.rows()
+
+    return pairs.mapInArrow(run, FOUND)
+
+
+def best(found: DataFrame, k: int, *keys: str) -> DataFrame:
+    """FOUND with rank, of the k nearest of each query (and keys); each task has already cut its own to k."""
+    rank = F.row_number().over(Window.partitionBy("qid", *keys).orderBy("d2", "ref_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-Search = Callable[[DataFrame, DataFrame], DataFrame]

@@ -25,8 +25,8 @@ def check_k(k: int, most: int = K) -> int:
 def knn(queries: DataFrame, references: DataFrame, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(qid, ref_id, d2, fraud, rank): the k nearest references of every query by (d2, ref_id).
 
-    references is (ref_id, vector columns, fraud). A pair of tiles gives at most k rows a query, so that what is
-    shuffled grows with the queries times the reference tiles, not with the pairs. k is 1 to 5.
+    references is (ref_id, vector columns, fraud). A task gives at most k rows a query, however many pairs of tiles it
+    compares, so that what is shuffled grows with the queries times the tasks. k is 1 to 5.
     """
     check_k(k)
     q = kernel.pack(queries.withColumn("__no", F.lit(0)), query_id, vector, "__no", QUERY_ROWS)

@@ -1,12 +1,17 @@
-"""Where intermediate results go."""
+"""Where intermediate results go, and when they go away."""
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_here = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; where it is unset, a local one in local mode only."""
@@ -24,5 +29,41 @@ def shared_dir(spark: SparkSession) -> str:
 def kept(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: a lost executor doesn't cost the work before it."""
     path = f"{shared_dir(df.sparkSession)}/tessera-core/{uuid.uuid4().hex}"
+    scopes = getattr(_here, "scopes", None)
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.kept_at = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes kept tables that nothing reads any more; others are left alone."""
+    for t in tables:
+        path = t.__dict__.pop("kept_at", None)
+        if path:
+            remove(t.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, whatever file system it is on; one that is gone already is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What this thread keeps inside is deleted at the end, also after an error: results must have been written by then."""
+    scopes = _here.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            remove(spark, path)

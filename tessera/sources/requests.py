@@ -24,7 +24,9 @@ def parse(raw: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> Dat
     """
     text = F.col(body)
     r = F.from_json(text, RAW_REQUEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = raw.select(*keep, text.alias("__body"), r.alias("r"))
+    # the optimizer copies a projected struct into every place that names one of its fields, also into filters, but not
+    # what a generator gives: the text is parsed once a row
+    rows = raw.select(*keep, text.alias("__body"), F.explode(F.array(r)).alias("r"))
     got = lambda path: F.col(f"r.{path}")
     number = lambda path: F.coalesce(got(path).try_cast("double"), F.lit(0.0))
     whole = lambda path: F.coalesce(got(path).try_cast("double").try_cast("int"), F.lit(0))
