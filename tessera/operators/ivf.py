@@ -1,8 +1,8 @@
 """Inverted-file search: references in clusters, of which a query scans the nearest few.
 
-The centroids are a table bounded by the number of clusters (a parameter), so that they are collected; references and
-queries never are. Clusters are packed as tiles in the order of reference ids, and a query joins the tiles of the
-clusters that it probes.
+The centroids are a table bounded by the number of clusters (a parameter), so that they are collected; references never are,
+and queries only as blocks of a counted size. Clusters are packed as tiles in the order of reference ids, and the tiles
+of the clusters that are probed are scanned where they lie (tessera.operators.tiles).
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ MOST_CLUSTERS = 65_536
 STRIP_BYTES = 32 << 20
 
 
-def centroid_matrix(centroids: DataFrame, vector: Sequence[str] = tuple(Q)) -> tuple[np.ndarray, np.ndarray]:
-    """(cluster ids, matrix), by id; their number is bounded by MOST_CLUSTERS."""
+def centroid_matrix(centroids: DataFrame | tuple[np.ndarray, np.ndarray], vector: Sequence[str] = tuple(Q)) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster ids, matrix), by id; their number is bounded by MOST_CLUSTERS. What is such a pair already stays."""
+    if isinstance(centroids, tuple):
+        return centroids
     rows = centroids.select("cluster_id", *vector).orderBy("cluster_id").limit(MOST_CLUSTERS + 1).toPandas()
     if len(rows) > MOST_CLUSTERS:
         raise ValueError(f"more than {MOST_CLUSTERS} clusters")

@@ -22,18 +22,25 @@ def check_k(k: int, most: int = K) -> int:
     return k
 
 
-def knn(queries: DataFrame, references: DataFrame, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def packed(references: DataFrame, vector: Sequence[str] = tuple(Q)) -> DataFrame:
+    """References as tiles, which an engine that is asked again keeps."""
+    return kernel.pack(references, "ref_id", vector, "fraud", REFERENCE_ROWS)
+
+
+def knn(queries: DataFrame, references: DataFrame, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", broadcast_bytes: int = BROADCAST_BYTES, rows: int | None = None) -> DataFrame:
     """(qid, ref_id, d2, fraud, rank): the k nearest references of every query by (d2, ref_id).
 
-    references is (ref_id, vector columns, fraud). A task gives at most k rows a query, however many pairs of tiles it
+    references is (ref_id, vector columns, fraud), or packed; rows is their number, if it is known. A task gives at most k rows a query, however many pairs of tiles it
     compares, so that what is shuffled grows with the queries times the tasks. k is 1 to 5.
     """
     check_k(k)
     q = kernel.pack(queries.withColumn("__no", F.lit(0)), query_id, vector, "__no", QUERY_ROWS)
     q = q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    r = kernel.pack(references, "ref_id", vector, "fraud", REFERENCE_ROWS)
-    r = r.select("ids", "data", "extra")
-    if references.count() * (4 * len(vector) + 12) <= broadcast_bytes:
+    is_packed = "ids" in references.columns
+    if rows is None:
+        rows = (references.agg(F.sum("n")).first()[0] or 0) if is_packed else references.count()
+    r = (references if is_packed else packed(references, vector)).select("ids", "data", "extra")
+    if rows * (4 * len(vector) + 12) <= broadcast_bytes:
         r = F.broadcast(r)
     return kernel.best(kernel.search(q.crossJoin(r), len(vector), k), k)
 

@@ -20,12 +20,14 @@ MOST_RANKS = 131_072
 def _range_of(value: Column, low: Column, high: Column, even: bool) -> Column:
     """The range, 0 to RANGES - 1, in which value lies between low and high: it never falls where value rises.
 
-    Even rounds divide evenly, odd ones by logarithms, so that a few huge values don't put all others into one range.
+    Even rounds divide evenly, odd ones by powers of two, so that values of any magnitude are told apart in a few rounds.
     """
     if even:  # halves keep the difference of very large numbers finite
         of = lambda x: x.cast("double") / 2
     else:
-        of = lambda x: F.signum(x.cast("double")) * F.log1p(F.abs(x.cast("double")))
+        # infinities count as the next powers
+        power = lambda x: F.least(F.coalesce(F.log2(F.abs(x.cast("double"))), F.lit(-1075.0)), F.lit(1025.0))
+        of = lambda x: F.when(x.cast("double") == 0, 0.0).otherwise(F.signum(x.cast("double")) * (power(x) + 1076))
     width = of(high) - of(low)
     part = (of(value) - of(low)) / F.when(width > 0, width).otherwise(1.0)
     inner = F.least(F.greatest(F.floor(part * RANGES), F.lit(0)), F.lit(RANGES - 1))
@@ -43,14 +45,15 @@ def nth(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], value: str = "v
     schema, state = first.schema, first.limit(MOST_RANKS + 1).collect()
     if len(state) > MOST_RANKS:
         raise ValueError(f"more than {MOST_RANKS} ranks are wanted")
-    done, even = [r for r in state if r["low"] == r["high"]], True
+    one = lambda r: r["low"] == r["high"] or (r["low"] != r["low"] and r["high"] != r["high"])
+    done, even = [r for r in state if one(r)], not any(isinstance(r["high"], float) and abs(r["high"] - r["low"]) > 1e15 for r in state)
     while len(done) < len(state):
-        open_ = spark.createDataFrame([r for r in state if r["low"] != r["high"]], schema)
+        open_ = spark.createDataFrame([r for r in state if not one(r)], schema)
         met = told.join(F.broadcast(open_), keys).where(F.col(value).between(F.col("low"), F.col("high")))
         counts = met.groupBy(*keys, "at", "rest", _range_of(F.col(value), F.col("low"), F.col("high"), even).alias("range")).agg(F.count("*").alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
         upto = Window.partitionBy(*keys, "at").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         before = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
         chosen = before.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")))
         state = done + chosen.select(*keys, "at", (F.col("rest") - F.col("before")).alias("rest"), F.col("a").alias("low"), F.col("b").alias("high")).collect()
-        done, even = [r for r in state if r["low"] == r["high"]], not even
+        done, even = [r for r in state if one(r)], not even
     return spark.createDataFrame(done, schema).select(*keys, "at", F.col("low").alias(value), "rest")

@@ -9,12 +9,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.constants import DIMS, SCALE, Q
+from tessera.constants import DIMS, SCALE, K, Q
 from tessera.functions.vectors import squared_distance
-from tessera.operators import cells, ivf
+from tessera.operators import cells, ivf, splits, tiles
+from tessera.operators.boxes import Tree
+from tessera.operators.tiles import Tiles
 from tessera.plans.storage import kept
 
-VERSION = 1
+VERSION = 2
+#: Folders of a written index, at most.
+SHARDS = 256
 
 
 def seeds(references: DataFrame, clusters: int, vector: Sequence[str] = tuple(Q)) -> DataFrame:
@@ -84,42 +88,76 @@ def build_ivf(references: DataFrame, clusters: int = 2048, rounds: int = 10, vec
 
 
 def build_cells(references: DataFrame, n: int = 1024, vector: Sequence[str] = tuple(Q)) -> DataFrame:
-    """References with cell_id."""
+    """References with cell_id, in at most n cells that a sample shapes."""
     return cells.assign(references, cells.splits(references, n, vector), vector)
 
 
-def save(path: str, references: DataFrame, kind: str = "flat", centroids: DataFrame | None = None, vector: Sequence[str] = tuple(Q)) -> None:
-    """Writes an index: rows clustered by their group and ordered by id, and a row that describes them."""
-    group = {"flat": None, "ivf": "cluster_id", "cells": "cell_id"}[kind]
-    rows = references.repartition(group).sortWithinPartitions(group, "ref_id") if group else references
-    rows.write.mode("errorifexists").parquet(f"{path}/references")
-    if kind == "ivf":
-        if centroids is None:
-            raise ValueError("an ivf index needs centroids")
-        centroids.write.parquet(f"{path}/centroids")
-    spark = references.sparkSession
-    count = spark.read.parquet(f"{path}/references").count()
-    clusters = centroids.count() if centroids is not None else 0
-    told = json.dumps({"version": VERSION, "kind": kind, "dims": len(vector), "scale": SCALE, "count": count, "clusters": clusters})
-    spark.createDataFrame([(told,)], "meta string").coalesce(1).write.parquet(f"{path}/meta")
+def build_levels(references: DataFrame, depth: int, rule: str = "median", vector: Sequence[str] = tuple(Q)) -> DataFrame:
+    """References with cell_id, split level by level at exact ranks: a kept table."""
+    return splits.split(references, depth, rule, K, vector)
+
 
+def save(path: str, references: DataFrame, kind: str = "flat", centroids: DataFrame | None = None, vector: Sequence[str] = tuple(Q), shards: int = SHARDS) -> None:
+    """Writes an index, and a row that describes it.
 
-def load(spark: SparkSession, path: str, dims: int = DIMS) -> tuple[dict, DataFrame, DataFrame | None]:
-    """(meta, references, centroids or None); an index that isn't what its description says is refused."""
+    flat: the references. ivf and cells: tiles of the clusters or cells, in a folder for each shard, which is a range of
+    their numbers, so that a search reads only the shards that it asks; with the centroids, or the tree of the boxes.
+    """
+    spark = references.sparkSession
+    told = {"version": VERSION, "kind": kind, "dims": len(vector), "scale": SCALE, "clusters": 0}
+    if kind == "flat":
+        references.write.mode("errorifexists").parquet(f"{path}/references")
+        told["count"] = spark.read.parquet(f"{path}/references").count()
+    else:
+        group = {"ivf": "cluster_id", "cells": "cell_id"}[kind]
+        if kind == "ivf" and centroids is None:
+            raise ValueError("an ivf index needs centroids")
+        ends = references.agg(F.min(group).alias("a"), F.max(group).alias("b")).first()
+        base, top = (ends["a"] or 0, ends["b"] or 0)
+        per = -(-(top - base + 1) // shards)
+        packed = tiles.pack(references, group, vector).withColumn("shard", F.floor((F.col("grp") - base) / per).cast("int"))
+        packed.write.mode("errorifexists").partitionBy("shard").parquet(f"{path}/tiles")
+        written = spark.read.schema(f"{tiles.TILE}, shard int").parquet(f"{path}/tiles")
+        told |= {"base": base, "per": per, "count": sum(tiles.sizes(written).values())}
+        if kind == "ivf":
+            centroids.write.parquet(f"{path}/centroids")
+            told["clusters"] = centroids.count()
+        else:
+            tree = Tree.of_boxes(cells.boxes(references, vector), vector)
+            tree.table(spark, vector).coalesce(1).write.parquet(f"{path}/nodes")
+            told["clusters"] = int(tree.cells[0])
+    spark.createDataFrame([(json.dumps(told),)], "meta string").coalesce(1).write.parquet(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str, dims: int = DIMS, vector: Sequence[str] = tuple(Q)) -> tuple[dict, DataFrame | Tiles | cells.Boxes, DataFrame | None]:
+    """(meta, what a search takes: references, tiles or boxes; centroids or None); an index that isn't what its description
+    says is refused."""
     rows = spark.read.parquet(f"{path}/meta").collect()
     if len(rows) != 1:
         raise ValueError("an index has one row of description")
     meta = json.loads(rows[0]["meta"])
-    references = spark.read.parquet(f"{path}/references")
     for key, want in (("version", VERSION), ("dims", dims), ("scale", SCALE)):
         if meta.get(key) != want:
             raise ValueError(f"the index has {key} {meta.get(key)}, not {want}")
-    if references.count() != meta["count"]:
+    if meta["kind"] == "flat":
+        references = spark.read.parquet(f"{path}/references")
+        if references.count() != meta["count"]:
+            raise ValueError("the index has not the rows that it says")
+        return meta, references, None
+    base, per = meta["base"], meta["per"]
+    opened = Tiles(spark.read.schema(f"{tiles.TILE}, shard int").parquet(f"{path}/tiles"), lambda g: (g - base) // per)
+    if opened.count != meta["count"]:
         raise ValueError("the index has not the rows that it says")
-    centroids = spark.read.parquet(f"{path}/centroids") if meta["kind"] == "ivf" else None
-    if centroids is not None:
-        if centroids.count() != meta["clusters"]:
-            raise ValueError("the index has not the clusters that it says")
-        if not references.select("cluster_id").distinct().join(centroids, "cluster_id", "left_anti").isEmpty():
-            raise ValueError("a reference is in a cluster that has no centroid")
-    return meta, references, centroids
+    if meta["kind"] == "cells":
+        tree = Tree.of_table(spark.read.parquet(f"{path}/nodes"), vector)
+        known = dict(zip(tree.cell.tolist(), tree.n.tolist(), strict=True))
+        if any(known.get(g) != n for g, n in opened.sizes.items()) or int(tree.n[0]) != meta["count"]:
+            raise ValueError("a cell has not the box or the rows that the tree says")
+        return meta, cells.Boxes(opened, tree), None
+    centroids = spark.read.parquet(f"{path}/centroids")
+    ids = {r["cluster_id"] for r in centroids.select("cluster_id").limit(ivf.MOST_CLUSTERS + 1).collect()}
+    if len(ids) != meta["clusters"]:
+        raise ValueError("the index has not the clusters that it says")
+    if not set(opened.sizes) <= ids:
+        raise ValueError("a reference is in a cluster that has no centroid")
+    return meta, opened, centroids

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +13,25 @@ from tessera.constants import DIMS, THRESHOLD, K
 from tessera.functions.features import vectorize
 from tessera.functions.vectors import quantized
 from tessera.operators import cells, ivf, knn
+from tessera.operators.tiles import Tiles, as_tiles
 from tessera.operators.vote import vote
 from tessera.plans import index
-from tessera.plans.storage import kept
+from tessera.plans.storage import exists, kept
 from tessera.sources import references as R
 
 
 class Scorer(Protocol):
-    """score: parsed requests -> (id, frauds, fraud_score, approved, status); score_vectors: (qid, q0..) -> the same by qid, without status."""
+    """score: parsed requests -> (id, frauds, fraud_score, approved, status); score_vectors: (qid, q0..) -> the same by qid,
+    without status; preload: has the executors hold the index until release, so that no search reads its files again."""
 
     def score(self, requests: DataFrame) -> DataFrame: ...
 
     def score_vectors(self, queries: DataFrame) -> DataFrame: ...
 
+    def preload(self) -> Scorer: ...
+
+    def release(self) -> None: ...
+
 
 class _Vectorizing:
     def score(self, requests: DataFrame) -> DataFrame:
@@ -40,14 +47,26 @@ class Brute(_Vectorizing):
     references: DataFrame
     k: int = K
 
+    def __post_init__(self) -> None:
+        self.count = self.references.count()
+        self.tiles = knn.packed(self.references)
+
     def score_vectors(self, queries: DataFrame) -> DataFrame:
-        return vote(knn.knn(queries, self.references, self.k), self.references.count(), self.k)
+        return vote(knn.knn(queries, self.tiles, self.k, rows=self.count), self.count, self.k)
+
+    def preload(self) -> Brute:
+        self.tiles = self.tiles.persist(StorageLevel.MEMORY_AND_DISK)
+        self.tiles.count()
+        return self
+
+    def release(self) -> None:
+        self.tiles.unpersist()
 
 
 @dataclass
 class Ivf(_Vectorizing):
     centroids: DataFrame
-    assigned: DataFrame
+    assigned: DataFrame | Tiles
     base: int = 6
     most: int = 16
     refine: tuple[int, int] = (2, 4)
@@ -55,27 +74,52 @@ class Ivf(_Vectorizing):
     k: int = K
 
     def __post_init__(self) -> None:
-        # packed and counted once, for all searches
-        self.count = self.assigned.count()
-        self.tiles = kept(ivf.tiles(self.assigned))
+        # packed and counted once, for all searches; so are the centroids, which are bounded
+        self.index = as_tiles(self.assigned)
+        self.count = self.index.count
+        self.near = ivf.centroid_matrix(self.centroids)
 
     def score_vectors(self, queries: DataFrame) -> DataFrame:
-        found = ivf.search(queries, self.centroids, self.tiles, self.base, self.most, self.refine, self.cap, self.k)
+        found = ivf.search(queries, self.near, self.index, self.base, self.most, self.refine, self.cap, self.k)
         return vote(found, self.count, self.k)
 
+    def preload(self) -> Ivf:
+        self.index.preload()
+        return self
+
+    def release(self) -> None:
+        self.index.release()
+
 
 @dataclass
 class Cells(_Vectorizing):
-    assigned: DataFrame
+    assigned: DataFrame | cells.Boxes
     k: int = K
 
+    def __post_init__(self) -> None:
+        self.index = cells.opened(self.assigned)
+        self.count = self.index.count
+
     def score_vectors(self, queries: DataFrame) -> DataFrame:
-        return vote(cells.search(queries, self.assigned, self.k), self.assigned.count(), self.k)
+        return vote(cells.search(queries, self.index, self.k), self.count, self.k)
+
+    def preload(self) -> Cells:
+        self.index.tiles.preload()
+        return self
+
+    def release(self) -> None:
+        self.index.tiles.release()
 
 
 class Stub:
     """Approves all, without a look."""
 
+    def preload(self) -> Stub:
+        return self
+
+    def release(self) -> None:
+        pass
+
     def score(self, requests: DataFrame) -> DataFrame:
         return requests.select("id", F.lit(0).cast("bigint").alias("frauds"), F.lit(0.0).alias("fraud_score"), F.lit(True).alias("approved"), F.lit("OK").alias("status"))
 
@@ -94,12 +138,11 @@ class VectorizeOnly(Stub):
 
 def load(spark: SparkSession, cells_path: str | None = None, ivf_path: str | None = None, json_path: str | None = None) -> Scorer:
     """The first index there is: cells, then ivf (or a flat one by brute force), then JSON references, else the stub."""
-    exists = lambda p: p and spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p))
     for path in (cells_path, ivf_path):
-        if exists(path):
+        if path and exists(spark, path):
             meta, rows, centroids = index.load(spark, path)
             return Cells(rows) if meta["kind"] == "cells" else Ivf(centroids, rows) if meta["kind"] == "ivf" else Brute(rows)
-    if exists(json_path):
+    if json_path and exists(spark, json_path):
         return Brute(R.references(R.read_json(spark, json_path)))
     return Stub()
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.plans.scorers import Scorer
+from tessera.plans.storage import kept, scratch
 from tessera.sources import requests as R
 
 
@@ -19,14 +20,23 @@ def bodies(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataF
 
 def score_batch(raw: DataFrame, scorer: Scorer) -> DataFrame:
     """(id, frauds, fraud_score, approved, error) of a batch of bodies: refused ones carry their error and no score."""
-    parsed = R.parse(raw)
+    parsed = kept(R.parse(raw))  # for the accepted and the refused ones
     good = scorer.score(R.valid(parsed)).withColumn("error", F.lit(None).cast("string"))
     return good.unionByName(R.rejected(parsed), allowMissingColumns=True)
 
 
 def start(stream: DataFrame, scorer: Scorer, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Scores each micro-batch and hands it to sink(frame, batch id). Requests are independent: there is no state."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: sink(score_batch(batch, scorer), n))
+    """Scores each micro-batch and hands it to sink(frame, batch id). Requests are independent: there is no state.
+
+    A scorer that was preloaded answers every batch from what the executors hold. What a batch keeps on its way is deleted
+    once the sink has written its result.
+    """
+
+    def run(batch: DataFrame, n: int) -> None:
+        with scratch(batch.sparkSession):
+            sink(score_batch(batch, scorer), n)
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

@@ -32,6 +32,9 @@ def test_nth(spark):
     wanted = [(g, at) for g in range(3) for at in (0, 1, 5, 60, len(sides[g]) // 2, len(sides[g]) - 1, len(sides[g]), -1)]
     got = {(r.g, r.at): (r.value, r.rest) for r in nth(rows, spark.createDataFrame(wanted, "g int, at bigint"), ["g"]).collect()}
     assert got == {(g, at): (sides[g][at], at - int((sides[g] < sides[g][at]).sum())) for g, at in wanted if 0 <= at < len(sides[g])}
+    nan = spark.createDataFrame([(0, v) for v in (math.nan, 1.0, math.nan, math.nan)], "g int, value double")
+    last = nth(nan, spark.createDataFrame([(0, 0), (0, 3)], "g int, at bigint"), ["g"]).orderBy("at").collect()
+    assert last[0].value == 1.0 and math.isnan(last[1].value) and last[1].rest == 2
     big = spark.createDataFrame([(0, 2**62 + i) for i in range(5)], "g int, value bigint")
     assert [r.value for r in nth(big, spark.createDataFrame([(0, 3)], "g int, at bigint"), ["g"]).collect()] == [2**62 + 3]
 
