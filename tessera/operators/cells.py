@@ -239,9 +239,9 @@ def spent(queries: DataFrame, assigned: DataFrame | Boxes, settings: Sequence[in
 
 def search_tuned(
     queries: DataFrame, assigned: DataFrame | Boxes, early_d2: int | None = None, epsilon: float = 0.0, soft: int = 1500, span: int = 1500, most_visits: int | None = None,
-    k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", counted: bool = False,
-) -> DataFrame:
-    """The exact search in rounds, which may end early: (qid, ref_id, d2, fraud, rank), or with counted (qid, rounds, cells, visits).
+    k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid",
+) -> tuple[DataFrame, DataFrame]:
+    """The exact search in rounds, which may end early: (qid, ref_id, d2, fraud, rank) and (qid, rounds, cells, visits).
 
     Seeds are scanned first. A query whose k-th neighbour is then not farther than early_d2 is done. The others read their
     further cells in the order of bound and cell, 1, 2, 4, ... of them a round: those whose bound is not beyond the distance
@@ -279,4 +279,4 @@ def search_tuned(
         top, step = merged, step + 1
         if state.where(~F.col("done")).isEmpty():
             break
-    return state.select("qid", "rounds", "cells", "visits") if counted else top
+    return top, state.select("qid", "rounds", "cells", "visits")

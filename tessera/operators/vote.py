@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.constants import THRESHOLD, K
 
 
-def vote(neighbours: DataFrame, n_references: int, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
-    """(qid, frauds, fraud_score, approved). Frauds are divided by min(k, all references), so that missing ones are legit."""
+def vote(neighbours: DataFrame, n_references: int, k: int = K, threshold: float = THRESHOLD, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, qid, frauds, fraud_score, approved). Frauds are divided by min(k, all references), so that missing ones are legit."""
     score = F.sum("fraud").cast("double") / float(max(1, min(k, n_references)))
-    return neighbours.groupBy("qid").agg(F.sum("fraud").cast("bigint").alias("frauds"), score.alias("fraud_score")).withColumn("approved", F.col("fraud_score") < threshold)
+    return neighbours.groupBy(*keys, "qid").agg(F.sum("fraud").cast("bigint").alias("frauds"), score.alias("fraud_score")).withColumn("approved", F.col("fraud_score") < threshold)
 
 
 def bucket(score: Column) -> Column:

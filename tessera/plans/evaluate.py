@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import math
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.selection import MOST_RANKS, nth
 
-def confusion(scored: DataFrame, actual: str = "expected_approved", predicted: str = "approved") -> DataFrame:
-    """tp, tn, fp, fn (positive: denied), total, accuracy, weighted_e (fp + 3 fn), raw_errors."""
+
+def confusion(scored: DataFrame, actual: str = "expected_approved", predicted: str = "approved", keys: Sequence[str] = ()) -> DataFrame:
+    """keys, tp, tn, fp, fn (positive: denied), total, accuracy, weighted_e (fp + 3 fn), raw_errors."""
     fraud, denied = ~F.col(actual), ~F.col(predicted)
-    counts = scored.agg(F.count_if(fraud & denied).alias("tp"), F.count_if(~fraud & ~denied).alias("tn"), F.count_if(~fraud & denied).alias("fp"), F.count_if(fraud & ~denied).alias("fn"), F.count("*").alias("total"))
+    counts = scored.groupBy(*keys).agg(F.count_if(fraud & denied).alias("tp"), F.count_if(~fraud & ~denied).alias("tn"), F.count_if(~fraud & denied).alias("fp"), F.count_if(fraud & ~denied).alias("fn"), F.count("*").alias("total"))
     right = (F.col("tp") + F.col("tn")).cast("double")
     return counts.withColumns({"accuracy": F.when(F.col("total") > 0, right / F.greatest("total", F.lit(1))), "weighted_e": F.col("fp") + 3 * F.col("fn"), "raw_errors": F.col("fp") + F.col("fn")})
 
 
-def percentiles(values: DataFrame, column: str, points: Iterable[tuple[str, float]] = (("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("p999", 0.999))) -> DataFrame:
-    """n, nearest-rank percentiles and the maximum: values that occur, never interpolated."""
-    at = [F.expr(f"percentile_disc({p}) within group (order by `{column}`)").alias(name) for name, p in points]
-    return values.agg(F.count(column).alias("n"), *at, F.max(column).alias("most"))
+def percentiles(values: DataFrame, column: str, points: Iterable[tuple[str, float]] = (("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("p999", 0.999)), keys: Sequence[str] = ()) -> DataFrame:
+    """keys, n, nearest-rank percentiles and the maximum: values that occur, never interpolated.
+
+    Ranks are found by counting, so that no task holds a group's values; the result, a row for each group, is collected.
+    """
+    points, groups = list(points), [f"k{i}" for i in range(max(1, len(keys)))]
+    named = [F.col(k).alias(g) for k, g in zip(keys, groups, strict=False)] or [F.lit(0).alias("k0")]
+    told = values.select(*named, F.col(f"`{column}`").alias("value"))
+    ends = told.groupBy(*groups).agg(F.count("value").alias("n"), F.max("value").alias("most"))
+    if not keys:  # a table without rows has a result, too
+        ends = told.agg(F.count("value").alias("n"), F.max("value").alias("most")).withColumn("k0", F.lit(0)).select("k0", "n", "most")
+    schema, rows = ends.schema, ends.limit(MOST_RANKS // max(1, len(points)) + 1).collect()
+    at = {(*[r[g] for g in groups], name): max(0, math.ceil(p * r["n"]) - 1) for r in rows for name, p in points}
+    spark, kinds = values.sparkSession, ", ".join(f"{g} {schema[g].dataType.simpleString()}" for g in groups)
+    wanted = spark.createDataFrame(sorted({(*key[:-1], rank) for key, rank in at.items()}), f"{kinds}, at bigint")
+    found = {(*[r[g] for g in groups], r["at"]): r["value"] for r in nth(told, wanted, groups).collect()}
+    kind = schema["most"].dataType.simpleString()
+    out = [(*[r[g] for g in groups], r["n"], *[found.get((*[r[g] for g in groups], at[(*[r[g] for g in groups], name)])) for name, _ in points], r["most"]) for r in rows]
+    made = spark.createDataFrame(out, ", ".join([kinds, "n bigint", *(f"{name} {kind}" for name, _ in points), f"most {kind}"]))
+    return made.toDF(*(keys or ["k0"]), *made.columns[len(groups) :]).drop(*([] if keys else ["k0"]))
 
 
 def p99_score(ms: Column) -> Column:
@@ -45,10 +64,6 @@ def report(runs: DataFrame) -> DataFrame:
     return runs.withColumns({"p99_score": two(latency), "rate_part": two(rate), "absolute_part": two(absolute), "detection_score": two(score), "final_score": two(latency + score)})
 
 
-def sweep(settings: Iterable[tuple[str, Callable[[], DataFrame]]], truth: DataFrame) -> DataFrame:
-    """For each (name, run of a search -> (qid, approved)) its agreement with truth (qid, expected_approved)."""
-    parts = [confusion(run().join(truth, "qid")).withColumn("setting", F.lit(name)) for name, run in settings]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("setting", *[c for c in out.columns if c != "setting"])
+def sweep(scored: DataFrame, truth: DataFrame) -> DataFrame:
+    """For each setting of scored (setting, qid, approved) its agreement with truth (qid, expected_approved)."""
+    return confusion(scored.join(truth, "qid"), keys=("setting",))

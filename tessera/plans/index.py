@@ -78,10 +78,10 @@ def reseeded(references: DataFrame, centroids: DataFrame, vector: Sequence[str]
     return references.sparkSession.createDataFrame(rows, ", ".join(["cluster_id bigint", *(f"{v} int" for v in vector)]))
 
 
-def build_ivf(references: DataFrame, clusters: int = 2048, rounds: int = 10, vector: Sequence[str] = tuple(Q), train_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(centroids, references with cluster_id): k-means++ seeds, rounds of means, empty clusters seeded anew."""
+def build_ivf(references: DataFrame, clusters: int = 2048, rounds: int = 10, vector: Sequence[str] = tuple(Q), train_rows: int | None = None, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(centroids, references with cluster_id): k-means++ seeds or those of start, rounds of means, empty clusters seeded anew."""
     sample = kept(train_sample(references, clusters, train_rows))
-    centroids = spread_seeds(sample, clusters, vector)
+    centroids = spread_seeds(sample, clusters, vector) if start is None else start
     for _ in range(rounds):
         centroids = reseeded(sample, lloyd(sample, centroids, 1, vector), vector)
     return centroids, ivf.assign(references, centroids, vector)

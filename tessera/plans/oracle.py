@@ -6,6 +6,13 @@ from tessera.constants import DIMS, MCC_RISK, Q, V
 
 CLUSTERS, ROUNDS, BASE, MOST, CAP = 12, 2, 3, 6, 2500
 BUDGETS = (1, 4, CLUSTERS)
+PROBES = (1, 2, 4, MOST)
+#: Levels of splits, budgets of visits, queries with a gold result, visits of a search that is refined, and the knobs of
+#: searches that stop early, at values that bind on the smaller tables.
+DEPTH, VISITS, GOLD, REFINED = 6, (500, 1000, 2000, 4000, 8000, 16000, 32000), 4000, 400
+EARLY, EPSILON, SOFT, SPAN, STOP = 6_000_000, 0.6, 300, 900, 1500
+#: The time of an event from which a failure counts as an error of a load test.
+SLOW = 150.0
 
 _RISK = " ".join(f"when {i} then {r}e0" for i, r in enumerate(MCC_RISK.values()))
 
@@ -140,7 +147,7 @@ def _generated() -> str:
     names = ("cents", "instalments", "second", "usual", "today", "merchant", "friend", "code", "shop", "flags", "home", "gap", "away")
     of = {x: f"(((n+1)*{7919 + 2 * i}+42)%2147483647*48271%2147483647*16807%2147483647)" for i, x in enumerate(names)}
     d = lambda what, most: f"({of[what]}%{most})"
-    return f"""with g as (select * from range(cast((select count(*) from events) as bigint)) t(n)),
+    return f"""with g as (select event_id n from events),
 a as (select n, 1767225600 + {d("second", 28 * 86400)} ep, {d("cents", 1200)} root, {d("merchant", 500)} shop from g),
 f as (select 'made-' || n ok, (root*root+50)/100.0e0 amount, 1+{d("instalments", 18)} inst, ep, {d("usual", 250000)}/100.0e0 cavg, {d("today", 30)} n24,
   {d("friend", 3)} <> 0 unk, {d("code", 12)} mccx, {d("shop", 1500000)}/100.0e0 mavg, {d("home", 12000)}/8.0e0 kmh, {d("flags", 4)}%2=1 onl, {d("flags", 4)}>=2 cp,
@@ -176,14 +183,97 @@ def _budgets() -> str:
 
 
 def _report() -> str:
-    return """with r(run, fp, fn, errors, n, p99) as (values (1,0,0,0,5000,1.0e0),(2,5,5,0,5000,3.0e0),(3,0,0,0,5000,100.0e0),(4,30,20,0,5000,10.0e0),
- (5,100,50,0,5000,300.0e0),(6,500,250,0,5000,200.0e0),(7,500,300,0,5000,10.0e0),(8,0,0,5000,5000,60000.0e0)),
-s as (select *, cast(fp+3*fn+5*errors as double) e, cast(fp+fn+errors as double)/n > 0.15 cut from r),
-t as (select *, case when p99 <= 0 then 0.0e0 when p99 > 2000 then -3000.0e0 else 1000*log10(1000/greatest(p99, 1.0e0)) end ps,
- case when not cut then 1000*log10(1/greatest(e/n, 0.001e0)) end rp, case when not cut then -300*log10(1+e) + 0.0e0 end ap from s)
-select cast(run as bigint) run, cast(fp as bigint) fp, cast(fn as bigint) fn, cast(errors as bigint) errors, cast(n as bigint) n, p99,
- round(ps,2) p99_score, round(rp,2) rate_part, round(ap,2) absolute_part, round(case when cut then -3000.0e0 else rp+ap end,2) detection_score,
- round(ps + case when cut then -3000.0e0 else rp+ap end,2) final_score from t"""
+    sql = KNN + IVF.removeprefix(QUANT) + ",\nex as (" + _VOTE.replace("< 0.6e0 approved", "< 0.6e0 e") + ")" + _short(MOST)
+    runs = []
+    for i, n in enumerate(PROBES):
+        sql += f",\np{n} as (select * from pr where probe <= {n})" + _scan(f"s{n}", f"p{n}")
+        sql += f",\nv{n} as (select qid, cast(sum(fraud) as double)/5 < 0.6e0 a from s{n} group by qid)"
+        runs.append(f"select cast({i} as bigint) run, count(*) filter (e and not a) fp, count(*) filter (not e and a) fn, count(*) n from v{n} join ex using (qid)")
+    return f"""with {sql},
+dr as ({" union all ".join(runs)}),
+ev as (select event_id % {len(PROBES)} run, count(*) filter (event_type = 'error' and value > {SLOW}) errors, quantile_disc(value, 0.99) p99 from events group by 1),
+rr as (select run, fp, fn, errors, n, p99 from dr join ev using (run)),
+sc as (select *, cast(fp+3*fn+5*errors as double) e, cast(fp+fn+errors as double)/n > 0.15 cut from rr),
+tt as (select *, case when p99 <= 0 then 0.0e0 when p99 > 2000 then -3000.0e0 else 1000*log10(1000/greatest(p99, 1.0e0)) end ps,
+ case when not cut then 1000*log10(1/greatest(e/n, 0.001e0)) end rp, case when not cut then -300*log10(1+e) + 0.0e0 end ap from sc)
+select run, fp, fn, errors, n, p99, round(ps,2) p99_score, round(rp,2) rate_part, round(ap,2) absolute_part, round(case when cut then -3000.0e0 else rp+ap end,2) detection_score,
+ round(ps + case when cut then -3000.0e0 else rp+ap end,2) final_score from tt"""
+
+
+def _splits(rule: str = "median") -> str:
+    """References in cells (cl, cluster_id), level by level: rows of a node in the order of the widest dimension and id."""
+    wide = "[" + ", ".join(f"max({x})-min({x})" for x in Q) + "]"
+    twice = "[" + ", ".join(f"max({x})+min({x})" for x in Q) + "]"
+    side = "greatest(1, n//9)"
+    first = "n//2" if rule == "median" else f"case when w > 0 and n > 2 then least(greatest(below, {side}), n-{side}) else n//2 end"
+    sql = QUANT + ",\nt0 as (select ok, fraud, " + ", ".join(Q) + ", cast(1 as bigint) cell from q where ok%10<>0)"
+    for i in range(DEPTH):
+        sql += f""",
+g{i} as (select *, list_position(rg, list_max(rg)) d from (select cell, count(*) n, {wide} rg, {twice} tw from t{i} where cell >= {1 << i} group by cell having count(*) > 5)),
+o{i} as (select ok, cell, n, [{", ".join(Q)}][d] v, rg[d] w, tw[d] tw from t{i} join g{i} using (cell)),
+u{i} as (select ok, n, w, row_number() over (partition by cell order by v, ok) - 1 rn, count(*) filter (2*v < tw) over (partition by cell) below from o{i}),
+t{i + 1} as materialized (select t{i}.* exclude (cell), case when u{i}.ok is null then cell when rn < {first} then 2*cell else 2*cell+1 end cell from t{i} left join u{i} using (ok))"""
+    return sql + f",\ncl as materialized (select * exclude (cell), cell cluster_id from t{DEPTH})"
+
+
+def _seeded(boxes: str) -> str:
+    """Bounds, the seeds' neighbours n0 and the distance of the last of them."""
+    return f"""{boxes},
+f1 as (select qid, cluster_id from rk where before < 5){_scan("n0", "f1")},
+t as materialized (select qid, cast(case when count(*) >= 5 then max(d2) else 1000000000000000 end as double) tau from n0 group by qid)"""
+
+
+def _descent() -> str:
+    edges = ", ".join(f"min({x}) lo_{x}, max({x}) hi_{x}" for x in Q)
+    bound = " + ".join(f"cast(power(greatest(lo_{x}-{x}, {x}-hi_{x}, 0), 2) as bigint)" for x in Q)
+    sql, parts = f"with {_splits()}{_seeded(_boxes())}", []
+    for i in range(DEPTH + 1):
+        parent = f" join k{i - 1} on k{i - 1}.qid = a.ok and k{i - 1}.node = bb.node // 2" if i else ""
+        sql += f""",
+l{i} as materialized (select a.ok qid, bb.node, {bound} <= tau near from q a join t on t.qid = a.ok
+  cross join (select cluster_id // {1 << (DEPTH - i)} node, {edges} from cl group by 1) bb{parent} where a.ok%10=0),
+k{i} as (select qid, node from l{i} where near)"""
+        parts.append(f"select {i} as level, count(*) seen, count(*) filter (not near) pruned from l{i}")
+    return sql + "\n" + "\nunion all\n".join(parts)
+
+
+def _tuned(early: int | None = None, epsilon: float = 0.0, soft: int = 1500, span: int = 1500, most: int | None = None) -> str:
+    """Rounds of 1, 2, 4, ... further cells of each query, under the bound that the round before has left."""
+    sql = f"""with {_splits()}{_seeded(_boxes())},
+w as materialized (select rk.qid, cluster_id, n, bound, row_number() over (partition by rk.qid order by bound, cluster_id) - 1 place from rk join t using (qid) where before >= 5 and bound <= tau),
+z0 as materialized (select qid, tau, count(*) cells, cast(sum(n) as bigint) visits, 0 rounds, {f"tau <= {early}" if early else "false"} done from rk join t using (qid) where before < 5 group by qid, tau)"""
+    for j in range(DEPTH + 1):
+        scale = f"(1 - {epsilon}e0 * least(greatest((visits - {soft})/{span}.0e0, 0.0e0), 1.0e0))"
+        sql += f""",
+c{j} as materialized (select w.* from w join z{j} using (qid) where not done and {f"visits < {most}" if most else "true"} and place between {(1 << j) - 1} and {(1 << (j + 1)) - 2} and bound <= tau * {scale}){_scan(f"e{j}", f"c{j}")},
+n{j + 1} as materialized (select qid, ref_id, d2, fraud, place rank from (select * exclude (rank), row_number() over (partition by qid order by d2, ref_id) place from (select * from n{j} union all select * from e{j})) where place <= 5),
+r{j} as (select qid, count(*) nc, sum(n) nv from c{j} group by qid),
+y{j} as (select qid, cast(case when count(*) >= 5 then max(d2) else 1000000000000000 end as double) tau from n{j + 1} group by qid),
+z{j + 1} as materialized (select qid, y{j}.tau, cells + coalesce(nc, 0) cells, cast(visits + coalesce(nv, 0) as bigint) visits, rounds + case when nc > 0 then 1 else 0 end rounds, coalesce(nc, 0) < {1 << j} done
+  from z{j} left join r{j} using (qid) join y{j} using (qid))"""
+    last = DEPTH + 1
+    return sql + f"""
+select qid, cast(sum(fraud) as bigint) frauds, cast(sum(fraud) as double)/5 fraud_score, cast(sum(fraud) as double)/5 < 0.6e0 approved, any_value(rounds) rounds, any_value(cells) cells, any_value(visits) visits
+from n{last} join z{last} using (qid) group by qid"""
+
+
+def _visited() -> str:
+    sql, parts = f"with {_splits()}{_boxes()},\n{_knn(5)},\ngold as (select qid, sum(fraud) g from nn group by qid order by qid)", []
+    for b in VISITS:
+        sql += f",\np{b} as (select qid, cluster_id, n from rk where before < {b})" + _scan(f"s{b}", f"p{b}")
+        sql += f",\nv{b} as (select qid, sum(fraud) f from s{b} group by qid),\nx{b} as (select qid, cast(sum(n) as bigint) visits from p{b} group by qid)"
+        parts.append(f"""select {b} setting, count(*) total, count(*) filter ((f < 3) <> (q.fraud = 0)) errors, count(*) filter (f <> g) mismatches,
+  quantile_disc(visits, 0.5) p50, quantile_disc(visits, 0.95) p95, quantile_disc(visits, 0.99) p99, max(visits) most from v{b} join gold using (qid) join x{b} using (qid) join q on q.ok = qid""")
+    return f"{sql}\n" + "\nunion all\n".join(parts)
+
+
+def _refined() -> str:
+    return f"""with {IVF}{_seeded(_boxes())},
+early as (select qid, cluster_id from rk where before < {REFINED}){_scan("ne", "early")},
+border as (select qid from ne group by qid having sum(fraud) between 2 and 3),
+{_knn(5)}
+select qid, ref_id, d2, fraud, cast(rank as int) rank from ne where qid not in (select qid from border)
+union all select qid, ref_id, d2, fraud, cast(rank as int) rank from nn where qid in (select qid from border)"""
 
 
 _BAD = """case ok%13 when 1 then 'missing_id' when 2 then 'missing_requested_at' when 3 then 'missing_merchant' when 4 then 'bad_json' when 5 then 'bad_requested_at' when 6 then 'missing_transaction' end"""
@@ -214,7 +304,20 @@ ORACLE: dict[str, str] = {
     "cells_knn": f"with {KNN} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
     "cells_visits": _visits(),
     "cells_budget": _budgets(),
-    "cells_refined": f"with {KNN} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
+    "cells_refined": _refined(),
+    "cells_levels": f"with {_splits()} select ok, cluster_id cell_id from cl",
+    "cells_midpoint": f"with {_splits('midpoint')} select ok, cluster_id cell_id from cl",
+    "boxes_knn": f"with {KNN} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
+    "boxes_descent": _descent(),
+    "boxes_early": _tuned(early=EARLY),
+    "boxes_relaxed": _tuned(epsilon=EPSILON, soft=SOFT, span=SPAN),
+    "boxes_stopped": _tuned(most=STOP),
+    "boxes_rounds": _tuned(),
+    "visits_sweep": _visited(),
+    "stream_preloaded": f"with {KNN} {_VOTE}",
+    "ivf_pruned": f"with {_ADAPTIVE} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
+    "binary_plain": f"with {QUANT} select {', '.join(Q)}, fraud, count(*) n from q where ok%10<>0 group by all",
+    "binary_clustered": f"with {IVF} select cluster_id, count(*) n, cast(sum(fraud) as bigint) frauds, " + ", ".join(f"cast(sum({x}) as bigint) {x}" for x in Q) + ", case when cluster_id % 3 = 0 then count(*) end n_apart from cl group by cluster_id",
     "cells_bbox": f"with {IVF} select cluster_id cell_id, count(*) n, " + ", ".join(f"min({x}) lo_{x}, max({x}) hi_{x}" for x in Q) + " from cl group by cluster_id",
     "box_distance": f"with {IVF}, bx as (select cluster_id, " + ", ".join(f"min({x}) lo_{x}, max({x}) hi_{x}" for x in Q) + " from cl group by cluster_id) select a.ok qid, cluster_id, "
     + " + ".join(f"cast(power(greatest(lo_{x}-{x}, {x}-hi_{x}, 0), 2) as bigint)" for x in Q) + " bound from q a cross join bx where a.ok%10=0",
@@ -231,6 +334,6 @@ ORACLE: dict[str, str] = {
     "fail_safe": f"with {TX} select 'tx-' || ok id, 0.6e0 fraud_score, false approved, 'FAIL_SAFE' status from f",
     "references_read": f"with e as (select {', '.join(_quantize(f'cast(embedding[{i + 1}] as double)') + f' {q}' for i, q in enumerate(Q))}, case when label >= 5 then 1 else 0 end fraud from embeddings) select *, count(*) n from e group by all",
     "fallback": f"with {KNN}, s as ({_VOTE}) select x found, qid, frauds, fraud_score, approved from s cross join (values ('cells'), ('flat')) t(x) union all select 'stub', qid, cast(0 as bigint), 0.0e0, true from s",
-    "ivf_build": f"with {KNN} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
+    "ivf_build": f"with {_FIXED} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
 }
 assert len(_V) == DIMS

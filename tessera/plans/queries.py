@@ -12,11 +12,13 @@ from tessera.constants import MCC_RISK, Q, V
 from tessera.functions.features import mcc_risk, vectorize
 from tessera.functions.vectors import box_distance, dequantize, squared_distance
 from tessera.operators import cells, ivf, knn
+from tessera.operators.tiles import Tiles, as_tiles
 from tessera.operators.vote import respond, vote
 from tessera.plans import evaluate, fixtures, index
-from tessera.plans.oracle import BASE, BUDGETS, CAP, CLUSTERS, MOST, ROUNDS
-from tessera.plans.scorers import Brute, Stub, VectorizeOnly, load
+from tessera.plans.oracle import BASE, BUDGETS, CAP, CLUSTERS, DEPTH, EARLY, EPSILON, GOLD, MOST, PROBES, REFINED, ROUNDS, SLOW, SOFT, SPAN, STOP, VISITS
+from tessera.plans.scorers import Brute, Scorer, Stub, VectorizeOnly, load
 from tessera.plans.storage import kept, shared_dir
+from tessera.sources import binary
 from tessera.sources import references as R
 from tessera.sources import requests as S
 
@@ -124,6 +126,12 @@ def _built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return queries, centroids, ivf.assign(references, centroids)
 
 
+def _opened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Tiles]:
+    """The same with the clusters packed once."""
+    queries, centroids, assigned = _built(spark, sf_dir)
+    return queries, centroids, as_tiles(assigned)
+
+
 def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir)[2].select(F.col("ref_id").alias("ok"), "cluster_id")
 
@@ -147,7 +155,7 @@ def ivf_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ivf(base: int, most: int, cap: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: ivf.search(*_built(spark, sf_dir), base=base, most=most, cap=cap).select(*_NEIGHBOURS)
+    return lambda spark, sf_dir: ivf.search(*_opened(spark, sf_dir), base=base, most=most, cap=cap).select(*_NEIGHBOURS)
 
 
 def cells_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,19 +175,77 @@ def cells_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.percentiles(seen, "candidates", (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
 
 
+def _exact(queries: DataFrame, references: DataFrame, n: int) -> DataFrame:
+    return vote(knn.knn(queries, references), n).select("qid", F.col("approved").alias("expected_approved"))
+
+
 def cells_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of a search that stops after some cells with the exact one."""
+    """Agreement of searches that stop after some cells with the exact one; all of them are one scan."""
     queries, assigned = _as_cells(spark, sf_dir)
-    n = assigned.count()
-    exact = kept(vote(knn.knn(queries, assigned), n).select("qid", F.col("approved").alias("expected_approved")))
-    runs = [(f"cells={b}", lambda b=b: vote(cells.search_budget(queries, assigned, b), n)) for b in BUDGETS]
-    return evaluate.sweep(runs, exact)
+    opened = cells.opened(assigned)
+    found = vote(cells.sweep(queries, opened, BUDGETS, by_cells=True), opened.count, keys=("setting",))
+    told = found.withColumn("setting", F.concat(F.lit("cells="), F.col("setting").cast("string")))
+    return evaluate.sweep(told, _exact(queries, assigned, opened.count))
 
 
 def cells_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search that stops early, with the exact one for every vote: the whole range counts as the border here."""
+    """A search that stops after some visits, with the exact one for the votes next to the border."""
+    return cells.search_refined(*_as_cells(spark, sf_dir), REFINED, (2, 3)).select(*_NEIGHBOURS)
+
+
+def _levels(spark: SparkSession, sf_dir: str, rule: str = "median") -> tuple[DataFrame, DataFrame]:
+    """Queries, and the references in the cells of DEPTH levels of splits."""
     queries, references = _sides(spark, sf_dir)
-    return cells.search_refined(queries, kept(index.build_cells(references, 256)), 500, (0, 5)).select(*_NEIGHBOURS)
+    return queries, index.build_levels(references, DEPTH, rule)
+
+
+def cells_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir)[1].select(F.col("ref_id").alias("ok"), "cell_id")
+
+
+def cells_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir, "midpoint")[1].select(F.col("ref_id").alias("ok"), "cell_id")
+
+
+def boxes_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact search on a written index with its tree of boxes, cut at the middle."""
+    queries, assigned = _levels(spark, sf_dir, "midpoint")
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.save(path, assigned, "cells", shards=16)
+    return cells.search(queries, index.load(spark, path)[1]).select(*_NEIGHBOURS)
+
+
+def boxes_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each level of the tree, how many pairs of a query and a box were bounded, and how many pruned."""
+    queries, assigned = _levels(spark, sf_dir)
+    return cells.descent(queries, cells.opened(assigned, heap=True))
+
+
+def _tuned(**knobs) -> Callable[[SparkSession, str], DataFrame]:
+    """Votes of a search in rounds, and what it read."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        queries, assigned = _levels(spark, sf_dir)
+        opened = cells.opened(assigned, heap=True)
+        found, counters = cells.search_tuned(queries, opened, **knobs)
+        return vote(found, opened.count).join(counters, "qid")
+
+    return run
+
+
+def visits_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets of visits: errors against the labels, decisions that differ from brute force on a sample of queries, and
+    what was visited. All budgets are answered by one scan."""
+    queries, assigned = _levels(spark, sf_dir)
+    opened = cells.opened(assigned, heap=True)
+    found = vote(cells.sweep(queries, opened, VISITS), opened.count, keys=("setting",))
+    labelled = kept(found.join(queries.select("qid", (F.col("fraud") == 0).alias("expected_approved")), "qid"))
+    errors = evaluate.confusion(labelled, keys=("setting",)).select("setting", "total", F.col("raw_errors").alias("errors"))
+    sample = queries.orderBy(F.xxhash64("qid"), "qid").limit(GOLD)  # the sample's size is a parameter
+    gold = vote(knn.knn(sample, assigned), opened.count).select("qid", F.col("frauds").alias("gold"))
+    missed = labelled.join(gold, "qid").groupBy("setting").agg(F.count_if(F.col("frauds") != F.col("gold")).alias("mismatches"))
+    spent = evaluate.percentiles(kept(cells.spent(queries, opened, VISITS)), "visits", (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)), ("setting",)).drop("n")
+    return errors.join(missed, "setting").join(spent, "setting")
 
 
 def cells_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,21 +268,38 @@ def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote(cells.search(queries, loaded), meta["count"])
 
 
-def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies in files, through a stream, to decisions."""
+def _streamed(spark: SparkSession, sf_dir: str, scorer: Callable[[DataFrame], Scorer], files: int) -> DataFrame:
+    """Bodies in files, through a stream that takes one file a batch, to decisions."""
     from tessera.streaming import score as stream
 
     _utc(spark)
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     tx = fixtures.transactions(spark, sf_dir).where("ok % 10 = 0")
-    S.to_body(tx).select("body").repartition(2).write.text(f"{root}/in")
-    _, references = _sides(spark, sf_dir)
-    query = stream.start(stream.bodies(spark, f"{root}/in"), Brute(references), stream.to_parquet(f"{root}/out"), f"{root}/state", once=True)
+    S.to_body(tx).select("body").repartition(files).write.text(f"{root}/in")
+    asked = scorer(_sides(spark, sf_dir)[1])
+    query = stream.start(stream.bodies(spark, f"{root}/in", 1), asked, stream.to_parquet(f"{root}/out"), f"{root}/state", once=True)
     query.awaitTermination()
+    asked.release()
     out = spark.read.parquet(f"{root}/out").where("error is null")
     return out.select(F.substring_index("id", "-", -1).cast("bigint").alias("qid"), "frauds", "fraud_score", "approved")
 
 
+def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that is scored by brute force."""
+    return _streamed(spark, sf_dir, Brute, 2)
+
+
+def stream_preloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of several batches, scored by an index that was written, opened once and is held by the executors."""
+
+    def opened(references: DataFrame) -> Scorer:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        index.save(path, index.build_cells(references, 64), "cells", shards=16)
+        return load(spark, path).preload()
+
+    return _streamed(spark, sf_dir, opened, 3)
+
+
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = score(spark, sf_dir).withColumn("expected_approved", (F.col("qid") * 7919 + 13) % 100 >= 25)
     return evaluate.confusion(truth)
@@ -226,18 +309,36 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), "value")
 
 
+def _probed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Votes (setting, qid, frauds, approved) of searches that probe PROBES clusters, from one scan, and the exact decisions."""
+    queries, centroids, assigned = _built(spark, sf_dir)
+    assigned = kept(assigned)
+    tiles = as_tiles(assigned)
+    found = kept(vote(ivf.sweep(queries, centroids, tiles, PROBES), tiles.count, keys=("setting",)))
+    return found, kept(_exact(queries, assigned, tiles.count))
+
+
 def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, 0, 0, 0, 5000, 1.0), (2, 5, 5, 0, 5000, 3.0), (3, 0, 0, 0, 5000, 100.0), (4, 30, 20, 0, 5000, 10.0), (5, 100, 50, 0, 5000, 300.0), (6, 500, 250, 0, 5000, 200.0), (7, 500, 300, 0, 5000, 10.0), (8, 0, 0, 5000, 5000, 60000.0)]
-    return evaluate.report(spark.createDataFrame(rows, "run bigint, fp bigint, fn bigint, errors bigint, n bigint, p99 double"))
+    """A run for each number of probes: its decisions against the exact ones, slow failures among its share of the events as
+    errors, and the times of these events."""
+    found, exact = _probed(spark, sf_dir)
+    run = F.array_position(F.array(*map(F.lit, PROBES)), F.col("setting")) - 1
+    scored = evaluate.confusion(found.join(exact, "qid").withColumn("run", run), keys=("run",)).select("run", "fp", "fn", F.col("total").alias("n"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("run", F.col("event_id") % len(PROBES))
+    errors = events.groupBy("run").agg(F.count_if((F.col("event_type") == "error") & (F.col("value") > SLOW)).alias("errors"))
+    times = evaluate.percentiles(events, "value", (("p99", 0.99),), ("run",)).select("run", "p99")
+    return evaluate.report(scored.join(errors, "run").join(times, "run").select("run", "fp", "fn", "errors", "n", "p99"))
 
 
 def nprobe_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, centroids, assigned = _built(spark, sf_dir)
-    assigned, n = kept(assigned), assigned.count()
-    exact = kept(vote(knn.knn(queries, assigned), n).select("qid", F.col("approved").alias("expected_approved")))
-    runs = [(f"nprobe={p}", lambda p=p: vote(ivf.search(queries, centroids, assigned, base=p, most=p), n)) for p in (1, 2, 4, MOST)]
-    runs += [(f"adaptive={p}-{MOST}", lambda p=p: vote(ivf.search(queries, centroids, assigned, base=p, most=MOST), n)) for p in (1, 2, 4)]
-    return evaluate.sweep(runs, exact)
+    """Fixed and adaptive numbers of probes against the exact search: all settings from one scan."""
+    found, exact = _probed(spark, sf_dir)
+    fixed = found.select(F.concat(F.lit("nprobe="), F.col("setting").cast("string")).alias("setting"), "qid", "approved")
+    most = found.where(F.col("setting") == MOST).select("qid", F.col("approved").alias("wide"))
+    decided = F.when(F.col("frauds").between(2, 4), F.col("wide")).otherwise(F.col("approved"))
+    name = F.concat(F.lit("adaptive="), F.col("setting").cast("string"), F.lit(f"-{MOST}"))
+    adaptive = found.where(F.col("setting") < MOST).join(most, "qid").select(name.alias("setting"), "qid", decided.alias("approved"))
+    return evaluate.sweep(fixed.unionByName(adaptive), exact)
 
 
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,10 +354,10 @@ def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic requests, as many as there are events, through JSON to vectors."""
+    """A synthetic request of every event's number, through JSON to vectors."""
     _utc(spark)
-    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    return vectorize(S.valid(S.parse(S.to_body(S.generate(spark, n))))).select("id", *V)
+    numbers = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("n"))
+    return vectorize(S.valid(S.parse(S.to_body(S.generate_of(numbers))))).select("id", *V)
 
 
 def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,10 +408,39 @@ def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ivf_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The built index, probed in full: every reference is in one cluster, and the result is exact."""
+    """The whole build from stated seeds, probed in part."""
     queries, references = _sides(spark, sf_dir)
-    centroids, assigned = index.build_ivf(references, clusters=64, rounds=3)
-    return ivf.search(queries, centroids, kept(assigned), base=64, most=64).select(*_NEIGHBOURS)
+    centroids, assigned = index.build_ivf(references, CLUSTERS, ROUNDS, start=index.seeds(references, CLUSTERS))
+    return ivf.search(queries, centroids, assigned, base=BASE, most=BASE).select(*_NEIGHBOURS)
+
+
+def ivf_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written index with a folder for each cluster, of which a search reads those that are probed."""
+    queries, centroids, assigned = _built(spark, sf_dir)
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.save(path, assigned, "ivf", centroids, shards=CLUSTERS)
+    _, tiles, known = index.load(spark, path)
+    return ivf.search(queries, known, tiles, base=BASE, most=MOST).select(*_NEIGHBOURS)
+
+
+def binary_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All references as binary files and back."""
+    _, references = _sides(spark, sf_dir)
+    path = f"{shared_dir(spark)}/plain-{uuid.uuid4().hex}"
+    binary.write(references, path)
+    return binary.read(spark, path).groupBy(*Q, "fraud").agg(F.count("*").alias("n"))
+
+
+def binary_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clusters as binary files with centroids and back, with the rows of every third cluster read apart."""
+    _, centroids, assigned = _built(spark, sf_dir)
+    path = f"{shared_dir(spark)}/clustered-{uuid.uuid4().hex}"
+    binary.write_clustered(assigned, centroids, path)
+    known = binary.read_centroids(spark, path).select("cluster_id", F.hash(*Q).alias("h"))
+    same = centroids.select("cluster_id", F.hash(*Q).alias("h"))
+    rows = binary.read(spark, path).groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum("fraud").alias("frauds"), *[F.sum(q).alias(q) for q in Q])
+    few = binary.read(spark, path, range(0, CLUSTERS, 3)).groupBy("cluster_id").agg(F.count("*").alias("n_apart"))
+    return rows.join(known.join(same, ["cluster_id", "h"]).drop("h"), "cluster_id").join(few, "cluster_id", "left")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -323,6 +453,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cells_refined": cells_refined, "cells_visits": cells_visits, "cells_budget": cells_budget, "index_roundtrip": index_roundtrip, "stream_score": stream_score,
     "confusion": confusion, "latency_percentiles": latency_percentiles, "load_report": load_report, "nprobe_sweep": nprobe_sweep,
     "score_repeats": score_repeats, "fail_safe": fail_safe, "references_read": references_read, "fallback": fallback, "ivf_build": ivf_build,
+    "cells_levels": cells_levels, "cells_midpoint": cells_midpoint, "boxes_knn": boxes_knn, "boxes_descent": boxes_descent,
+    "boxes_early": _tuned(early_d2=EARLY), "boxes_relaxed": _tuned(epsilon=EPSILON, soft=SOFT, span=SPAN), "boxes_stopped": _tuned(most_visits=STOP), "boxes_rounds": _tuned(),
+    "visits_sweep": visits_sweep, "stream_preloaded": stream_preloaded, "ivf_pruned": ivf_pruned, "binary_plain": binary_plain, "binary_clustered": binary_clustered,
     "corpus_scan": corpus_scan, "generated": generated, "baselines": baselines,
 }
 

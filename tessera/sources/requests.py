@@ -99,7 +99,12 @@ def draw(what: str, most: int, seed: int = 42) -> Column:
 
 
 def generate(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """n synthetic requests, each plain arithmetic on its number.
+    """n synthetic requests, of the numbers from 0 on."""
+    return generate_of(spark.range(n).withColumnRenamed("id", "n"), seed)
+
+
+def generate_of(numbers: DataFrame, seed: int = 42) -> DataFrame:
+    """A synthetic request for each row of numbers (n), each plain arithmetic on its number.
 
     Requests are spread over four weeks; amounts are squares, so that small ones are common; a customer's first merchant
     is the one at hand in a third of the requests, and one in five has no transaction before.
@@ -112,7 +117,7 @@ def generate(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     root = d("cents", 1_200)
     flags = d("flags", 4)
     last = F.struct(F.timestamp_seconds(at - 60 * (1 + d("gap", 3_000))).alias("timestamp"), (d("away", 9_000) / F.lit(8.0)).alias("km_from_current"))
-    return spark.range(n).withColumnRenamed("id", "n").select(
+    return numbers.select(
         F.concat(F.lit("made-"), F.col("n").cast("string")).alias("id"),
         F.struct(euros(root * root + 50).alias("amount"), (1 + d("instalments", 18)).cast("int").alias("installments"), F.timestamp_seconds(at).alias("requested_at")).alias("transaction"),
         F.struct(euros(d("usual", 250_000)).alias("avg_amount"), d("today", 30).cast("int").alias("tx_count_24h"), F.array(shop(friend)).alias("known_merchants")).alias("customer"),
