@@ -10,7 +10,7 @@ PROBES = (1, 2, 4, MOST)
 #: Levels of splits, budgets of visits, queries with a gold result, visits of a search that is refined, and the knobs of
 #: searches that stop early, at values that bind on the smaller tables.
 DEPTH, VISITS, GOLD, REFINED = 6, (500, 1000, 2000, 4000, 8000, 16000, 32000), 4000, 400
-EARLY, EPSILON, SOFT, SPAN, STOP = 6_000_000, 0.6, 300, 900, 1500
+EARLY, EPSILON, SOFT, SPAN, STOP = 130_000_000, 0.6, 300, 900, 1500
 #: The time of an event from which a failure counts as an error of a load test.
 SLOW = 150.0
 
