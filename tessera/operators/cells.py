@@ -19,7 +19,7 @@ from tessera.constants import K, Q
 from tessera.operators import ivf, kernel
 from tessera.operators.boxes import STRIP, Tree
 from tessera.operators.knn import check_k
-from tessera.operators.tiles import Tiles, as_tiles, blocks, of_probes, scan
+from tessera.operators.tiles import Counters, Tiles, as_tiles, blocks, of_probes, scan
 from tessera.plans.storage import kept
 
 SAMPLE_ROWS = 20_000
@@ -118,8 +118,14 @@ def asks(queries: DataFrame, tree: Tree, choose: Callable, vector: Sequence[str]
 
 
 def _asked(tree: Tree, choose: Callable) -> Callable:
-    """choose as tiles.blocks wants it."""
-    return lambda x, more: (lambda rows, leaf, *_: (rows, tree.cell[leaf], None, None))(*choose(x.astype(np.float64), more))
+    """choose as tiles.blocks wants it, with its counts."""
+
+    def run(x: np.ndarray, more: dict) -> tuple:
+        count: list = []
+        rows, leaf, *_ = choose(x.astype(np.float64), more | {"count": count})
+        return rows, tree.cell[leaf], None, None, (int(tree.n[leaf].sum()), sum(c[1] for c in count), sum(c[2] for c in count))
+
+    return run
 
 
 def _seeds(tree: Tree, k: int) -> Callable:
@@ -131,7 +137,7 @@ def _rest(tree: Tree, k: int) -> Callable:
     """What else is not farther than tau, in the order of bound and cell; ranks go on from those of the seeds."""
 
     def choose(x: np.ndarray, more: dict) -> tuple:
-        rows, leaf, bound = tree.within(x, more["tau"])
+        rows, leaf, bound = tree.within(x, more["tau"], more.get("count"))
         seeds = tree.first(x, k)
         size = len(tree.left)
         new = ~np.isin(rows * size + leaf, seeds[0] * size + seeds[1])
@@ -146,8 +152,8 @@ def _rest(tree: Tree, k: int) -> Callable:
     return choose
 
 
-def _scanned(index: Boxes, queries: DataFrame, choose: Callable, k: int, vector: Sequence[str], query_id: str, more: Sequence[str] = ()) -> DataFrame:
-    return scan(index.tiles, blocks(queries, _asked(index.tree, choose), vector, query_id, more), len(vector), k)
+def _scanned(index: Boxes, queries: DataFrame, choose: Callable, k: int, vector: Sequence[str], query_id: str, more: Sequence[str] = (), counters: Counters | None = None) -> DataFrame:
+    return scan(index.tiles, blocks(queries, _asked(index.tree, choose), vector, query_id, more), len(vector), k, counters=counters)
 
 
 def _tau(first: DataFrame, k: int, relax: float = 1.0) -> DataFrame:
@@ -160,20 +166,20 @@ def _bounded(queries: DataFrame, tau: DataFrame, vector: Sequence[str], query_id
     return _columns(queries, vector, query_id, ()).join(tau, "qid")
 
 
-def search(queries: DataFrame, assigned: DataFrame | Boxes, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", visits: bool = False, relax: float = 1.0) -> DataFrame:
+def search(queries: DataFrame, assigned: DataFrame | Boxes, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", visits: bool = False, relax: float = 1.0, counters: Counters | None = None) -> DataFrame:
     """(qid, ref_id, d2, fraud, rank), equal to the brute-force result; with visits instead (qid, cells, candidates).
 
-    relax below 1 shrinks the bound beyond which cells are passed over: less work, and neighbours may be missed. k is 1 to 5.
+    counters are told what is scanned and pruned. relax below 1 shrinks the bound beyond which cells are passed over: less work, and neighbours may be missed. k is 1 to 5.
     """
     check_k(k)
     index = opened(assigned, vector)
-    first = kept(kernel.best(_scanned(index, queries, _seeds(index.tree, k), k, vector, query_id), k))
+    first = kept(kernel.best(_scanned(index, queries, _seeds(index.tree, k), k, vector, query_id, (), counters), k))
     bounded = _bounded(queries, _tau(first, k, relax), vector, query_id)
     if visits:
         seed = asks(queries, index.tree, _seeds(index.tree, k), vector, query_id)
         rest = asks(bounded, index.tree, _rest(index.tree, k), vector, "qid", ("tau",))
         return seed.unionByName(rest).groupBy("qid").agg(F.count("*").alias("cells"), F.sum("n").alias("candidates"))
-    more = _scanned(index, bounded, _rest(index.tree, k), k, vector, "qid", ("tau",))
+    more = _scanned(index, bounded, _rest(index.tree, k), k, vector, "qid", ("tau",), counters)
     return kernel.best(first.drop("rank").unionByName(more), k)
 
 

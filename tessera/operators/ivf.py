@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.constants import K, Q
 from tessera.operators import kernel
 from tessera.operators.knn import check_k
-from tessera.operators.tiles import Tiles, as_tiles, blocks, scan
+from tessera.operators.tiles import Counters, Tiles, as_tiles, blocks, scan
 from tessera.plans.storage import kept
 
 MOST_CLUSTERS = 65_536
@@ -118,15 +118,16 @@ def _few(centroids: DataFrame, first: int, last: int, sizes: dict[int, int] | No
             inside = n[near]
             takes = np.minimum(inside, cap - (np.cumsum(inside, axis=1) - inside))[:, first - 1 :].ravel()
         groups = ids[near[:, first - 1 :]].ravel()
+        counted = [] if sizes is None else [(int(n[near[:, first - 1 :]].sum() if takes is None else np.maximum(takes, 0).sum()), 0, 0)]
         if takes is None:
-            return rows, groups, None, None
+            return rows, groups, None, None, *counted
         open_ = takes > 0
-        return rows[open_], groups[open_], takes[open_], None
+        return rows[open_], groups[open_], takes[open_], None, *counted
 
     return choose
 
 
-def search(queries: DataFrame, centroids: DataFrame, assigned: DataFrame | Tiles, base: int = 6, most: int = 16, refine: tuple[int, int] = (2, 4), cap: int | None = None, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid") -> DataFrame:
+def search(queries: DataFrame, centroids: DataFrame, assigned: DataFrame | Tiles, base: int = 6, most: int = 16, refine: tuple[int, int] = (2, 4), cap: int | None = None, k: int = K, vector: Sequence[str] = tuple(Q), query_id: str = "qid", counters: Counters | None = None) -> DataFrame:
     """(qid, ref_id, d2, fraud, rank) by scanning the `base` nearest clusters.
 
     Queries whose fraud count lies in `refine` go on to `most` clusters. cap bounds the references scanned by a query
@@ -134,11 +135,11 @@ def search(queries: DataFrame, centroids: DataFrame, assigned: DataFrame | Tiles
     """
     check_k(k)
     index = as_tiles(assigned, "cluster_id", vector)
-    sizes = None if cap is None else index.sizes
+    sizes = None if cap is None and counters is None else index.sizes
 
     def scanned(asking: DataFrame, first: int, last: int) -> DataFrame:
         asked = blocks(asking, _few(centroids, first, last, sizes, cap, vector), vector, query_id)
-        return scan(index, asked, len(vector), k, capped=cap is not None)
+        return scan(index, asked, len(vector), k, capped=cap is not None, counters=counters)
 
     if most <= base:
         return kernel.best(scanned(queries, 1, base), k)
@@ -156,7 +157,7 @@ def sweep(queries: DataFrame, centroids: DataFrame, assigned: DataFrame | Tiles,
     near = _few(centroids, 1, steps[-1], None, None, vector)
 
     def choose(x: np.ndarray, more) -> tuple:
-        rows, groups, takes, _ = near(x, more)
+        rows, groups, takes, *_ = near(x, more)
         width = len(rows) // max(1, len(x))
         return rows, groups, takes, np.tile(np.searchsorted(steps, np.arange(1, width + 1)), len(x))
 

@@ -11,7 +11,7 @@ from tessera.constants import K, Q
 from tessera.functions.vectors import squared_distance
 from tessera.operators import kernel
 
-QUERY_ROWS, REFERENCE_ROWS = 4096, 8192
+QUERY_ROWS, REFERENCE_ROWS = 1024, 8192
 #: Bytes of packed references up to which they are broadcast; beyond it tiles are paired by a shuffle.
 BROADCAST_BYTES = 192 << 20
 
@@ -35,7 +35,10 @@ def knn(queries: DataFrame, references: DataFrame, k: int = K, vector: Sequence[
     """
     check_k(k)
     q = kernel.pack(queries.withColumn("__no", F.lit(0)), query_id, vector, "__no", QUERY_ROWS)
-    q = q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    # a batch may come from one file: its tiles are dealt over all tasks
+    context = queries.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    q = q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).repartition(tasks)
     is_packed = "ids" in references.columns
     if rows is None:
         rows = (references.agg(F.sum("n")).first()[0] or 0) if is_packed else references.count()

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.constants import Q
@@ -22,7 +22,7 @@ from tessera.operators.topk import FOUND, FOUND_STEP, TopK
 from tessera.plans.storage import kept
 
 TILE = "grp bigint, seq bigint, n int, ids binary, data binary, extra binary"
-BLOCK = "grp bigint, n int, q_ids binary, q_data binary, q_take binary, q_step binary"
+BLOCK = "grp bigint, n int, q_ids binary, q_data binary, q_take binary, q_step binary, candidates bigint, seen bigint, pruned bigint"
 #: References of a tile, queries of a block, and counted bytes of blocks up to which they are broadcast.
 TILE_ROWS, BLOCK_ROWS, BROADCAST_BYTES = 8192, 4096, 64 << 20
 ALL = 1 << 60
@@ -106,6 +106,26 @@ class Tiles:
         self.frame.unpersist()
 
 
+class Counters:
+    """What searches count while they run: pairs of a query and a group that were scanned, candidates (references in these
+    groups), and pairs of a query and a box that were seen and pruned. Spark observes them as the blocks are made."""
+
+    NAMES = ("pairs", "candidates", "seen", "pruned")
+
+    def __init__(self) -> None:
+        self._watched: list[Observation] = []
+
+    def watch(self, asked: DataFrame) -> DataFrame:
+        self._watched.append(Observation())
+        whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+        return asked.observe(self._watched[-1], *[whole(c).alias(name) for c, name in zip(("n", *self.NAMES[1:]), self.NAMES, strict=True)])
+
+    @property
+    def totals(self) -> dict[str, int]:
+        """Sums over all searches so far, each of which has made its blocks."""
+        return {name: sum(o.get[name] for o in self._watched) for name in self.NAMES}
+
+
 def as_tiles(references: DataFrame | Tiles, group: str = "cluster_id", vector: Sequence[str] = tuple(Q)) -> Tiles:
     """Opened tiles of tiles, or of references with their group, which are packed and kept."""
     if isinstance(references, Tiles):
@@ -114,9 +134,9 @@ def as_tiles(references: DataFrame | Tiles, group: str = "cluster_id", vector: S
 
 
 def blocks(queries: DataFrame, choose: Callable, vector: Sequence[str] = tuple(Q), query_id: str = "qid", more: Sequence[str] = ()) -> DataFrame:
-    """BLOCK: the queries of each group that choose(matrix, arrays of `more`) -> (rows, groups, takes or None, steps or None)
-    picks. take is how many references of the group, in the order of ids, a query may scan; step orders the groups that a
-    query asks."""
+    """BLOCK: the queries of each group that choose(matrix, arrays of `more`) -> (rows, groups, takes or None, steps or None,
+    and maybe (candidates, seen, pruned)) picks. take is how many references of the group, in the order of ids, a query may
+    scan; step orders the groups that a query asks. Counts of a batch go with its first block."""
     names = list(vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,16 +144,20 @@ def blocks(queries: DataFrame, choose: Callable, vector: Sequence[str] = tuple(Q
             for s in range(0, whole.num_rows, BLOCK_ROWS):
                 batch = whole.slice(s, BLOCK_ROWS)
                 ids, x = batch["qid"].to_numpy(), np.stack([batch[v].to_numpy() for v in names], axis=1).astype(np.int32)
-                i, grp, take, step = choose(x, {m: batch[m].to_numpy(zero_copy_only=False) for m in more})
+                i, grp, take, step, *counted = choose(x, {m: batch[m].to_numpy(zero_copy_only=False) for m in more})
                 sort = np.argsort(grp, kind="stable")
                 i, grp = i[sort], grp[sort]
                 take = np.full(len(i), ALL, np.int64) if take is None else np.asarray(take, np.int64)[sort]
                 step = np.zeros(len(i), np.int32) if step is None else np.asarray(step, np.int32)[sort]
                 cuts = np.r_[0, np.flatnonzero(np.diff(grp)) + 1, len(grp)].tolist() if len(grp) else [0]
                 parts = [(int(grp[a]), b - a, ids[i[a:b]].tobytes(), x[i[a:b]].tobytes(), take[a:b].tobytes(), step[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                if counted and not parts:
+                    parts = [(-1, 0, b"", b"", b"", b"")]  # nothing is asked, but it was looked for
                 if parts:
                     g, n, *rest = zip(*parts, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g, "int64"), pa.array(n, "int32"), *[pa.array(r, "binary") for r in rest]], names=["grp", "n", "q_ids", "q_data", "q_take", "q_step"])
+                    first = np.zeros((3, len(parts)), np.int64)
+                    first[:, 0] = counted[0] if counted else 0
+                    yield pa.RecordBatch.from_arrays([pa.array(g, "int64"), pa.array(n, "int32"), *[pa.array(r, "binary") for r in rest], *map(pa.array, first)], names=[c.split()[0] for c in BLOCK.split(", ")])
 
     columns = [F.col(query_id).cast("bigint").alias("qid"), *[F.col(v).cast("int").alias(v) for v in vector], *more]
     return queries.select(*columns).mapInArrow(run, BLOCK)
@@ -152,13 +176,13 @@ def _arrays(row, dims: int) -> tuple:
     return (np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_data"], np.int32).reshape(-1, dims), np.frombuffer(row["q_take"], np.int64), np.frombuffer(row["q_step"], np.int32))
 
 
-def scan(index: Tiles, asked: DataFrame, dims: int, k: int, capped: bool = False, with_step: bool = False, broadcast_bytes: int | None = None) -> DataFrame:
+def scan(index: Tiles, asked: DataFrame, dims: int, k: int, capped: bool = False, with_step: bool = False, broadcast_bytes: int | None = None, counters: Counters | None = None) -> DataFrame:
     """FOUND: what is nearest to each query of the blocks `asked` among the tiles of its groups, at most k rows a query and task.
 
     capped: takes bind. with_step: FOUND_STEP, k rows a query, step and task. Where the tiles' files are in folders of
     shards, only those of the groups that are asked are read.
     """
-    asked = kept(asked)
+    asked = kept(counters.watch(asked) if counters else asked)
     size = asked.agg(F.coalesce(F.sum(F.octet_length("q_ids") * 2 + F.octet_length("q_data") + F.octet_length("q_step")), F.lit(0))).first()[0]
     source, out = index.frame, FOUND_STEP if with_step else FOUND
     small = size <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
@@ -172,7 +196,7 @@ def scan(index: Tiles, asked: DataFrame, dims: int, k: int, capped: bool = False
     source = (before(source) if capped else source.withColumn("before", F.lit(0).cast("bigint"))).select("grp", "ids", "data", "extra", "before")
     if not small:
         # both sides are cut into pieces, so that a hot group can be divided
-        source = asked.drop("n").join(source, "grp")
+        source = asked.select("grp", "q_ids", "q_data", "q_take", "q_step").join(source, "grp")
     sent = source.sparkSession.sparkContext.broadcast({g: tuple(np.concatenate(c) for c in zip(*parts, strict=True)) for g, parts in found.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

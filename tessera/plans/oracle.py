@@ -223,6 +223,16 @@ f1 as (select qid, cluster_id from rk where before < 5){_scan("n0", "f1")},
 t as materialized (select qid, cast(case when count(*) >= 5 then max(d2) else 1000000000000000 end as double) tau from n0 group by qid)"""
 
 
+def _counters() -> str:
+    return f"""with {_descent().removeprefix("with ").replace(_PER_LEVEL, ",\nlv as (", 1)})
+select (select count(*) from rk join t using (qid) where before < 5 or bound <= tau) pairs, (select cast(sum(n) as bigint) from rk join t using (qid) where before < 5 or bound <= tau) candidates,
+ cast(sum(seen) as bigint) seen, cast(sum(pruned) as bigint) pruned from lv"""
+
+
+#: Between the tables of a descent and what it reports.
+_PER_LEVEL = "\n/* levels */\n"
+
+
 def _descent() -> str:
     edges = ", ".join(f"min({x}) lo_{x}, max({x}) hi_{x}" for x in Q)
     bound = " + ".join(f"cast(power(greatest(lo_{x}-{x}, {x}-hi_{x}, 0), 2) as bigint)" for x in Q)
@@ -234,7 +244,7 @@ l{i} as materialized (select a.ok qid, bb.node, {bound} <= tau near from q a joi
   cross join (select cluster_id // {1 << (DEPTH - i)} node, {edges} from cl group by 1) bb{parent} where a.ok%10=0),
 k{i} as (select qid, node from l{i} where near)"""
         parts.append(f"select {i} as level, count(*) seen, count(*) filter (not near) pruned from l{i}")
-    return sql + "\n" + "\nunion all\n".join(parts)
+    return sql + _PER_LEVEL + "\nunion all\n".join(parts)
 
 
 def _tuned(early: int | None = None, epsilon: float = 0.0, soft: int = 1500, span: int = 1500, most: int | None = None) -> str:
@@ -309,6 +319,7 @@ ORACLE: dict[str, str] = {
     "cells_midpoint": f"with {_splits('midpoint')} select ok, cluster_id cell_id from cl",
     "boxes_knn": f"with {KNN} select qid, ref_id, d2, fraud, cast(rank as int) rank from nn",
     "boxes_descent": _descent(),
+    "search_counters": _counters(),
     "boxes_early": _tuned(early=EARLY),
     "boxes_relaxed": _tuned(epsilon=EPSILON, soft=SOFT, span=SPAN),
     "boxes_stopped": _tuned(most=STOP),

@@ -12,7 +12,7 @@ from tessera.constants import MCC_RISK, Q, V
 from tessera.functions.features import mcc_risk, vectorize
 from tessera.functions.vectors import box_distance, dequantize, squared_distance
 from tessera.operators import cells, ivf, knn
-from tessera.operators.tiles import Tiles, as_tiles
+from tessera.operators.tiles import Counters, Tiles, as_tiles
 from tessera.operators.vote import respond, vote
 from tessera.plans import evaluate, fixtures, index
 from tessera.plans.oracle import BASE, BUDGETS, CAP, CLUSTERS, DEPTH, EARLY, EPSILON, GOLD, MOST, PROBES, REFINED, ROUNDS, SLOW, SOFT, SPAN, STOP, VISITS
@@ -221,6 +221,15 @@ def boxes_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.descent(queries, cells.opened(assigned, heap=True))
 
 
+def search_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the exact search of all queries scans, sees and prunes, as observed while it runs."""
+    queries, assigned = _levels(spark, sf_dir)
+    counters = Counters()
+    cells.search(queries, cells.opened(assigned, heap=True), counters=counters)
+    told = counters.totals
+    return spark.createDataFrame([tuple(told[x] for x in Counters.NAMES)], ", ".join(f"{x} bigint" for x in Counters.NAMES))
+
+
 def _tuned(**knobs) -> Callable[[SparkSession, str], DataFrame]:
     """Votes of a search in rounds, and what it read."""
 
@@ -453,7 +462,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cells_refined": cells_refined, "cells_visits": cells_visits, "cells_budget": cells_budget, "index_roundtrip": index_roundtrip, "stream_score": stream_score,
     "confusion": confusion, "latency_percentiles": latency_percentiles, "load_report": load_report, "nprobe_sweep": nprobe_sweep,
     "score_repeats": score_repeats, "fail_safe": fail_safe, "references_read": references_read, "fallback": fallback, "ivf_build": ivf_build,
-    "cells_levels": cells_levels, "cells_midpoint": cells_midpoint, "boxes_knn": boxes_knn, "boxes_descent": boxes_descent,
+    "cells_levels": cells_levels, "cells_midpoint": cells_midpoint, "boxes_knn": boxes_knn, "boxes_descent": boxes_descent, "search_counters": search_counters,
     "boxes_early": _tuned(early_d2=EARLY), "boxes_relaxed": _tuned(epsilon=EPSILON, soft=SOFT, span=SPAN), "boxes_stopped": _tuned(most_visits=STOP), "boxes_rounds": _tuned(),
     "visits_sweep": visits_sweep, "stream_preloaded": stream_preloaded, "ivf_pruned": ivf_pruned, "binary_plain": binary_plain, "binary_clustered": binary_clustered,
     "corpus_scan": corpus_scan, "generated": generated, "baselines": baselines,

@@ -13,7 +13,7 @@ from tessera.constants import DIMS, THRESHOLD, K
 from tessera.functions.features import vectorize
 from tessera.functions.vectors import quantized
 from tessera.operators import cells, ivf, knn
-from tessera.operators.tiles import Tiles, as_tiles
+from tessera.operators.tiles import Counters, Tiles, as_tiles
 from tessera.operators.vote import vote
 from tessera.plans import index
 from tessera.plans.storage import exists, kept
@@ -22,7 +22,7 @@ from tessera.sources import references as R
 
 class Scorer(Protocol):
     """score: parsed requests -> (id, frauds, fraud_score, approved, status); score_vectors: (qid, q0..) -> the same by qid,
-    without status; preload: has the executors hold the index until release, so that no search reads its files again."""
+    without status (counters, where a scorer has them, are those of the last call); preload: has the executors hold the index until release, so that no search reads its files again."""
 
     def score(self, requests: DataFrame) -> DataFrame: ...
 
@@ -72,6 +72,7 @@ class Ivf(_Vectorizing):
     refine: tuple[int, int] = (2, 4)
     cap: int | None = 120_000
     k: int = K
+    counters: Counters | None = None
 
     def __post_init__(self) -> None:
         # packed and counted once, for all searches; so are the centroids, which are bounded
@@ -80,7 +81,8 @@ class Ivf(_Vectorizing):
         self.near = ivf.centroid_matrix(self.centroids)
 
     def score_vectors(self, queries: DataFrame) -> DataFrame:
-        found = ivf.search(queries, self.near, self.index, self.base, self.most, self.refine, self.cap, self.k)
+        self.counters = Counters()
+        found = ivf.search(queries, self.near, self.index, self.base, self.most, self.refine, self.cap, self.k, counters=self.counters)
         return vote(found, self.count, self.k)
 
     def preload(self) -> Ivf:
@@ -95,13 +97,15 @@ class Ivf(_Vectorizing):
 class Cells(_Vectorizing):
     assigned: DataFrame | cells.Boxes
     k: int = K
+    counters: Counters | None = None
 
     def __post_init__(self) -> None:
         self.index = cells.opened(self.assigned)
         self.count = self.index.count
 
     def score_vectors(self, queries: DataFrame) -> DataFrame:
-        return vote(cells.search(queries, self.index, self.k), self.count, self.k)
+        self.counters = Counters()
+        return vote(cells.search(queries, self.index, self.k, counters=self.counters), self.count, self.k)
 
     def preload(self) -> Cells:
         self.index.tiles.preload()

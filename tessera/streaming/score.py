@@ -25,16 +25,19 @@ def score_batch(raw: DataFrame, scorer: Scorer) -> DataFrame:
     return good.unionByName(R.rejected(parsed), allowMissingColumns=True)
 
 
-def start(stream: DataFrame, scorer: Scorer, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
+def start(stream: DataFrame, scorer: Scorer, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, report: Callable[[int, dict[str, int]], None] | None = None) -> StreamingQuery:
     """Scores each micro-batch and hands it to sink(frame, batch id). Requests are independent: there is no state.
 
     A scorer that was preloaded answers every batch from what the executors hold. What a batch keeps on its way is deleted
-    once the sink has written its result.
+    once the sink has written its result. report is given the batch's number and what its search counted.
     """
 
     def run(batch: DataFrame, n: int) -> None:
         with scratch(batch.sparkSession):
             sink(score_batch(batch, scorer), n)
+            counted = getattr(scorer, "counters", None)
+            if report and counted:
+                report(n, counted.totals)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -13,7 +13,7 @@ from tessera.plans import oracle, queries
 
 from .conftest import ROOT, SF
 
-FAST = ["vectorize", "quantize", "mcc_lookup", "parse_valid", "parse_reject_reason", "route_status", "knn_brute", "score", "http_response", "ivf_adaptive", "ivf_scancap", "ivf_cluster_stats", "cells_knn", "index_roundtrip", "stream_score", "corpus_scan", "confusion", "latency_percentiles", "load_report"]
+FAST = ["vectorize", "quantize", "mcc_lookup", "parse_valid", "parse_reject_reason", "route_status", "knn_brute", "score", "http_response", "ivf_adaptive", "ivf_scancap", "ivf_cluster_stats", "cells_knn", "index_roundtrip", "stream_score", "nprobe_sweep", "cells_budget", "cells_refined", "boxes_descent", "boxes_relaxed", "boxes_early", "visits_sweep", "ivf_pruned", "ivf_build", "binary_clustered", "corpus_scan", "confusion", "latency_percentiles", "load_report"]
 
 
 def plain(rows):

@@ -132,12 +132,14 @@ def test_held_index_answers_a_stream(spark, lumps, tmp_path):
         want = sorted(map(tuple, scorer.score(requests).select("id", "frauds", "approved").collect()))
         scorer.preload()
         remove(spark, f"{root}/{name}")
-        before = len(files.listStatus(at))
-        query = stream.start(stream.bodies(spark, f"file://{tmp_path}/in", 1), scorer, stream.to_parquet(f"file://{tmp_path}/{name}"), f"file://{tmp_path}/state-{name}", once=True)
+        before, counted = len(files.listStatus(at)), []
+        query = stream.start(stream.bodies(spark, f"file://{tmp_path}/in", 1), scorer, stream.to_parquet(f"file://{tmp_path}/{name}"), f"file://{tmp_path}/state-{name}", once=True, report=lambda n, told, c=counted: c.append(told))
         query.awaitTermination()
         assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3 and len(files.listStatus(at)) == before
         got = spark.read.parquet(f"file://{tmp_path}/{name}").select("id", "frauds", "approved")
         assert sorted(map(tuple, got.collect())) == want and len(want) == 45
+        assert [c["candidates"] >= c["pairs"] > 0 for c in counted] == ([] if name == "flat" else [True] * 3)
+        assert all((c["seen"] > c["pruned"] >= 0) == (name == "cells") for c in counted)
         scorer.release()
 
 
