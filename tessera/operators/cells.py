@@ -20,7 +20,7 @@ from tessera.operators import ivf, kernel
 from tessera.operators.boxes import STRIP, Tree
 from tessera.operators.knn import check_k
 from tessera.operators.tiles import Counters, Tiles, as_tiles, blocks, of_probes, scan
-from tessera.plans.storage import kept
+from tessera.plans.storage import kept, kept_once
 
 SAMPLE_ROWS = 20_000
 
@@ -95,6 +95,7 @@ def opened(assigned: DataFrame | Boxes, vector: Sequence[str] = tuple(Q), heap:
     """Boxes of references with cell_id; with heap the cells are numbered as by tessera.operators.splits."""
     if isinstance(assigned, Boxes):
         return assigned
+    assigned = kept_once(assigned)
     return Boxes(as_tiles(assigned, "cell_id", vector), Tree.of_boxes(boxes(assigned, vector), vector, heap))
 
 

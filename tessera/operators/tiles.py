@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera.constants import Q
 from tessera.operators import kernel
 from tessera.operators.topk import FOUND, FOUND_STEP, TopK
-from tessera.plans.storage import kept
+from tessera.plans.storage import kept, kept_once
 
 TILE = "grp bigint, seq bigint, n int, ids binary, data binary, extra binary"
 BLOCK = "grp bigint, n int, q_ids binary, q_data binary, q_take binary, q_step binary, candidates bigint, seen bigint, pruned bigint"
@@ -130,7 +130,8 @@ def as_tiles(references: DataFrame | Tiles, group: str = "cluster_id", vector: S
     """Opened tiles of tiles, or of references with their group, which are packed and kept."""
     if isinstance(references, Tiles):
         return references
-    return Tiles(references if "grp" in references.columns else kept(pack(references, group, vector)))
+    # ranges are sampled before rows are dealt, and assigning rows to clusters again would cost more than reading them
+    return Tiles(references if "grp" in references.columns else kept(pack(kept_once(references), group, vector)))
 
 
 def blocks(queries: DataFrame, choose: Callable, vector: Sequence[str] = tuple(Q), query_id: str = "qid", more: Sequence[str] = ()) -> DataFrame:

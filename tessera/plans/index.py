@@ -14,7 +14,7 @@ from tessera.functions.vectors import squared_distance
 from tessera.operators import cells, ivf, splits, tiles
 from tessera.operators.boxes import Tree
 from tessera.operators.tiles import Tiles
-from tessera.plans.storage import kept
+from tessera.plans.storage import kept, kept_once
 
 VERSION = 2
 #: Folders of a written index, at most.
@@ -112,6 +112,7 @@ def save(path: str, references: DataFrame, kind: str = "flat", centroids: DataFr
         group = {"ivf": "cluster_id", "cells": "cell_id"}[kind]
         if kind == "ivf" and centroids is None:
             raise ValueError("an ivf index needs centroids")
+        references = kept_once(references)
         ends = references.agg(F.min(group).alias("a"), F.max(group).alias("b")).first()
         base, top = (ends["a"] or 0, ends["b"] or 0)
         per = -(-(top - base + 1) // shards)

@@ -38,6 +38,11 @@ def kept(df: DataFrame) -> DataFrame:
     return back
 
 
+def kept_once(df: DataFrame) -> DataFrame:
+    """df itself where it is a kept table, else df kept: for what is read several times and is dear to compute."""
+    return df if "kept_at" in df.__dict__ else kept(df)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes kept tables that nothing reads any more; others are left alone."""
     for t in tables:

@@ -18,6 +18,18 @@ def bodies(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataF
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).withColumnRenamed("value", "body")
 
 
+def socket_bodies(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """A stream of (body) from a socket, one request a line. A socket can't be read again: what was under way when a query
+    fails is lost, so that files or a log are for production."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).load().withColumnRenamed("value", "body")
+
+
+def log_bodies(spark: SparkSession, servers: str, topic: str, offsets_per_trigger: int = 1_000_000) -> DataFrame:
+    """A stream of (body) from a topic of a Kafka log, where Spark's connector for it is installed."""
+    rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("maxOffsetsPerTrigger", offsets_per_trigger).load()
+    return rows.select(F.col("value").cast("string").alias("body"))
+
+
 def score_batch(raw: DataFrame, scorer: Scorer) -> DataFrame:
     """(id, frauds, fraud_score, approved, error) of a batch of bodies: refused ones carry their error and no score."""
     parsed = kept(R.parse(raw))  # for the accepted and the refused ones

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import socket
+import threading
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +147,29 @@ def test_held_index_answers_a_stream(spark, lumps, tmp_path):
         scorer.release()
 
 
+def test_requests_from_a_socket(spark, lumps, tmp_path):
+    _, _, _, references, _ = lumps
+    lines = [r.body for r in S.to_body(S.generate(spark, 20)).collect()]
+    with socket.create_server(("127.0.0.1", 0)) as server:
+
+        def serve() -> None:
+            peer, _ = server.accept()
+            with peer:
+                peer.sendall("".join(x + "\n" for x in [*lines, "nonsense"]).encode())
+                closed.wait(60)
+
+        closed = threading.Event()
+        threading.Thread(target=serve, daemon=True).start()
+        query = stream.start(stream.socket_bodies(spark, "127.0.0.1", server.getsockname()[1]), scorers.Brute(references), stream.to_parquet(f"file://{tmp_path}/out"), f"file://{tmp_path}/state")
+        end = time.time() + 60
+        while sum(p["numInputRows"] for p in query.recentProgress) < 21 and time.time() < end:
+            time.sleep(0.2)
+        query.stop()
+        closed.set()
+    got = spark.read.parquet(f"file://{tmp_path}/out")
+    assert got.where("error is null").count() == 20 and got.where("error = 'bad_json'").count() == 1
+
+
 def test_scratch_is_deleted_after_errors(spark):
     with pytest.raises(RuntimeError), scratch(spark):
         inner = kept(spark.range(3))

@@ -111,6 +111,21 @@ def test_cells(spark, blobs):
     assert told(cells.search(queries, few), len(q)) == brute(q, r[:3], 5)
 
 
+def test_many_queries_with_ties(spark):
+    """2000 queries against 2000 references, half of them on a coarse grid where distances tie."""
+    rng = np.random.default_rng(8)
+    r = np.r_[rng.integers(-10000, 10001, (1000, 14)), rng.integers(0, 2, (1000, 14)) * 10000]
+    q = np.r_[rng.integers(-10000, 10001, (1000, 14)), rng.integers(0, 2, (1000, 14)) * 10000]
+    queries, references = kept(table(spark, q, "qid")), kept(table(spark, r, "ref_id"))
+    want = []
+    for part in np.array_split(q, 20):
+        want += brute(part, r, 5)
+    assert told(knn.knn(queries, references), len(q)) == want
+    assert told(cells.search(queries, index.build_levels(references, 5, "midpoint")), len(q)) == want
+    centroids, assigned = index.build_ivf(references, clusters=12, rounds=1)
+    assert told(ivf.search(queries, centroids, assigned, 12, 12), len(q)) == want
+
+
 def test_votes(spark):
     found = spark.createDataFrame([(0, 1), (0, 1), (0, 1), (0, 0), (0, 0), (1, 1), (1, 0)], "qid bigint, fraud int")
     got = {r.qid: (r.frauds, r.fraud_score, r.approved) for r in vote(found, 100).collect()}
