@@ -36,7 +36,7 @@ def test_sums_lose_nothing():
             assert abs(Fraction(float(hi[i, j])) + Fraction(float(lo[i, j])) - w) < scale * Fraction(1, 10**27)
 
 
-@pytest.mark.parametrize("offset", [0, 10**6, 10**9])
+@pytest.mark.parametrize("offset", [0, 10**9])
 def test_against_exact_covariance(spark, offset, monkeypatch):
     monkeypatch.setattr(whitening, "FAN_IN", 2)
     monkeypatch.setattr(whitening, "STRIP", 16)
