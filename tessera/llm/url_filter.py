@@ -108,7 +108,10 @@ def _found(urls: DataFrame, told: DataFrame, broadcast_bytes: int) -> DataFrame:
     else:
         made = stored(made, "url-expressions")
         counted = made.groupBy("short").agg(F.count("*").alias("n"))
-        met = skew_join(made, ready, "short", heavy(counted, "short", "n", made.count()))
+        hot = heavy(counted, "short", "n", made.count())
+        # a key of a frequent expression has few rules, unless thousands share its LONGEST characters: then it is joined plainly
+        held = ready.where(F.col("short").isin(hot)).agg(F.coalesce(F.sum(F.octet_length("rule") + 150), F.lit(0))).first()[0]
+        met = skew_join(made, ready, "short", hot if held <= BROADCAST_BYTES else [])
     whole = F.concat(_suffix(F.col("host"), F.col("dots")), F.call_function("left", F.col("path"), F.col("chars")))
     sure = met.where((_count(F.col("host"), ".") >= F.col("dots")) & (F.sha2(whole, 256) == F.col("digest")))
     best = sure.groupBy("id").agg(F.max(F.struct(F.length("rule").alias("n"), "n_host", "block", "rule")).alias("best"))
