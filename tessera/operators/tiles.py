@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera.constants import Q
 from tessera.operators import kernel
 from tessera.operators.topk import FOUND, FOUND_STEP, TopK
-from tessera.plans.storage import kept, kept_once
+from tessera.plans.storage import at_end, kept, kept_once
 
 TILE = "grp bigint, seq bigint, n int, ids binary, data binary, extra binary"
 BLOCK = "grp bigint, n int, q_ids binary, q_data binary, q_take binary, q_step binary, candidates bigint, seen bigint, pruned bigint"
@@ -199,6 +199,7 @@ def scan(index: Tiles, asked: DataFrame, dims: int, k: int, capped: bool = False
         # both sides are cut into pieces, so that a hot group can be divided
         source = asked.select("grp", "q_ids", "q_data", "q_take", "q_step").join(source, "grp")
     sent = source.sparkSession.sparkContext.broadcast({g: tuple(np.concatenate(c) for c in zip(*parts, strict=True)) for g, parts in found.items()})
+    at_end(sent.destroy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, asked_by = TopK(k, with_step), sent.value

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def kept(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: a lost executor doesn't cost the work before it."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-core/{uuid.uuid4().hex}"
-    scopes = getattr(_here, "scopes", None)
-    if scopes:
-        scopes[-1].append(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-core/{uuid.uuid4().hex}"
+    at_end(lambda: remove(spark, path))
     df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back.kept_at = path
     return back
 
@@ -62,13 +61,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def at_end(release: Callable[[], None]) -> None:
+    """Has release called at the end of this thread's innermost scratch, if there is one."""
+    scopes = getattr(_here, "scopes", None)
+    if scopes:
+        scopes[-1].append(release)
+
+
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What this thread keeps inside is deleted at the end, also after an error: results must have been written by then."""
+def scratch() -> Iterator[None]:
+    """What this thread keeps or broadcasts inside goes away at the end, also after an error: results must have been written
+    by then."""
     scopes = _here.__dict__.setdefault("scopes", [])
     scopes.append([])
     try:
         yield
     finally:
-        for path in scopes.pop():
-            remove(spark, path)
+        for release in scopes.pop():
+            release()

@@ -45,7 +45,7 @@ def start(stream: DataFrame, scorer: Scorer, sink: Callable[[DataFrame, int], No
     """
 
     def run(batch: DataFrame, n: int) -> None:
-        with scratch(batch.sparkSession):
+        with scratch():
             sink(score_batch(batch, scorer), n)
             counted = getattr(scorer, "counters", None)
             if report and counted:

@@ -171,7 +171,7 @@ def test_requests_from_a_socket(spark, lumps, tmp_path):
 
 
 def test_scratch_is_deleted_after_errors(spark):
-    with pytest.raises(RuntimeError), scratch(spark):
+    with pytest.raises(RuntimeError), scratch():
         inner = kept(spark.range(3))
         raise RuntimeError
     with pytest.raises(Exception, match="exist|found|FAILED_READ"):
