@@ -153,8 +153,8 @@ def _rest(tree: Tree, k: int) -> Callable:
     return choose
 
 
-def _scanned(index: Boxes, queries: DataFrame, choose: Callable, k: int, vector: Sequence[str], query_id: str, more: Sequence[str] = (), counters: Counters | None = None) -> DataFrame:
-    return scan(index.tiles, blocks(queries, _asked(index.tree, choose), vector, query_id, more), len(vector), k, counters=counters)
+def _scanned(index: Boxes, queries: DataFrame, choose: Callable, k: int, vector: Sequence[str], query_id: str, more: Sequence[str] = (), counters: Counters | None = None, known: DataFrame | None = None) -> DataFrame:
+    return scan(index.tiles, blocks(queries, _asked(index.tree, choose), vector, query_id, more), len(vector), k, counters=counters, known=known)
 
 
 def _tau(first: DataFrame, k: int, relax: float = 1.0) -> DataFrame:
@@ -180,7 +180,7 @@ def search(queries: DataFrame, assigned: DataFrame | Boxes, k: int = K, vector:
         seed = asks(queries, index.tree, _seeds(index.tree, k), vector, query_id)
         rest = asks(bounded, index.tree, _rest(index.tree, k), vector, "qid", ("tau",))
         return seed.unionByName(rest).groupBy("qid").agg(F.count("*").alias("cells"), F.sum("n").alias("candidates"))
-    more = _scanned(index, bounded, _rest(index.tree, k), k, vector, "qid", ("tau",), counters)
+    more = _scanned(index, bounded, _rest(index.tree, k), k, vector, "qid", ("tau",), counters, first)
     return kernel.best(first.drop("rank").unionByName(more), k)
 
 
@@ -274,7 +274,7 @@ def search_tuned(
         ready = state.where(~F.col("done") & limit).select("qid", "visits", (F.col("tau") * scale).alias("limit"))
         own = waiting.where(F.col("place").between((1 << step) - 1, (1 << (step + 1)) - 2))
         chosen = kept(own.join(ready, "qid").where(F.col("bound") <= F.col("limit")).select("qid", "cluster_id", "n"))
-        more = scan(index.tiles, of_probes(queries, chosen, vector, query_id), len(vector), k)
+        more = scan(index.tiles, of_probes(queries, chosen, vector, query_id), len(vector), k, known=top)
         merged = kept(kernel.best(top.drop("rank").unionByName(more), k))
         read = chosen.groupBy("qid").agg(F.count("*").alias("new_cells"), F.sum("n").alias("new_visits"))
         # whoever read less than a whole round has met a cell beyond its bound, and all further ones lie beyond it, too

@@ -137,15 +137,15 @@ def search(queries: DataFrame, centroids: DataFrame, assigned: DataFrame | Tiles
     index = as_tiles(assigned, "cluster_id", vector)
     sizes = None if cap is None and counters is None else index.sizes
 
-    def scanned(asking: DataFrame, first: int, last: int) -> DataFrame:
+    def scanned(asking: DataFrame, first: int, last: int, known: DataFrame | None = None) -> DataFrame:
         asked = blocks(asking, _few(centroids, first, last, sizes, cap, vector), vector, query_id)
-        return scan(index, asked, len(vector), k, capped=cap is not None, counters=counters)
+        return scan(index, asked, len(vector), k, capped=cap is not None, counters=counters, known=known)
 
     if most <= base:
         return kernel.best(scanned(queries, 1, base), k)
     first = kept(kernel.best(scanned(queries, 1, base), k))
     undecided = first.groupBy("qid").agg(F.sum("fraud").alias("f")).where(F.col("f").between(*refine)).select(F.col("qid").alias(query_id))
-    more = scanned(queries.join(undecided, query_id, "left_semi"), base + 1, most)
+    more = scanned(queries.join(undecided, query_id, "left_semi"), base + 1, most, first)
     return kernel.best(first.drop("rank").unionByName(more), k)
 
 

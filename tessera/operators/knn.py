@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.constants import K, Q
 from tessera.functions.vectors import squared_distance
-from tessera.operators import kernel
+from tessera.operators import kernel, parts
+from tessera.plans.storage import forget, kept
 
 QUERY_ROWS, REFERENCE_ROWS = 1024, 8192
 #: Bytes of packed references up to which they are broadcast; beyond it tiles are paired by a shuffle.
@@ -31,17 +32,26 @@ def knn(queries: DataFrame, references: DataFrame, k: int = K, vector: Sequence[
     """(qid, ref_id, d2, fraud, rank): the k nearest references of every query by (d2, ref_id).
 
     references is (ref_id, vector columns, fraud), or packed; rows is their number, if it is known. A task gives at most k rows a query, however many pairs of tiles it
-    compares, so that what is shuffled grows with the queries times the tasks. k is 1 to 5.
+    compares, so that what is shuffled grows with the queries times the tasks. Where pairs are many, references are searched
+    by parts that lie apart (tessera.operators.parts), with the same result. k is 1 to 5.
     """
     check_k(k)
+    is_packed = "ids" in references.columns
+    if rows is None:
+        rows = (references.agg(F.sum("n")).first()[0] or 0) if is_packed else references.count()
+    if parts.fits({0: rows}, {0: queries.count() if rows else 0}):
+        divided = references.__dict__.get("divided")
+        if divided is None:
+            whole = kept((references if is_packed else packed(references, vector)).select(F.lit(0).cast("bigint").alias("grp"), "n", "ids", "data", "extra"))
+            divided = parts.divide(whole, len(vector), {0: rows})
+            forget(whole)
+            references.divided = divided
+        return kernel.best(parts.search(parts.rows_of_all(queries, vector, query_id), divided, k), k)
     q = kernel.pack(queries.withColumn("__no", F.lit(0)), query_id, vector, "__no", QUERY_ROWS)
     # a batch may come from one file: its tiles are dealt over all tasks
     context = queries.sparkSession.sparkContext
     tasks = max(context.defaultParallelism, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     q = q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data")).repartition(tasks)
-    is_packed = "ids" in references.columns
-    if rows is None:
-        rows = (references.agg(F.sum("n")).first()[0] or 0) if is_packed else references.count()
     r = (references if is_packed else packed(references, vector)).select("ids", "data", "extra")
     if rows * (4 * len(vector) + 12) <= broadcast_bytes:
         r = F.broadcast(r)

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.constants import Q
-from tessera.operators import kernel
+from tessera.operators import kernel, parts
 from tessera.operators.topk import FOUND, FOUND_STEP, TopK
-from tessera.plans.storage import at_end, kept, kept_once
+from tessera.plans.storage import at_end, forget, kept, kept_once
 
 TILE = "grp bigint, seq bigint, n int, ids binary, data binary, extra binary"
 BLOCK = "grp bigint, n int, q_ids binary, q_data binary, q_take binary, q_step binary, candidates bigint, seen bigint, pruned bigint"
@@ -85,6 +85,7 @@ class Tiles:
     def __init__(self, frame: DataFrame, shard_of: Callable[[int], int] | None = None):
         self.frame, self.shard_of = frame, shard_of
         self._sizes: dict[int, int] | None = None
+        self._parts: parts.Parts | None = None
 
     @property
     def sizes(self) -> dict[int, int]:
@@ -96,6 +97,12 @@ class Tiles:
     def count(self) -> int:
         return sum(self.sizes.values())
 
+    def parts(self, dims: int) -> parts.Parts:
+        """The groups in parts that lie apart, made once."""
+        if self._parts is None:
+            self._parts = parts.divide(self.frame.select("grp", "n", "ids", "data", "extra"), dims, self.sizes)
+        return self._parts
+
     def preload(self) -> Tiles:
         """Has the executors hold the tiles, in memory or on their disks; a lost executor's are read again from the index."""
         self.frame = self.frame.persist(StorageLevel.MEMORY_AND_DISK)
@@ -104,6 +111,9 @@ class Tiles:
 
     def release(self) -> None:
         self.frame.unpersist()
+        if self._parts is not None:
+            forget(self._parts.frame)
+            self._parts = None
 
 
 class Counters:
@@ -177,13 +187,18 @@ def _arrays(row, dims: int) -> tuple:
     return (np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_data"], np.int32).reshape(-1, dims), np.frombuffer(row["q_take"], np.int64), np.frombuffer(row["q_step"], np.int32))
 
 
-def scan(index: Tiles, asked: DataFrame, dims: int, k: int, capped: bool = False, with_step: bool = False, broadcast_bytes: int | None = None, counters: Counters | None = None) -> DataFrame:
+def scan(index: Tiles, asked: DataFrame, dims: int, k: int, capped: bool = False, with_step: bool = False, broadcast_bytes: int | None = None, counters: Counters | None = None, known: DataFrame | None = None) -> DataFrame:
     """FOUND: what is nearest to each query of the blocks `asked` among the tiles of its groups, at most k rows a query and task.
 
     capped: takes bind. with_step: FOUND_STEP, k rows a query, step and task. Where the tiles' files are in folders of
-    shards, only those of the groups that are asked are read.
+    shards, only those of the groups that are asked are read. Where queries times references are many, groups are searched
+    by parts that lie apart; then known (qid, d2), which was found in other groups, tells how far a query needs to look.
     """
     asked = kept(counters.watch(asked) if counters else asked)
+    if not capped:
+        wanted = {r["grp"]: r["n"] for r in asked.groupBy("grp").agg(F.sum("n").alias("n")).collect()}  # groups are bounded by a parameter
+        if parts.fits(index.sizes, wanted):
+            return parts.search(parts.rows_of(asked, dims), index.parts(dims), k, known, with_step)
     size = asked.agg(F.coalesce(F.sum(F.octet_length("q_ids") * 2 + F.octet_length("q_data") + F.octet_length("q_step")), F.lit(0))).first()[0]
     source, out = index.frame, FOUND_STEP if with_step else FOUND
     small = size <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)

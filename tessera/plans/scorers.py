@@ -16,7 +16,7 @@ from tessera.operators import cells, ivf, knn
 from tessera.operators.tiles import Counters, Tiles, as_tiles
 from tessera.operators.vote import vote
 from tessera.plans import index
-from tessera.plans.storage import exists, kept
+from tessera.plans.storage import exists, forget, kept
 from tessera.sources import references as R
 
 
@@ -61,6 +61,9 @@ class Brute(_Vectorizing):
 
     def release(self) -> None:
         self.tiles.unpersist()
+        divided = self.tiles.__dict__.pop("divided", None)
+        if divided is not None:
+            forget(divided.frame)
 
 
 @dataclass

@@ -26,11 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: a lost executor doesn't cost the work before it."""
+def kept(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """df, written to the shared folder and read again: a lost executor doesn't cost the work before it. What is lasting
+    outlives the scratch that it was kept in."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-core/{uuid.uuid4().hex}"
-    at_end(lambda: remove(spark, path))
+    if not lasting:
+        at_end(lambda: remove(spark, path))
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.kept_at = path
