@@ -189,8 +189,8 @@ def cells_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search that stops after some visits, with the exact one for the votes next to the border."""
-    return cells.search_refined(*_as_cells(spark, sf_dir), REFINED, (2, 3)).select(*_NEIGHBOURS)
+    """A search that stops after some visits, with the exact one for every vote: the whole range counts as the border here."""
+    return cells.search_refined(*_as_cells(spark, sf_dir), REFINED, (0, 5)).select(*_NEIGHBOURS)
 
 
 def _levels(spark: SparkSession, sf_dir: str, rule: str = "median") -> tuple[DataFrame, DataFrame]:

@@ -49,3 +49,8 @@ def test_without_the_optional_part(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=alone, check=True, timeout=120)
     # the tests of the rest pass there, of which some are run
     subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_evaluate.py", "tests/test_features.py"], cwd=tmp_path / "repo", env=alone, check=True, timeout=300)
+
+
+def test_refined_is_exact():
+    """Every query is searched to the end: the SQL has no early stop."""
+    assert oracle.ORACLE["cells_refined"] == oracle.ORACLE["knn_brute"]
