@@ -46,7 +46,8 @@ def split(references: DataFrame, depth: int, rule: str = "median", least: int =
             wide = ranges.index(max(ranges))  # the first of equally wide ones
             asked.append((r["cell_id"], wide, r[f"lo_{vector[wide]}"] + r[f"hi_{vector[wide]}"], max(ranges) > 0, r["n"]))
         told = F.broadcast(spark.createDataFrame(asked, "cell_id bigint, wide int, twice bigint, uneven boolean, n bigint"))
-        values = rows.join(told, "cell_id").select("cell_id", "ref_id", F.element_at(F.array(*vector), F.col("wide") + 1).cast("bigint").alias("value"), "twice", "uneven", "n")
+        # ranks are counted in several passes, which read these few columns
+        values = kept(rows.join(told, "cell_id").select("cell_id", "ref_id", F.element_at(F.array(*vector), F.col("wide") + 1).cast("bigint").alias("value"), "twice"))
         if rule == "median":
             wanted = [(a[0], a[4] // 2) for a in asked]
         else:
@@ -67,6 +68,6 @@ def split(references: DataFrame, depth: int, rule: str = "median", least: int =
         left = (x < F.col("cut")) | ((x == F.col("cut")) & F.coalesce(F.col("ref_id") < F.col("cut_id"), F.lit(False)))
         moved = rows.join(F.broadcast(table), "cell_id", "left").withColumn("cell_id", F.when(F.col("wide").isNull(), F.col("cell_id")).when(left, F.col("cell_id") * 2).otherwise(F.col("cell_id") * 2 + 1))
         new = kept(moved.drop("wide", "cut", "cut_id"))
-        forget(rows)
+        forget(rows, values)
         rows = new
     return rows
