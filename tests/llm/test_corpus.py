@@ -211,6 +211,28 @@ def test_line_buckets_when_the_largest_component_changes(spark):
     assert found.count() == len(rows) and found.select("component").distinct().count() == 1
 
 
+def test_line_buckets_pair_no_lines_of_too_different_lengths(spark, monkeypatch):
+    """Lines of very different lengths in one bucket are not paired at all, and no link is lost."""
+    r, seen = random.Random(8), []
+    base = [sentence(r, n) for n in (6, 12, 24, 48)]
+    rows = [(i, changed(r, base[i % 4], 1)) for i in range(8)] + [(100 + i, sentence(r, 8 * (i + 1))) for i in range(5)]
+    lines, nodes = same_bucket(docs(spark, rows).select(F.col("doc_id").alias("id"), "text"))
+    whole = line_dedup._verified
+
+    def told(texts, pairs, threshold):
+        sizes = texts.select("node", "size")
+        both = pairs.join(sizes.toDF("a", "x"), "a").join(sizes.toDF("b", "y"), "b")
+        seen.append((pairs.count(), both.where(F.abs(F.col("x") - F.col("y")) > F.greatest("x", "y") * 0.2 + 1).count()))
+        return whole(texts, pairs, threshold)
+
+    monkeypatch.setattr(line_dedup, "_verified", told)
+    found = line_dedup._groups(lines, nodes, 0.8, 100)
+    assert sum(n for n, _ in seen) > 0 and not sum(n for _, n in seen)
+    x, y = lines.select("node", "line").distinct().toDF("a", "x"), lines.select("node", "line").distinct().toDF("b", "y")
+    near = [tuple(p) for p in x.join(y, F.col("a") < F.col("b")).where(line_dedup.edit_similar(F.col("x"), F.col("y"), 0.8)).select("a", "b").collect()]
+    assert {x.id for x in found.collect()} == {n for p in near for n in p}
+
+
 # embeddings
 
 
