@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pathlib
 import random
 
 import corpus_pipeline
 from tessera.llm import queries
-from tessera.llm.common import stored
+from tessera.llm.common import shared_dir, stored
 
 from .helpers import EDGE, docs
 from .test_corpus import changed, sentence
@@ -44,5 +45,20 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, ran.collect())) == sorted(map(str, now.collect()))
 
 
+def test_stages_leave_only_what_the_last_one_reads(spark, tmp_path):
+    """Tables of earlier stages and of their steps are gone when the pipeline returns, and its rows can still be read."""
+    r = random.Random(52)
+    sf = f"file://{tmp_path}"
+    docs(spark, [(i, f"{sentence(r, 60)}\n{sentence(r, 20)}") for i in range(20)]).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(0, sentence(r, 30))], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://").removeprefix("file:")) / "tessera"
+    before = {x.name for x in folder.iterdir()} if folder.exists() else set()
+    ran = corpus_pipeline.run(spark, sf)
+    left = {x.name.rsplit("-", 1)[0] for x in folder.iterdir() if x.name not in before}
+    assert not left & {"toxicity", "line_dedup", "minhash_dedup", "gone", "lines", "pairs", "links", "buckets"} and "decontaminate" in left
+    assert ran.count() == 20
+
+
 def test_every_operator_has_its_query():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
