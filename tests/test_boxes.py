@@ -76,6 +76,17 @@ def test_splits(spark, points, rule, depth, least):
                 assert min(below) >= max(1, sum(below) // 9)
 
 
+def test_splits_count_each_value_in_one_pass(spark, points, monkeypatch):
+    """Nodes of few values need no rounds over ranges, for values or ids; wide ones do, with the same cells."""
+    x, references = points
+    rounds = []
+    monkeypatch.setattr(splits, "nth", lambda *a, whole=splits.nth: rounds.append(1) or whole(*a))
+    by_count = {r.ref_id: r.cell_id for r in splits.split(references, 2, "midpoint").collect()}
+    assert not rounds
+    monkeypatch.setattr(splits, "MOST_VALUES", 2)
+    assert {r.ref_id: r.cell_id for r in splits.split(references, 2, "midpoint").collect()} == by_count and rounds
+
+
 def test_tree_of_boxes(spark):
     rng = np.random.default_rng(1)
     m = 37
