@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import column, stored
+from .common import column, release, stored
 
 SUCCESSOR_BITS = 24
 #: What is taken from every count of three words in a row, and given to the words that weren't seen after the two.
@@ -365,6 +365,8 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     blocks, bits = _blocks(docs, id_col, text_col, train)
     messages = blocks.groupBy("block").applyInPandas(lambda f: _send(f, bits), MESSAGE)
     answers = stored(messages.groupBy("kind", "shard").applyInPandas(_answer, ANSWER), "answers")
+    del messages
+    release(docs.sparkSession)  # texts and messages that were shuffled on the way: texts are shuffled once more below
     # a fixed number of sums, whatever the input
     sums = answers.where("kind = 0").select(F.posexplode("stats").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n"))
     stats = np.zeros(3 + 2 * BUCKETS)

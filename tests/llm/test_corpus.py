@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, components, decontaminate, embedding_dedup, exchange, line_dedup, lm_score, minhash_dedup, secret_scan, skew, token_count, toxicity, warc
+from tessera.llm import byte_bpe, common, components, decontaminate, embedding_dedup, exchange, line_dedup, lm_score, minhash_dedup, secret_scan, skew, token_count, toxicity, warc
 
 from ..conftest import SF
 from .helpers import EDGE, docs, labels
@@ -357,6 +358,28 @@ def shingles(t):
     return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
 
+def _shuffled(spark):
+    """Bytes of shuffle files that lie on this machine's disks."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    each = [files.apply(i) for i in range(files.size())]
+    return sum(f.length() for f in each if f.getName().startswith("shuffle_") and f.getName().endswith(".data"))
+
+
+def test_language_model_drops_what_it_sent(spark):
+    """Texts are shuffled once more for the answers: the first time's files, and the messages', are gone by then."""
+    rng = np.random.default_rng(8)
+    table = docs(spark, [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 300))) for i in range(300)]).repartition(4).cache()
+    table.count()
+    common.release(spark)
+    before = _shuffled(spark)
+    found = lm_score.scores(table, F.lit(True))
+    time.sleep(1)  # files are deleted in the background
+    left = _shuffled(spark) - before
+    assert left < 200_000  # texts alone are about a million bytes
+    assert found.count() == 300
+    table.unpersist()
+
+
 def test_language_model_tells_what_it_has_read_twice(spark):
     """By the score of a token, texts that occur twice stand above all that occur once."""
     r = random.Random(17)
