@@ -21,7 +21,10 @@ def dequantize(q: Column, scale: int = SCALE) -> Column:
 
 
 def quantized(df: DataFrame, keep: Sequence[str] = ("id",), vector: Sequence[str] = tuple(V), out: Sequence[str] = tuple(Q)) -> DataFrame:
-    return df.select(*keep, *[quantize(F.col(v)).alias(q) for v, q in zip(vector, out, strict=True)])
+    """The columns are quantized as one array: written out for each, they and what computes them made a generated method of
+    more than 8,000 bytes, which the JVM never compiles."""
+    rows = quantized_array(df.select(*keep, F.array(*[F.col(v).cast("double") for v in vector]).alias("__v")), "__v", keep, "__q")
+    return rows.select(*keep, *[F.get("__q", F.lit(i)).alias(q) for i, q in enumerate(out)])
 
 
 def quantized_array(df: DataFrame, vector: str, keep: Sequence[str], out: str = "q") -> DataFrame:

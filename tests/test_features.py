@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from tessera.constants import V, Normalization
 from tessera.functions import vectors as X
 from tessera.functions.features import clamp, mcc_risk, ratio, vectorize
+from tessera.plans import fixtures
 from tessera.sources import requests as S
 
+from .conftest import SF
+
 # Two requests and their vectors.
 LEGIT = """{"id":"a","transaction":{"amount":41.12,"installments":2,"requested_at":"2026-03-11T18:45:53Z"},"customer":{"avg_amount":82.24,"tx_count_24h":3,"known_merchants":["MERC-003","MERC-016"]},
 "merchant":{"id":"MERC-016","mcc":"5411","avg_amount":60.25},"terminal":{"is_online":false,"card_present":true,"km_from_home":29.23},"last_transaction":null}"""
@@ -83,3 +87,14 @@ def test_distances(spark):
     assert spark.range(1).select(X.squared_distance(lit(-10000, -10000), lit(5000, 5000))).first()[0] == 2 * 15000**2
     assert spark.range(1).select(X.squared_distance(lit(*[10000] * 64), lit(*[-10000] * 64))).first()[0] == 64 * 20000**2
     assert spark.range(1).select(X.box_distance(lit(5, 0, 9), lit(0, 1, 0), lit(9, 3, 7))).first()[0] == 1 + 4
+
+
+def test_generated_methods_are_compiled(spark, capsys):
+    """The JVM never compiles a method of more than 8,000 bytes: no stage from the tables to quantized vectors has one."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fixtures.vectors(spark, SF).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
