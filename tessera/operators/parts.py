@@ -2,9 +2,12 @@
 
 A scan of whole groups costs queries times references. Where that is much, the references of each group are put into parts
 of about PART_ROWS by a tree that a bounded sample shapes (all references are put into it), and lie in a part in leaves of
-LEAF rows by medians. A query meets the part whose box is nearest, then the next few, then all whose box is not farther than
-its k-th neighbour so far; within a part it goes by the boxes of the leaves in the same way. A box at exactly the bound is
-met, so that ties by id come out right: the result is that of the scan.
+LEAF rows by medians. A query meets the part whose box is nearest, then all whose box is not farther than its k-th neighbour
+so far; one that would meet more than WIDE of them meets the next few first. Within a part it goes by the boxes of the leaves
+in the same way. A box at exactly the bound is met, so that ties by id come out right: the result is that of the scan.
+
+Clusters are no boxes, and boxes around the parts of each overlap. So up to MOST_TOGETHER groups are divided together: a row
+knows its group, and a query the set of groups that it asks.
 """
 
 from __future__ import annotations
@@ -29,9 +32,13 @@ ASKED, SALT_ROWS, STRIP = 1 << 20, 262_144, 4096
 STRIP_BYTES, CACHED = 32 << 20, 128 << 10
 #: Ranks of parts that a round meets, and of leaves.
 ROUNDS, LEAVES = ((0, 1), (1, 8), (8, None)), (0, 1, 4, 16, 64)
-PIECE = "node bigint, grp bigint, n int, ids binary, data binary, extra binary"
-PART = "part bigint, grp bigint, n int, ids binary, data binary, extra binary, low binary, high binary"
-ASK = "part bigint, salt int, n int, q_ids binary, q_data binary, q_tau binary, q_step binary"
+#: Parts that a query meets at once, and ranks that it meets first if they are more; groups that are divided together.
+WIDE, NEXT, MOST_TOGETHER = 24, 8, 62
+#: More than what single precision errs by, as a share of the largest terms that are summed.
+ERROR = 4e-6
+PIECE = "node bigint, grp bigint, n int, ids binary, data binary, extra binary, own binary"
+PART = "part bigint, grp bigint, n int, ids binary, data binary, extra binary, own binary, has bigint, low binary, high binary"
+ASK = "part bigint, salt int, n int, q_ids binary, q_data binary, q_tau binary, q_step binary, q_asked binary"
 
 
 def _tasks(df: DataFrame) -> int:
@@ -100,18 +107,22 @@ def shape(samples: dict[int, np.ndarray], least: int) -> tuple[np.ndarray, np.nd
 
 
 class Parts:
-    """The parts of all groups: their frame, and for each its number, group, rows and box."""
+    """The parts of all groups: their frame, and for each its number, group, rows and box. Where groups are divided together,
+    `together` numbers them, and `has` is the set of those that a part holds."""
 
-    def __init__(self, frame: DataFrame, dims: int):
-        self.frame, self.dims = frame, dims
-        rows = frame.select("part", "grp", "n", "low", "high").collect()  # bounded: a row for tens of thousands of references
-        self.part, self.grp, self.n = (np.array([r[c] for r in rows], np.int64) for c in ("part", "grp", "n"))
+    def __init__(self, frame: DataFrame, dims: int, together: dict[int, int] | None = None):
+        self.frame, self.dims, self.together = frame, dims, together
+        rows = frame.select("part", "grp", "n", "has", "low", "high").collect()  # bounded: a row for tens of thousands of references
+        self.part, self.grp, self.n, self.has = (np.array([r[c] for r in rows], np.int64) for c in ("part", "grp", "n", "has"))
         self.low, self.high = (np.frombuffer(b"".join(bytes(r[c]) for r in rows), np.int32).reshape(-1, dims).astype(np.float64) for c in ("low", "high"))
 
 
-def divide(tiles: DataFrame, dims: int, sizes: dict[int, int]) -> Parts:
+def divide(tiles: DataFrame, dims: int, sizes: dict[int, int], together: bool = False) -> Parts:
     """Parts of tiles (grp, n, ids, data, extra), in whatever order those hold the references of groups of these sizes."""
     total = sum(sizes.values())
+    numbers = {g: i for i, g in enumerate(sorted(sizes))} if together else None
+    if together and len(sizes) > MOST_TOGETHER:
+        raise ValueError(f"more than {MOST_TOGETHER} groups can't be divided together")
     every = max(1, total // SAMPLE)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +135,8 @@ def divide(tiles: DataFrame, dims: int, sizes: dict[int, int]) -> Parts:
     drawn: dict[int, list] = {g: [] for g in sizes}
     for r in tiles.select("grp", "ids", "data").mapInArrow(sampled, "grp bigint, data binary").where(F.octet_length("data") > 0).collect():
         drawn[r["grp"]].append(np.frombuffer(bytes(r["data"]), np.int32).reshape(-1, dims))
+    if together:
+        drawn = {0: [x for d in drawn.values() for x in d]}
     samples = {g: np.concatenate(d).astype(np.float64) if d else np.zeros((0, dims)) for g, d in drawn.items()}
     dim, value, left, right, roots = shape(samples or {0: np.zeros((0, dims))}, max(1, PART_ROWS // every))
 
@@ -132,12 +145,12 @@ def divide(tiles: DataFrame, dims: int, sizes: dict[int, int]) -> Parts:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                node, grp, ids, data, extra = (np.concatenate(c) for c in zip(*held, strict=True))
+                node, grp, ids, data, extra, own = (np.concatenate(c) for c in zip(*held, strict=True))
                 sort = np.argsort(node, kind="stable")
-                node, grp, ids, data, extra = node[sort], grp[sort], ids[sort], data[sort], extra[sort]
+                node, grp, ids, data, extra, own = node[sort], grp[sort], ids[sort], data[sort], extra[sort], own[sort]
                 cuts = [0, *(np.flatnonzero(np.diff(node)) + 1).tolist(), len(node)]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    yield _batch(PIECE, ([node[a]], [grp[a]], [b - a], [ids[a:b].tobytes()], [data[a:b].tobytes()], [extra[a:b].tobytes()]))
+                    yield _batch(PIECE, ([node[a]], [grp[a]], [b - a], [ids[a:b].tobytes()], [data[a:b].tobytes()], [extra[a:b].tobytes()], [own[a:b].tobytes()]))
                 held.clear()
 
         for batch in batches:
@@ -145,11 +158,12 @@ def divide(tiles: DataFrame, dims: int, sizes: dict[int, int]) -> Parts:
                 row = batch.slice(s, 1).to_pylist()[0]
                 ids, extra = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["extra"], np.int32)
                 data = np.frombuffer(row["data"], np.int32).reshape(-1, dims)
-                node = np.full(len(ids), roots[row["grp"]])
+                grp = 0 if together else row["grp"]
+                node = np.full(len(ids), roots[grp])
                 while (inner := np.flatnonzero(left[node] >= 0)).size:
                     at = node[inner]
                     node[inner] = np.where(data[inner, dim[at]] < value[at], left[at], right[at])
-                held.append((node, np.full(len(ids), row["grp"]), ids, data, extra))
+                held.append((node, np.full(len(ids), grp), ids, data, extra, np.full(len(ids), numbers[row["grp"]] if together else 0, np.uint8)))
                 if sum(len(h[0]) for h in held) >= HELD:
                     yield from flush()
         yield from flush()
@@ -161,12 +175,13 @@ def divide(tiles: DataFrame, dims: int, sizes: dict[int, int]) -> Parts:
         def flush(whole: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, seq
             while size >= MOST_ROWS or (whole and size):
-                ids, data, extra = (np.concatenate(c) for c in zip(*held, strict=True))
-                rest = [(ids[MOST_ROWS:], data[MOST_ROWS:], extra[MOST_ROWS:])] if size > MOST_ROWS else []
-                ids, data, extra = ids[:MOST_ROWS], data[:MOST_ROWS], extra[:MOST_ROWS]
+                ids, data, extra, own = (np.concatenate(c) for c in zip(*held, strict=True))
+                rest = [tuple(c[MOST_ROWS:] for c in (ids, data, extra, own))] if size > MOST_ROWS else []
+                ids, data, extra, own = ids[:MOST_ROWS], data[:MOST_ROWS], extra[:MOST_ROWS], own[:MOST_ROWS]
                 order = by_leaves(data)
                 ends = data.min(axis=0).tobytes(), data.max(axis=0).tobytes()
-                yield _batch(PART, ([seq], [of[1]], [len(ids)], [ids[order].tobytes()], [data[order].tobytes()], [extra[order].tobytes()], [ends[0]], [ends[1]]))
+                has = int(np.bitwise_or.reduce(np.int64(1) << own.astype(np.int64)))
+                yield _batch(PART, ([seq], [of[1]], [len(ids)], [ids[order].tobytes()], [data[order].tobytes()], [extra[order].tobytes()], [own[order].tobytes()], [has], [ends[0]], [ends[1]]))
                 held, size, seq = rest, size - len(ids), seq + 1
 
         for batch in batches:
@@ -175,14 +190,14 @@ def divide(tiles: DataFrame, dims: int, sizes: dict[int, int]) -> Parts:
                 if of is not None and row["node"] != of[0]:
                     yield from flush(True)
                 of = row["node"], row["grp"]
-                held.append((np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.int32).reshape(-1, dims), np.frombuffer(row["extra"], np.int32)))
+                held.append((np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"], np.int32).reshape(-1, dims), np.frombuffer(row["extra"], np.int32), np.frombuffer(row["own"], np.uint8)))
                 size += row["n"]
                 yield from flush(False)
         yield from flush(True)
 
     pieces = tiles.select("grp", "ids", "data", "extra").mapInArrow(dealt, PIECE)
     made = pieces.repartition(_tasks(tiles), "node").sortWithinPartitions("node").mapInArrow(packed, PART)
-    return Parts(kept(made, lasting=True), dims)
+    return Parts(kept(made, lasting=True), dims, numbers)
 
 
 def fits(sizes: dict[int, int], asked: dict[int, int]) -> bool:
@@ -191,8 +206,22 @@ def fits(sizes: dict[int, int], asked: dict[int, int]) -> bool:
     return pairs >= MOST_PAIRS and sum(-(-n // PART_ROWS) for n in sizes.values()) <= MOST_PARTS
 
 
-def rows_of(asked: DataFrame, dims: int) -> DataFrame:
-    """(qid, data, groups, steps) of blocks of queries: one row a query."""
+def rows_of(asked: DataFrame, dims: int, together: dict[int, int] | None = None) -> DataFrame:
+    """(qid, data, groups, steps) of blocks of queries: one row a query; (qid, data, asked), with the set of groups, where they
+    are divided together."""
+    if together is not None:
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    # a group without references has no number
+                    if row["n"]:
+                        one = 1 << together[row["grp"]] if row["grp"] in together else 0
+                        wide = 4 * dims
+                        yield _batch("qid bigint, asked bigint, data binary", (np.frombuffer(row["q_ids"], np.int64), np.full(row["n"], one), [row["q_data"][s : s + wide] for s in range(0, row["n"] * wide, wide)]))
+
+        each = asked.select("grp", "n", "q_ids", "q_data").mapInArrow(sets, "qid bigint, asked bigint, data binary")
+        return each.groupBy("qid").agg(F.first("data").alias("data"), F.bit_or("asked").alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,18 +266,34 @@ def bounds(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return total
 
 
-def asks(asking: DataFrame, parts: Parts, first: int, upto: int | None, later: bool) -> DataFrame:
-    """ASK: the parts that queries (qid, data, tau; maybe groups, steps) meet, by rank of (bound, part) from first on, as far
-    as they are not beyond tau. Only groups of a query's least step count, or with `later` only the others."""
-    dims, number, low, high = parts.dims, parts.part, parts.low, parts.high
+def asks(asking: DataFrame, parts: Parts, first: int, upto: int | None, later: bool, wide: int | None = None) -> DataFrame:
+    """ASK: the parts that queries (qid, data, tau; maybe groups, steps, or asked) meet, by rank of (bound, part) from first on,
+    as far as they are not beyond tau. Only groups of a query's least step count, or with `later` only the others. Queries
+    with more than `wide` parts meet those of ranks below NEXT, and are listed as part -1."""
+    dims, number, low, high, has = parts.dims, parts.part, parts.low, parts.high, parts.has
     groups, of = np.unique(parts.grp, return_inverse=True)
     size = max(1, len(number))
     strip = max(1, STRIP_BYTES // (8 * size))
-    by_group = "groups" in asking.columns
-
-    def chosen(x: np.ndarray, tau: np.ndarray, lists: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    by_group, by_set = "groups" in asking.columns, "asked" in asking.columns
+    whole = int(np.bitwise_or.reduce(has)) if len(has) else 0
+
+    def ranked(near: np.ndarray, home: np.ndarray, first: int, upto: int | None) -> np.ndarray:
+        """Whether parts are of rank first to upto; the nearest one is of rank 0."""
+        out = np.ones(near.shape, bool)
+        # whole numbers that no two parts share
+        key = np.where(np.isfinite(near), near, 1 << 40).astype(np.int64) * (1 << 17) + np.arange(near.shape[1])
+        key[np.arange(len(key)), home] = -1
+        for bound, side in ((first, True), (upto, False)):
+            if bound and bound < key.shape[1]:
+                edge = np.partition(key, bound, axis=1)[:, bound, None]
+                out &= (key >= edge) if side else (key < edge)
+            elif bound and side:
+                out[:] = False
+        return out
+
+    def chosen(x: np.ndarray, tau: np.ndarray, lists: tuple | None, sets: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         near = bounds(x, low, high)
-        step = np.zeros(near.shape, np.int32)
+        step = None
         if lists is not None:
             row, grp, own = lists
             at = np.minimum(np.searchsorted(groups, grp), len(groups) - 1)
@@ -258,29 +303,36 @@ def asks(asking: DataFrame, parts: Parts, first: int, upto: int | None, later: b
             least = told.min(axis=1)
             step = told[:, of]
             near[(step == 1 << 30) | ((step > least[:, None]) != later)] = np.inf
-        inside = np.isfinite(near) & (near <= tau[:, None])
-        if first or upto is not None:
-            # whole numbers that no two parts share
-            key = np.where(np.isfinite(near), near, 1 << 40).astype(np.int64) * (1 << 17) + np.arange(near.shape[1])
-            for bound, side in ((first, True), (upto, False)):
-                if bound and bound < key.shape[1]:
-                    edge = np.partition(key, bound, axis=1)[:, bound, None]
-                    inside &= (key >= edge) if side else (key < edge)
-                elif bound and side:
-                    inside[:] = False
-        i, j = np.nonzero(inside)
-        return i, j, step[i, j]
+        if sets is not None and (sets & whole != whole).any():
+            near[(sets[:, None] & has[None, :]) == 0] = np.inf
+        rows, many = np.arange(len(x)), np.zeros(0, np.int64)
+        home = near.argmin(axis=1)
+        if (first, upto) == (0, 1):
+            i = np.flatnonzero(np.isfinite(near[rows, home]) & (near[rows, home] <= tau))
+            j = home[i]
+        else:
+            inside = np.isfinite(near) & (near <= tau[:, None])
+            if first == 1:
+                inside[rows, home] = False
+            if first > 1 or upto is not None:
+                inside &= ranked(near, home, first, upto)
+            if wide is not None:
+                many = np.flatnonzero(inside.sum(axis=1) > wide)
+                if len(many):
+                    inside[many] &= ranked(near[many], home[many], 0, NEXT)
+            i, j = np.nonzero(inside)
+        return i, j, np.zeros(len(i), np.int32) if step is None else step[i, j], many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                j, ids, data, tau, step = (np.concatenate(c) for c in zip(*held, strict=True))
+                j, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
                 sort = np.argsort(j, kind="stable")
-                j, ids, data, tau, step = j[sort], ids[sort], data[sort], tau[sort], step[sort]
+                j, columns = j[sort], [c[sort] for c in columns]
                 cuts = [0, *(np.flatnonzero(np.diff(j)) + 1).tolist(), len(j)]
-                out = [(number[j[a]], 0, b - a, ids[a:b].tobytes(), data[a:b].tobytes(), tau[a:b].tobytes(), step[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+                out = [(number[j[a]], 0, b - a, *(c[a:b].tobytes() for c in columns)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
                 if out:
                     yield _batch(ASK, list(zip(*out, strict=True)))
                 held.clear()
@@ -289,6 +341,7 @@ def asks(asking: DataFrame, parts: Parts, first: int, upto: int | None, later: b
         for batch in batches:
             ids, tau = batch["qid"].to_numpy(), batch["tau"].to_numpy()
             data = np.frombuffer(b"".join(batch["data"].to_pylist()), np.int32).reshape(-1, dims)
+            asked = batch["asked"].to_numpy() if by_set else np.zeros(len(ids), np.int64)
             if by_group:
                 lists = batch["groups"]
                 offsets, grp, own = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), batch["steps"].flatten().to_numpy()
@@ -297,8 +350,12 @@ def asks(asking: DataFrame, parts: Parts, first: int, upto: int | None, later: b
                 if by_group:
                     a, b = offsets[s], offsets[e]
                     some = np.repeat(np.arange(e - s), np.diff(offsets[s : e + 1])), grp[a:b], own[a:b]
-                i, j, step = chosen(data[s:e].astype(np.float64), tau[s:e], some)
-                held.append((j, ids[s:e][i], data[s:e][i], tau[s:e][i], step))
+                if not len(number):
+                    continue
+                i, j, step, many = chosen(data[s:e].astype(np.float64), tau[s:e], some, asked[s:e] if by_set else None)
+                if len(many):
+                    yield _batch(ASK, ([-1], [0], [len(many)], [ids[s:e][many].tobytes()], [b""], [b""], [b""], [b""]))
+                held.append((j, ids[s:e][i], data[s:e][i], tau[s:e][i], step, asked[s:e][i]))
                 seen += len(i)
                 if seen >= ASKED:
                     yield from flush()
@@ -308,42 +365,71 @@ def asks(asking: DataFrame, parts: Parts, first: int, upto: int | None, later: b
     return asking.mapInArrow(run, ASK)
 
 
-def nearest(q: np.ndarray, tau: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of q, rows of r, squared distances) of the k nearest not beyond tau, by (distance, id); r lies in its leaves."""
+def nearest(q: np.ndarray, tau: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, asked: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of q, rows of r, squared distances) of the k nearest not beyond tau, by (distance, id); r lies in its leaves. With
+    asked, only rows whose group `own` is in a query's set count.
+
+    Distances are computed in single precision first, and exactly for rows that may be near enough after what it errs by.
+    """
     starts = ranges(len(r))
     ends = np.r_[starts[1:], len(r)]
     low, high = (f.reduceat(r, starts, axis=0).astype(np.float64) for f in (np.minimum, np.maximum))
-    ref = r.astype(np.float64)
+    middle = np.floor((low.min(axis=0) + high.max(axis=0)) / 2)
+    ref = r - middle
     norm = (ref * ref).sum(axis=1)
-    turned = np.ascontiguousarray(ref.T) * -2
+    reach = np.sqrt(norm.max())
+    # a row times a column is the whole distance
+    turned = np.concatenate([ref.T * -2, np.ones((1, len(r))), norm[None]]).astype(np.float32)
+    if asked is not None:
+        has = np.bitwise_or.reduceat(np.int64(1) << own.astype(np.int64), starts)
+        whole = np.bitwise_or.reduce(has)
+        if (asked & whole == whole).all():
+            asked = None
     out = []
     for s in range(0, len(q), STRIP):
-        x, most = q[s : s + STRIP].astype(np.float64), tau[s : s + STRIP].copy()
-        own = (x * x).sum(axis=1)
-        near = bounds(x, low, high)
-        order = np.argsort(near, axis=1, kind="stable")
-        near = np.take_along_axis(near, order, axis=1)
+        x, most = q[s : s + STRIP] - middle, tau[s : s + STRIP].copy()
+        square = (x * x).sum(axis=1)
+        errs = ERROR * (np.sqrt(square) + reach) ** 2 + 1
+        row32 = np.concatenate([x, square[:, None], np.ones((len(x), 1))], axis=1).astype(np.float32)
+        sets = None if asked is None else asked[s : s + STRIP]
+        near = bounds(q[s : s + STRIP], low, high)
+        if sets is not None:
+            near[(sets[:, None] & has[None, :]) == 0] = np.inf
+        near[~np.isfinite(near)] = np.nan  # never met
+        open_ = not np.isfinite(most).all()
+        if open_:
+            order = np.argsort(near, axis=1, kind="stable")
+            near = np.take_along_axis(near, order, axis=1)
+        stages = list(zip(LEAVES, (*LEAVES[1:], len(starts)), strict=True)) if open_ else [(0, len(starts))]
         top = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
-        for a, b in zip(LEAVES, (*LEAVES[1:], len(starts)), strict=True):
+        for a, b in stages:
             i, at = np.nonzero(near[:, a:b] <= most[:, None])
             if not len(i):
                 break  # boxes only get farther
-            leaf = order[i, a + at]
+            leaf = order[i, a + at] if open_ else at
             sort = np.argsort(leaf, kind="stable")
             i, leaf = i[sort], leaf[sort]
+            part = None if sets is None else (sets[i] & has[leaf]) != has[leaf]
             cuts = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
-            hits = [top]
+            hits = []
             for c, e in zip(cuts[:-1], cuts[1:], strict=True):
                 rows, f, t = i[c:e], starts[leaf[c]], ends[leaf[c]]
-                d = x[rows] @ turned[:, f:t]
-                d += own[rows][:, None]
-                d += norm[f:t]
+                d = row32[rows] @ turned[:, f:t]
                 limit = most[rows]
-                if a == 0 and t - f > k:
-                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
-                hit, col = np.nonzero(d <= limit[:, None])
-                hits.append((rows[hit], col + f, d[hit, col]))
-            row, col, d = (np.concatenate(c) for c in zip(*hits, strict=True))
+                if open_ and a == 0 and t - f > k:
+                    if part is not None and part[c:e].any():
+                        some = np.flatnonzero(part[c:e])
+                        d[some] = np.where((sets[rows[some], None] >> own[None, f:t].astype(np.int64)) & 1, d[some], np.inf)
+                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] + errs[rows])
+                hit, col = np.divmod(np.flatnonzero(d <= (limit + errs[rows]).astype(np.float32)[:, None]), t - f)
+                hits.append((rows[hit], col + f))
+            row, col = (np.concatenate(c) for c in zip(*hits, strict=True))
+            d = x[row] - ref[col]
+            d = np.einsum("ij,ij->i", d, d)
+            good = d <= most[row]
+            if sets is not None:
+                good &= (sets[row] >> own[col].astype(np.int64)) & 1 == 1
+            row, col, d = (np.concatenate(c) for c in zip(top, (row[good], col[good], d[good]), strict=True))
             keep = nearest_of((ids[col], d), (row,), k)
             top = row[keep], col[keep], d[keep]
             count = np.bincount(top[0], minlength=len(x))
@@ -356,9 +442,10 @@ def nearest(q: np.ndarray, tau: np.ndarray, r: np.ndarray, ids: np.ndarray, k: i
 
 def _meet(asked: DataFrame, parts: Parts, k: int, with_step: bool) -> DataFrame:
     """FOUND of what is asked; parts that very many queries ask are given to several groups."""
-    spark, dims, schema = asked.sparkSession, parts.dims, FOUND_STEP if with_step else FOUND
+    spark, dims, schema, by_set = asked.sparkSession, parts.dims, FOUND_STEP if with_step else FOUND, parts.together is not None
+    asked = asked.where("part >= 0")
     hot = {r["part"]: -(-r["n"] // SALT_ROWS) for r in asked.groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > SALT_ROWS).collect()}  # at most all parts
-    frame = parts.frame.select("part", "ids", "data", "extra").withColumn("salt", F.lit(0))
+    frame = parts.frame.select("part", "ids", "data", "extra", "own").withColumn("salt", F.lit(0))
     if hot:
         told = F.broadcast(spark.createDataFrame(sorted(hot.items()), "part bigint, salts int"))
         salts = F.coalesce(F.col("salts"), F.lit(1))
@@ -372,32 +459,53 @@ def _meet(asked: DataFrame, parts: Parts, k: int, with_step: bool) -> DataFrame:
             q = np.frombuffer(b"".join(left["q_data"].to_pylist()), np.int32).reshape(-1, dims)
             if len(q):
                 ids = np.frombuffer(part["ids"], np.int64)
-                i, j, d = nearest(q, q_tau, np.frombuffer(part["data"], np.int32).reshape(-1, dims), ids, k)
+                sets = (np.frombuffer(b"".join(left["q_asked"].to_pylist()), np.int64), np.frombuffer(part["own"], np.uint8)) if by_set else ()
+                i, j, d = nearest(q, q_tau, np.frombuffer(part["data"], np.int32).reshape(-1, dims), ids, k, *sets)
                 found.append(_batch(schema, (q_ids[i], ids[j], d, np.frombuffer(part["extra"], np.int32)[j], *([q_step[i]] if with_step else []))))
         return pa.Table.from_batches(found) if found else pa.Table.from_batches([_batch(schema, [[]] * len(schema.split(", ")))])
 
-    asked = asked.select("part", "salt", "q_ids", "q_data", "q_tau", "q_step")
-    tasks = _tasks(asked)
+    asked = asked.select("part", "salt", "q_ids", "q_data", "q_tau", "q_step", "q_asked")
+    tasks = 4 * _tasks(asked)  # parts are asked by more or fewer queries
     return asked.repartition(tasks, "part", "salt").groupBy("part", "salt").cogroup(frame.repartition(tasks, "part", "salt").groupBy("part", "salt")).applyInArrow(run, schema)
 
 
 def search(asking: DataFrame, parts: Parts, k: int, known: DataFrame | None = None, with_step: bool = False) -> DataFrame:
-    """FOUND (FOUND_STEP) among the parts of the groups that (qid, data; maybe groups, steps) ask: for each query the k nearest
-    are there, and with steps those of every step and the ones before it. known is what was found elsewhere."""
+    """FOUND (FOUND_STEP) among the parts of the groups that (qid, data; maybe groups, steps, or asked) ask: for each query the k
+    nearest are there, and with steps those of every step and the ones before it. known is what was found elsewhere."""
     columns = ["qid", "d2"]
     asking = kept(asking)
     # what lies beyond the k-th of an earlier step is beyond it for all later ones
     near = None if known is None or with_step else known.select(*columns)
     out: DataFrame | None = None
-    for first, upto, later in [(a, b, False) for a, b in ROUNDS] + ([(0, None, True)] if with_step else []):
+    if with_step:
+        rounds = [(a, b, False, None) for a, b in ROUNDS] + [(0, None, True, None)]
+    else:
+        rounds = [*([(0, 1, False, None)] if near is None else []), (1 if near is None else 0, None, False, WIDE), (NEXT, None, False, None)]
+    for first, upto, later, wide in rounds:
         if near is None:
             told = asking.withColumn("tau", F.lit(float("inf")))
         else:
             kth = F.get(F.array_sort(F.collect_list("d2")), F.lit(k - 1))
             tau = near.groupBy("qid").agg(F.coalesce(kth.cast("double"), F.lit(float("inf"))).alias("tau"))
             told = asking.join(tau, "qid", "left").withColumn("tau", F.coalesce("tau", F.lit(float("inf"))))
-        asked = kept(asks(told, parts, first, upto, later))
+        asked = kept(asks(told, parts, first, upto, later, wide))
         got = kept(_meet(asked, parts, k, with_step))
         near = got.select(*columns) if near is None else near.unionByName(got.select(*columns))
         out = got if out is None else out.unionByName(got)
+        if wide is not None:
+            listed = asked.where("part < 0")
+            if listed.isEmpty():
+                break
+            # those that go on are written once
+            asking = kept(asking.join(_ids(listed), "qid", "left_semi"))
     return out
+
+
+def _ids(listed: DataFrame) -> DataFrame:
+    """(qid) of what asks() lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch("qid bigint", (np.frombuffer(b"".join(batch["q_ids"].to_pylist()), np.int64),))
+
+    return listed.select("q_ids").mapInArrow(run, "qid bigint")

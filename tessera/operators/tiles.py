@@ -85,7 +85,7 @@ class Tiles:
     def __init__(self, frame: DataFrame, shard_of: Callable[[int], int] | None = None):
         self.frame, self.shard_of = frame, shard_of
         self._sizes: dict[int, int] | None = None
-        self._parts: parts.Parts | None = None
+        self._parts: dict[bool, parts.Parts] = {}
 
     @property
     def sizes(self) -> dict[int, int]:
@@ -97,11 +97,11 @@ class Tiles:
     def count(self) -> int:
         return sum(self.sizes.values())
 
-    def parts(self, dims: int) -> parts.Parts:
-        """The groups in parts that lie apart, made once."""
-        if self._parts is None:
-            self._parts = parts.divide(self.frame.select("grp", "n", "ids", "data", "extra"), dims, self.sizes)
-        return self._parts
+    def parts(self, dims: int, together: bool = False) -> parts.Parts:
+        """The groups in parts that lie apart, made once: each by itself, or together."""
+        if together not in self._parts:
+            self._parts[together] = parts.divide(self.frame.select("grp", "n", "ids", "data", "extra"), dims, self.sizes, together)
+        return self._parts[together]
 
     def preload(self) -> Tiles:
         """Has the executors hold the tiles, in memory or on their disks; a lost executor's are read again from the index."""
@@ -111,9 +111,9 @@ class Tiles:
 
     def release(self) -> None:
         self.frame.unpersist()
-        if self._parts is not None:
-            forget(self._parts.frame)
-            self._parts = None
+        for made in self._parts.values():
+            forget(made.frame)
+        self._parts = {}
 
 
 class Counters:
@@ -198,7 +198,8 @@ def scan(index: Tiles, asked: DataFrame, dims: int, k: int, capped: bool = False
     if not capped:
         wanted = {r["grp"]: r["n"] for r in asked.groupBy("grp").agg(F.sum("n").alias("n")).collect()}  # groups are bounded by a parameter
         if parts.fits(index.sizes, wanted):
-            return parts.search(parts.rows_of(asked, dims), index.parts(dims), k, known, with_step)
+            divided = index.parts(dims, together=not with_step and len(index.sizes) <= parts.MOST_TOGETHER)
+            return parts.search(parts.rows_of(asked, dims, divided.together), divided, k, known, with_step)
     size = asked.agg(F.coalesce(F.sum(F.octet_length("q_ids") * 2 + F.octet_length("q_data") + F.octet_length("q_step")), F.lit(0))).first()[0]
     source, out = index.frame, FOUND_STEP if with_step else FOUND
     small = size <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)

@@ -86,3 +86,34 @@ def test_leaves_prune():
     assert (near <= full.min(axis=1)[:, None]).mean() < 0.1
     exact = np.minimum.reduceat(full, starts, axis=1)
     assert (near <= exact).all()
+
+
+def test_sets_of_groups():
+    """A query finds only rows of the groups that it asks, also where a leaf holds rows of several."""
+    rng = np.random.default_rng(6)
+    r = rng.integers(0, 300, (1500, 4)).astype(np.int32)
+    r = r[parts.by_leaves(r)]
+    q, ids, own = rng.integers(0, 300, (200, 4)).astype(np.int32), rng.permutation(len(r)), rng.integers(0, 5, len(r)).astype(np.uint8)
+    asked = rng.integers(0, 32, len(q))
+    full = ((q[:, None].astype(np.int64) - r[None]) ** 2).sum(axis=2)
+    for tau in (np.inf, 900.0):
+        i, j, d = parts.nearest(q, np.full(len(q), tau), r, ids, 5, asked, own)
+        want = []
+        for a in range(len(q)):
+            may = np.flatnonzero((asked[a] >> own.astype(np.int64)) & 1 & (full[a] <= tau))
+            want += [(a, ids[b], full[a, b]) for b in may[np.lexsort((ids[may], full[a, may]))][:5]]
+        assert [(a, ids[b], c) for a, b, c in zip(i, j, d, strict=True)] == want
+
+
+def test_groups_together(sides, monkeypatch):
+    """Clusters are divided together, a part holds rows of several, and queries that meet many parts go on by rank."""
+    q, r, queries, references = sides
+    centroids, assigned = index.build_ivf(references, clusters=7, rounds=1)
+    assigned = as_tiles(kept(assigned))
+    want = rows(ivf.search(queries, centroids, assigned, base=3, most=3))
+    for name, value in {"MOST_PAIRS": 0, "PART_ROWS": 120, "WIDE": 2, "NEXT": 3}.items():
+        monkeypatch.setattr(parts, name, value)
+    assert rows(ivf.search(queries, centroids, assigned, base=3, most=3)) == want
+    divided = assigned.parts(14, together=True)
+    assert sum(divided.n) == len(r)
+    assert any(bin(h).count("1") > 1 for h in divided.has.tolist())
