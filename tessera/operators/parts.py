@@ -36,6 +36,11 @@ ROUNDS, LEAVES = ((0, 1), (1, 8), (8, None)), (0, 1, 4, 16, 64)
 WIDE, NEXT, MOST_TOGETHER = 24, 8, 62
 #: More than what single precision errs by, as a share of the largest terms that are summed.
 ERROR = 4e-6
+#: Rows that wait for their exact distances at a time, and rows of a leaf that are near enough, in multiples of k for each query,
+#: above which only those go on that the leaf's own k nearest leave.
+HITS, MOST_HITS = 1 << 17, 2
+#: Nearly the largest number of single precision: a limit that only infinity exceeds.
+LARGEST = 3e38
 PIECE = "node bigint, grp bigint, n int, ids binary, data binary, extra binary, own binary"
 PART = "part bigint, grp bigint, n int, ids binary, data binary, extra binary, own binary, has bigint, low binary, high binary"
 ASK = "part bigint, salt int, n int, q_ids binary, q_data binary, q_tau binary, q_step binary, q_asked binary"
@@ -369,7 +374,8 @@ def nearest(q: np.ndarray, tau: np.ndarray, r: np.ndarray, ids: np.ndarray, k: i
     """(rows of q, rows of r, squared distances) of the k nearest not beyond tau, by (distance, id); r lies in its leaves. With
     asked, only rows whose group `own` is in a query's set count.
 
-    Distances are computed in single precision first, and exactly for rows that may be near enough after what it errs by.
+    Distances are computed in single precision first, and exactly for rows that may be near enough after what it errs by. Where
+    tau is loose these are many: they are settled HITS at a time, which tightens the bound, so that memory doesn't grow with them.
     """
     starts = ranges(len(r))
     ends = np.r_[starts[1:], len(r)]
@@ -402,40 +408,68 @@ def nearest(q: np.ndarray, tau: np.ndarray, r: np.ndarray, ids: np.ndarray, k: i
             near = np.take_along_axis(near, order, axis=1)
         stages = list(zip(LEAVES, (*LEAVES[1:], len(starts)), strict=True)) if open_ else [(0, len(starts))]
         top = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        hits: list[tuple] = []
+        waiting = 0
+
+        def limits(rows: np.ndarray, limit: np.ndarray) -> np.ndarray:
+            return np.minimum(limit + errs[rows], LARGEST).astype(np.float32)[:, None]
+
+        def settle() -> None:
+            """Takes what waits into the k nearest so far, by exact distances."""
+            nonlocal top, most, waiting
+            row, col = (np.concatenate(c) for c in zip(*hits, strict=True))
+            hits.clear()
+            waiting = 0
+            for h in range(0, len(row), HITS):
+                r_, c_ = row[h : h + HITS], col[h : h + HITS]
+                d = x[r_] - ref[c_]
+                d = np.einsum("ij,ij->i", d, d)
+                good = d <= most[r_]
+                r_, c_, d = (np.concatenate(c) for c in zip(top, (r_[good], c_[good], d[good]), strict=True))
+                keep = nearest_of((ids[c_], d), (r_,), k)
+                top = r_[keep], c_[keep], d[keep]
+                count = np.bincount(top[0], minlength=len(x))
+                last = np.full(len(x), -1.0)
+                np.maximum.at(last, top[0], top[2])
+                most = np.where(count >= k, np.minimum(most, last), most)
+
         for a, b in stages:
             i, at = np.nonzero(near[:, a:b] <= most[:, None])
             if not len(i):
                 break  # boxes only get farther
-            leaf = order[i, a + at] if open_ else at
+            bound, leaf = near[i, a + at], order[i, a + at] if open_ else at
             sort = np.argsort(leaf, kind="stable")
-            i, leaf = i[sort], leaf[sort]
+            i, leaf, bound = i[sort], leaf[sort], bound[sort]
             part = None if sets is None else (sets[i] & has[leaf]) != has[leaf]
             cuts = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
-            hits = []
             for c, e in zip(cuts[:-1], cuts[1:], strict=True):
                 rows, f, t = i[c:e], starts[leaf[c]], ends[leaf[c]]
+                some = None if part is None else part[c:e]
+                inside = bound[c:e] <= most[rows]  # what was settled meanwhile may rule the leaf out
+                if not inside.all():
+                    rows, some = rows[inside], None if some is None else some[inside]
+                if not len(rows):
+                    continue
                 d = row32[rows] @ turned[:, f:t]
-                limit = most[rows]
-                if open_ and a == 0 and t - f > k:
-                    if part is not None and part[c:e].any():
-                        some = np.flatnonzero(part[c:e])
-                        d[some] = np.where((sets[rows[some], None] >> own[None, f:t].astype(np.int64)) & 1, d[some], np.inf)
-                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] + errs[rows])
-                hit, col = np.divmod(np.flatnonzero(d <= (limit + errs[rows]).astype(np.float32)[:, None]), t - f)
+                near_enough = np.flatnonzero(d <= limits(rows, most[rows]))
+                mixed = np.flatnonzero(some) if some is not None else ()
+                if t - f > k and len(near_enough) > MOST_HITS * k * len(rows):
+                    # the k nearest of a leaf, of the groups that a query asks, bound what else it needs of it
+                    if len(mixed):
+                        d[mixed] = np.where((sets[rows[mixed], None] >> own[None, f:t].astype(np.int64)) & 1, d[mixed], np.inf)
+                    least = np.partition(d, k - 1, axis=1)[:, k - 1] + errs[rows]
+                    near_enough = np.flatnonzero(d <= limits(rows, np.minimum(most[rows], least)))
+                hit, col = np.divmod(near_enough, t - f)
+                if len(mixed):
+                    # rows of groups that a query doesn't ask are no candidates, however near
+                    asks_it = (sets[rows[hit]] >> own[f + col].astype(np.int64)) & 1 == 1
+                    hit, col = hit[asks_it], col[asks_it]
                 hits.append((rows[hit], col + f))
-            row, col = (np.concatenate(c) for c in zip(*hits, strict=True))
-            d = x[row] - ref[col]
-            d = np.einsum("ij,ij->i", d, d)
-            good = d <= most[row]
-            if sets is not None:
-                good &= (sets[row] >> own[col].astype(np.int64)) & 1 == 1
-            row, col, d = (np.concatenate(c) for c in zip(top, (row[good], col[good], d[good]), strict=True))
-            keep = nearest_of((ids[col], d), (row,), k)
-            top = row[keep], col[keep], d[keep]
-            count = np.bincount(top[0], minlength=len(x))
-            last = np.full(len(x), -1.0)
-            np.maximum.at(last, top[0], top[2])
-            most = np.where(count >= k, np.minimum(most, last), most)
+                waiting += len(hit)
+                if waiting >= HITS:
+                    settle()
+            if hits:
+                settle()
         out.append((top[0] + s, top[1], top[2].astype(np.int64)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 

@@ -7,6 +7,7 @@ import pytest
 
 from tessera.operators import cells, ivf, knn, parts
 from tessera.operators.tiles import as_tiles
+from tessera.operators.topk import nearest_of
 from tessera.plans import index
 from tessera.plans.storage import kept
 
@@ -117,3 +118,26 @@ def test_groups_together(sides, monkeypatch):
     divided = assigned.parts(14, together=True)
     assert sum(divided.n) == len(r)
     assert any(bin(h).count("1") > 1 for h in divided.has.tolist())
+
+
+def test_loose_bound(monkeypatch):
+    """Where tau is loose, rows that wait for exact distances are bounded, and those of groups that aren't asked never wait."""
+    rng = np.random.default_rng(9)
+    r = rng.integers(0, 300, (3000, 4)).astype(np.int32)
+    r = r[parts.by_leaves(r)]
+    q, ids, own = rng.integers(0, 300, (100, 4)).astype(np.int32), rng.permutation(len(r)), rng.integers(0, 5, len(r)).astype(np.uint8)
+    asked = np.int64(1) << rng.integers(0, 5, len(q))
+    full = ((q[:, None].astype(np.int64) - r[None]) ** 2).sum(axis=2)
+    seen = []
+    monkeypatch.setattr(parts, "HITS", 500, raising=False)
+    monkeypatch.setattr(parts, "nearest_of", lambda order, keys, k: (seen.append(len(keys[0])), nearest_of(order, keys, k))[1])
+    for sets in (None, asked):
+        for tau in (np.inf, 1e6):
+            i, j, d = parts.nearest(q, np.full(len(q), tau), r, ids, 5, sets, None if sets is None else own)
+            want = []
+            for a in range(len(q)):
+                may = np.arange(len(r)) if sets is None else np.flatnonzero((asked[a] >> own.astype(np.int64)) & 1)
+                want += [(a, ids[b], full[a, b]) for b in may[np.lexsort((ids[may], full[a, may]))][:5]]
+            assert [(a, ids[b], c) for a, b, c in zip(i, j, d, strict=True)] == want
+    # what waits, and the k nearest so far
+    assert max(seen) <= 500 + 5 * len(q)
