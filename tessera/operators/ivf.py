@@ -139,7 +139,7 @@ def search(queries: DataFrame, centroids: DataFrame, assigned: DataFrame | Tiles
 
     def scanned(asking: DataFrame, first: int, last: int, known: DataFrame | None = None) -> DataFrame:
         asked = blocks(asking, _few(centroids, first, last, sizes, cap, vector), vector, query_id)
-        return scan(index, asked, len(vector), k, capped=cap is not None, counters=counters, known=known)
+        return scan(index, asked, len(vector), k, cap=cap, counters=counters, known=known)
 
     if most <= base:
         return kernel.best(scanned(queries, 1, base), k)

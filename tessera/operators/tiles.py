@@ -72,11 +72,12 @@ def sizes(tiles: DataFrame) -> dict[int, int]:
     return {r["grp"]: r["n"] for r in tiles.groupBy("grp").agg(F.sum("n").alias("n")).collect()}
 
 
-def before(tiles: DataFrame) -> DataFrame:
-    """tiles with how many references of their group lie in tiles before them, from the small columns of the tiles alone."""
+def before(tiles: DataFrame, cap: int) -> DataFrame:
+    """The tiles before which fewer than `cap` references of their group lie, with their number, from the small columns of the
+    tiles alone: a few rows a group."""
     upto = Window.partitionBy("grp").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     small = tiles.select("grp", "seq", "n").withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)).cast("bigint")).drop("n")
-    return tiles.join(small, ["grp", "seq"])
+    return tiles.join(F.broadcast(small.where(F.col("before") < cap)), ["grp", "seq"])
 
 
 class Tiles:
@@ -187,14 +188,14 @@ def _arrays(row, dims: int) -> tuple:
     return (np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_data"], np.int32).reshape(-1, dims), np.frombuffer(row["q_take"], np.int64), np.frombuffer(row["q_step"], np.int32))
 
 
-def scan(index: Tiles, asked: DataFrame, dims: int, k: int, capped: bool = False, with_step: bool = False, broadcast_bytes: int | None = None, counters: Counters | None = None, known: DataFrame | None = None) -> DataFrame:
+def scan(index: Tiles, asked: DataFrame, dims: int, k: int, cap: int | None = None, with_step: bool = False, broadcast_bytes: int | None = None, counters: Counters | None = None, known: DataFrame | None = None) -> DataFrame:
     """FOUND: what is nearest to each query of the blocks `asked` among the tiles of its groups, at most k rows a query and task.
 
-    capped: takes bind. with_step: FOUND_STEP, k rows a query, step and task. Where the tiles' files are in folders of
-    shards, only those of the groups that are asked are read. Where queries times references are many, groups are searched
+    cap: takes bind, none of which is larger; tiles that lie beyond it in their group meet no query. with_step: FOUND_STEP, k rows
+    a query, step and task. Where the tiles' files are in folders of shards, only those of the groups that are asked are read. Where queries times references are many, groups are searched
     by parts that lie apart; then known (qid, d2), which was found in other groups, tells how far a query needs to look.
     """
-    asked = kept(counters.watch(asked) if counters else asked)
+    asked, capped = kept(counters.watch(asked) if counters else asked), cap is not None
     if not capped:
         wanted = {r["grp"]: r["n"] for r in asked.groupBy("grp").agg(F.sum("n").alias("n")).collect()}  # groups are bounded by a parameter
         if parts.fits(index.sizes, wanted):
@@ -210,8 +211,15 @@ def scan(index: Tiles, asked: DataFrame, dims: int, k: int, capped: bool = False
         source = source.where(F.col("grp").isin(sorted(found)) if found else F.lit(False))
         if index.shard_of and found:
             source = source.where(F.col("shard").isin(sorted({index.shard_of(g) for g in found})))
-    source = (before(source) if capped else source.withColumn("before", F.lit(0).cast("bigint"))).select("grp", "ids", "data", "extra", "before")
-    if not small:
+    source = before(source, cap) if capped else source.withColumn("before", F.lit(0).cast("bigint"))
+    source = source.select("grp", "ids", "data", "extra", "before")
+    if not small and capped:
+        # the first tiles of each group may be few: then blocks meet them where they lie, however few groups there are
+        source = kept(source)
+        few = source.agg(F.coalesce(F.sum(F.octet_length("ids") + F.octet_length("data") + F.octet_length("extra")), F.lit(0))).first()[0] <= BROADCAST_BYTES
+        tasks = max(source.sparkSession.sparkContext.defaultParallelism, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        source = asked.select("grp", "q_ids", "q_data", "q_take", "q_step").repartition(tasks).join(F.broadcast(source) if few else source, "grp")
+    elif not small:
         # both sides are cut into pieces, so that a hot group can be divided
         source = asked.select("grp", "q_ids", "q_data", "q_take", "q_step").join(source, "grp")
     sent = source.sparkSession.sparkContext.broadcast({g: tuple(np.concatenate(c) for c in zip(*parts, strict=True)) for g, parts in found.items()})
@@ -224,8 +232,15 @@ def scan(index: Tiles, asked: DataFrame, dims: int, k: int, capped: bool = False
                 row = batch.slice(s, 1).to_pylist()[0]
                 q_ids, q_data, q_take, q_step = asked_by[row["grp"]] if small else _arrays(row, dims)
                 ids, fraud = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["extra"], np.int32)
-                take = np.clip(q_take - row["before"], 0, len(ids)) if capped else None
-                for i, j, d in kernel.nearest(q_data, np.frombuffer(row["data"], np.int32).reshape(len(ids), dims), ids, k, take):
+                data, take = np.frombuffer(row["data"], np.int32).reshape(len(ids), dims), None
+                if capped:
+                    # only queries that may scan rows of this tile, and rows that one of them may scan
+                    take = np.clip(q_take - row["before"], 0, len(ids))
+                    some = np.flatnonzero(take > 0)
+                    q_ids, q_data, q_step, take = q_ids[some], q_data[some], q_step[some], take[some]
+                    most = int(take.max(initial=0))
+                    ids, data, take = ids[:most], data[:most], None if (take == most).all() else take
+                for i, j, d in kernel.nearest(q_data, data, ids, k, take):
                     yield from held.add(q_ids[i], ids[j], d, fraud[j], q_step[i] if with_step else None)
         yield from held.rows()
 

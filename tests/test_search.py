@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.constants import Q
-from tessera.operators import cells, ivf, knn
+from tessera.operators import cells, ivf, knn, tiles
 from tessera.operators.vote import bucket, vote
 from tessera.plans import index, scorers
 from tessera.plans.storage import kept, shared_dir
@@ -191,3 +191,27 @@ def test_seeds_spread_and_empty_clusters_move(spark, blobs):
 def test_fail_safe(spark):
     got = scorers.fail_safe(spark.createDataFrame([(None, None), (0.2, True)], "fraud_score double, approved boolean")).collect()
     assert [tuple(r) for r in got] == [(0.6, False, "FAIL_SAFE"), (0.2, True, "OK")]
+
+
+@pytest.mark.parametrize("sent", [1 << 26, 20_000, 0])
+def test_cap_leaves_tiles_out(spark, blobs, monkeypatch, sent):
+    """Of each cluster only the tiles that a cap reaches meet queries: blocks are sent, or tiles are, or both are joined."""
+    q, r, queries, references = blobs
+    centroids, assigned = index.build_ivf(references, clusters=3, rounds=1)
+    rows = assigned.select("ref_id", "cluster_id").orderBy("ref_id").collect()
+    opened = tiles.Tiles(kept(tiles.pack(assigned.coalesce(1), rows=20)))
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", sent)
+    met = tiles.before(opened.frame, 60).groupBy("grp").agg(F.sum("n").alias("n"), F.max("before").alias("before")).collect()
+    assert len(met) == 3 and all(x.before < 60 and x.n < 60 + 20 for x in met) and opened.count == len(r)
+    first = {c: [x.ref_id for x in rows if x.cluster_id == c] for c in range(3)}
+    near = ivf.shortlist(queries, centroids, 3).orderBy("qid", "probe").collect()
+    want = []
+    for i in range(len(q)):
+        left, may = 60, []
+        for x in near[3 * i : 3 * i + 3]:
+            own = first[x.cluster_id]
+            may += own[: max(0, left)]
+            left -= len(own)
+        d = ((q[i].astype(np.int64) - r[may]) ** 2).sum(axis=1)
+        want.append([(may[j], int(d[j])) for j in np.lexsort((may, d))[:5]])
+    assert told(ivf.search(queries, centroids, opened, base=3, most=3, cap=60), len(q)) == want
